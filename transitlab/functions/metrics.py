@@ -18,7 +18,8 @@ from ..config import DAYS_PER_YEAR, DEFAULT_IMPACT, R_EARTH_PER_R_SUN, T_SUN_K
 
 
 def _pos(c: Column) -> Column:
-    return c.isNotNull() & (c > 0)
+    # NULL > 0 is NULL, which a CASE condition treats as false.
+    return c > 0
 
 
 def albedo_factor(albedo: float) -> float:
@@ -81,13 +82,16 @@ SOFT_FLAGS = (
 )
 
 
-def soft_flags_array(prad: Column, r_star: Column, period_days: Column, t_star: Column) -> Column:
-    """M8: array of soft flags in emission order (NULL entries compacted away)."""
-    return F.array_compact(
-        F.array(
-            F.when(prad <= 0, F.lit(SOFT_FLAGS[0])),
-            F.when(r_star <= 0, F.lit(SOFT_FLAGS[1])),
-            F.when(period_days <= 0, F.lit(SOFT_FLAGS[2])),
-            F.when((t_star < 2000) | (t_star > 10000), F.lit(SOFT_FLAGS[3])),
-        )
-    )
+def soft_flags_parts(prad: Column, r_star: Column, period_days: Column, t_star: Column) -> list[Column]:
+    """M8: one nullable string per soft flag, in emission order."""
+    return [
+        F.when(prad <= 0, F.lit(SOFT_FLAGS[0])),
+        F.when(r_star <= 0, F.lit(SOFT_FLAGS[1])),
+        F.when(period_days <= 0, F.lit(SOFT_FLAGS[2])),
+        F.when((t_star < 2000) | (t_star > 10000), F.lit(SOFT_FLAGS[3])),
+    ]
+
+
+def soft_flags(prad: Column, r_star: Column, period_days: Column, t_star: Column) -> Column:
+    """M8 as text: ``concat_ws`` skips NULL parts, so no array or lambda is needed."""
+    return F.concat_ws(";", *soft_flags_parts(prad, r_star, period_days, t_star))

@@ -20,8 +20,9 @@ NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan
 
 
 def nan_to_null(c: Column) -> Column:
-    """NULL for NaN, value otherwise (for double columns)."""
-    return F.when(~F.isnan(c), c)
+    """NULL for NaN, value otherwise (for double columns). ``nanvl`` refers to
+    its input once, which keeps inlined expression trees small."""
+    return F.nanvl(c, F.lit(None).cast("double"))
 
 
 def finite_or_null(c: Column) -> Column:

@@ -11,8 +11,9 @@ the same decision is a closed form over a few boolean columns:
   habitable (teq or insol band)       -> habitable_zone_candidate 0.55 / 0.7
   otherwise                           -> candidate 0.5
 
-Everything is a CASE over literals, so Catalyst folds the thresholds and the
-whole classifier is one codegen projection with no shuffle.
+Everything is a CASE over literals, so Catalyst folds the thresholds; the
+classifier is two stacked projections (named predicates, then the CASEs) with
+no shuffle.
 """
 
 from __future__ import annotations
@@ -94,78 +95,6 @@ def strong_hits(cond: dict[str, Column]) -> Column:
     )
 
 
-def classify_columns(x: RuleInputs, th: Thresholds) -> dict[str, Column]:
-    """category (string), score (double) and flags (array<string>) for one row."""
-    gate = x.prad.isNull() & x.period.isNull() & x.teq.isNull() & x.insol.isNull()
-    disp = disposition_key(x.disposition)
-    is_confirmed = F.coalesce(disp == "CONFIRMED", F.lit(False))
-    is_false_pos = F.coalesce(disp == "FALSE POSITIVE", F.lit(False))
-
-    cond = anomaly_conditions(x, th)
-    hits = strong_hits(cond)
-    anomalous = hits >= 1
-
-    hab_teq = F.coalesce(x.teq.between(th.habitable_teq_min, th.habitable_teq_max), F.lit(False))
-    hab_ins = F.coalesce(x.insol.between(th.habitable_insol_min, th.habitable_insol_max), F.lit(False))
-    habitable = hab_teq | hab_ins
-    s_hab = F.when(hab_teq & hab_ins, SCORE_HABITABLE_BOTH).when(habitable, SCORE_HABITABLE).otherwise(0.0)
-
-    rocky = F.coalesce(x.prad < th.rocky_max, F.lit(False))
-    super_earth = F.coalesce((x.prad >= th.rocky_max) & (x.prad < th.super_earth_max), F.lit(False))
-    hot = F.coalesce(x.period <= th.hot_jupiter_period_max, F.lit(False)) | F.coalesce(
-        x.teq >= th.hot_min_teq, F.lit(False)
-    )
-    hot_jupiter = (
-        F.coalesce((x.prad >= th.super_earth_max) & (x.prad >= th.hot_jupiter_min), F.lit(False))
-        & ~rocky
-        & hot
-    )
-
-    anomalous_score = F.when(hits >= 3, 0.9).when(hits == 2, 0.8).otherwise(0.7)
-    if th.max_radius is None:  # pragma: no cover - thresholds are always floats
-        raise ValueError("thresholds must be complete")
-
-    category = (
-        F.when(gate, F.lit(NO_RESULT))
-        .when(is_confirmed, F.lit(CONFIRMED))
-        .when(is_false_pos, F.lit(FALSE_POSITIVE))
-        .when(anomalous, F.lit(ANOMALOUS))
-        .when(rocky, F.lit(ROCKY))
-        .when(super_earth, F.lit(SUPER_EARTH))
-        .when(hot_jupiter, F.lit(HOT_JUPITER))
-        .when(habitable, F.lit(HABITABLE))
-        .otherwise(F.lit(CANDIDATE))
-    )
-    score = (
-        F.when(gate, F.lit(0.0))
-        .when(is_confirmed, F.lit(SCORE_CONFIRMED))
-        .when(is_false_pos, F.lit(SCORE_FALSE_POSITIVE))
-        .when(anomalous, anomalous_score)
-        .when(rocky, F.greatest(s_hab, F.lit(SCORE_ROCKY)))
-        .when(super_earth, F.greatest(s_hab, F.lit(SCORE_SUPER_EARTH)))
-        .when(hot_jupiter, F.greatest(s_hab, F.lit(SCORE_HOT_JUPITER)))
-        .when(habitable, s_hab)
-        .otherwise(F.lit(SCORE_CANDIDATE))
-    )
-    # Clamp (a no-op with the shipped scores, kept for custom thresholds).
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-
-    rule_flags = F.array_compact(
-        F.array(
-            *[F.when(c, F.lit(name)) for name, c in cond.items()],
-            F.when(x.prad.isNull(), F.lit(FLAG_MISSING_PRAD)),
-            F.when(x.period.isNull(), F.lit(FLAG_MISSING_PERIOD)),
-            F.when(x.teq.isNull(), F.lit(FLAG_MISSING_TEQ)),
-        )
-    )
-    flags = (
-        F.when(gate, F.array(F.lit(FLAG_NO_FEATURES)))
-        .when(is_confirmed | is_false_pos, F.array().cast("array<string>"))
-        .otherwise(rule_flags)
-    )
-    return {"category": category, "score": score, "flags": flags}
-
-
 def disposition_category(raw: Column) -> Column:
     """CONFIRMED / CANDIDATE / FALSE POSITIVE -> category name, else NULL."""
     d = disposition_key(raw)
@@ -198,3 +127,88 @@ def color_hint_fallback(color_hint: Column, raw_disposition: Column, category: C
     cat = F.coalesce(_norm_label(category), F.lit(""))
     derived = F.when(disp == "", "green").when(disp == cat, "black").otherwise("red")
     return F.when(c.isin("green", "black", "red"), c).otherwise(derived)
+
+
+# Names of the helper columns of the staged classifier.
+STAGE_COLUMNS = ("__gate", "__conf", "__fp", "__f_rad", "__f_depth", "__f_short", "__f_long", "__f_cold",
+                 "__hab_t", "__hab_i", "__rocky", "__super", "__hot", "__miss_prad", "__miss_period", "__miss_teq")
+
+
+def condition_columns(x: RuleInputs, th: Thresholds) -> dict[str, Column]:
+    """Stage 1 of the classifier: every predicate as a named boolean column."""
+    cond = anomaly_conditions(x, th)
+    disp = disposition_key(x.disposition)
+    rocky = F.coalesce(x.prad < th.rocky_max, F.lit(False))
+    hot = F.coalesce(x.period <= th.hot_jupiter_period_max, F.lit(False)) | F.coalesce(
+        x.teq >= th.hot_min_teq, F.lit(False)
+    )
+    return {
+        "__gate": x.prad.isNull() & x.period.isNull() & x.teq.isNull() & x.insol.isNull(),
+        "__conf": F.coalesce(disp == "CONFIRMED", F.lit(False)),
+        "__fp": F.coalesce(disp == "FALSE POSITIVE", F.lit(False)),
+        "__f_rad": cond[FLAG_RADIUS_TOO_LARGE],
+        "__f_depth": cond[FLAG_ANOMALOUS_DEPTH],
+        "__f_short": cond[FLAG_DURATION_TOO_SHORT],
+        "__f_long": cond[FLAG_DURATION_TOO_LONG],
+        "__f_cold": cond[FLAG_COLD_DEEP_TRANSIT],
+        "__hab_t": F.coalesce(x.teq.between(th.habitable_teq_min, th.habitable_teq_max), F.lit(False)),
+        "__hab_i": F.coalesce(x.insol.between(th.habitable_insol_min, th.habitable_insol_max), F.lit(False)),
+        "__rocky": rocky,
+        "__super": F.coalesce((x.prad >= th.rocky_max) & (x.prad < th.super_earth_max), F.lit(False)),
+        "__hot": F.coalesce((x.prad >= th.super_earth_max) & (x.prad >= th.hot_jupiter_min), F.lit(False)) & ~rocky & hot,
+        "__miss_prad": x.prad.isNull(),
+        "__miss_period": x.period.isNull(),
+        "__miss_teq": x.teq.isNull(),
+    }
+
+
+def result_columns() -> dict[str, Column]:
+    """Stage 2 of the classifier: category, score, flags from the stage-1 columns."""
+    b = {n: F.col(n) for n in STAGE_COLUMNS}
+    hits = b["__f_rad"].cast("int") + b["__f_depth"].cast("int") + b["__f_cold"].cast("int")
+    habitable = b["__hab_t"] | b["__hab_i"]
+    s_hab = F.when(b["__hab_t"] & b["__hab_i"], SCORE_HABITABLE_BOTH).when(habitable, SCORE_HABITABLE).otherwise(0.0)
+    category = (
+        F.when(b["__gate"], F.lit(NO_RESULT))
+        .when(b["__conf"], F.lit(CONFIRMED))
+        .when(b["__fp"], F.lit(FALSE_POSITIVE))
+        .when(hits >= 1, F.lit(ANOMALOUS))
+        .when(b["__rocky"], F.lit(ROCKY))
+        .when(b["__super"], F.lit(SUPER_EARTH))
+        .when(b["__hot"], F.lit(HOT_JUPITER))
+        .when(habitable, F.lit(HABITABLE))
+        .otherwise(F.lit(CANDIDATE))
+    )
+    score = (
+        F.when(b["__gate"], F.lit(0.0))
+        .when(b["__conf"], F.lit(SCORE_CONFIRMED))
+        .when(b["__fp"], F.lit(SCORE_FALSE_POSITIVE))
+        .when(hits >= 3, F.lit(0.9))
+        .when(hits == 2, F.lit(0.8))
+        .when(hits == 1, F.lit(0.7))
+        .when(b["__rocky"], F.greatest(s_hab, F.lit(SCORE_ROCKY)))
+        .when(b["__super"], F.greatest(s_hab, F.lit(SCORE_SUPER_EARTH)))
+        .when(b["__hot"], F.greatest(s_hab, F.lit(SCORE_HOT_JUPITER)))
+        .when(habitable, s_hab)
+        .otherwise(F.lit(SCORE_CANDIDATE))
+    )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+    names = [
+        ("__f_rad", FLAG_RADIUS_TOO_LARGE), ("__f_depth", FLAG_ANOMALOUS_DEPTH),
+        ("__f_short", FLAG_DURATION_TOO_SHORT), ("__f_long", FLAG_DURATION_TOO_LONG),
+        ("__f_cold", FLAG_COLD_DEEP_TRANSIT), ("__miss_prad", FLAG_MISSING_PRAD),
+        ("__miss_period", FLAG_MISSING_PERIOD), ("__miss_teq", FLAG_MISSING_TEQ),
+    ]
+    parts = [F.when(b[c], F.lit(n)) for c, n in names]
+    flags_text = (
+        F.when(b["__gate"], F.lit(FLAG_NO_FEATURES))
+        .when(b["__conf"] | b["__fp"], F.lit(""))
+        .otherwise(F.concat_ws(";", *parts))
+    )
+    no_nulls = F.array(F.lit(None).cast("string"))
+    flags = (
+        F.when(b["__gate"], F.array(F.lit(FLAG_NO_FEATURES)))
+        .when(b["__conf"] | b["__fp"], F.array().cast("array<string>"))
+        .otherwise(F.array_except(F.array(*parts), no_nulls))
+    )
+    return {"category": category, "score": score, "flags": flags, "flags_text": flags_text}

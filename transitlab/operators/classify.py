@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Thresholds
 from ..functions.numeric import as_double
-from ..functions.rules import RuleInputs, classify_columns, compare_columns
+from ..functions.rules import STAGE_COLUMNS, RuleInputs, compare_columns, condition_columns, result_columns
 
 ECHO_COLUMNS = ("object_id", "koi_period", "koi_prad", "koi_teq", "koi_insol")
 RESULT_COLUMNS = (
@@ -44,19 +44,23 @@ def rule_inputs(df: DataFrame) -> RuleInputs:
 
 
 def with_classification(df: DataFrame, thresholds: Thresholds | None = None, flags_as_array: bool = False) -> DataFrame:
-    """Append category, score, flags and the comparison columns to every row."""
+    """Append category, score, flags and the comparison columns to every row.
+
+    Two stacked projections: named predicate columns, then the CASE
+    expressions over them, so each predicate is evaluated once per row."""
     th = thresholds or Thresholds()
-    x = rule_inputs(df)
     if "object_id" not in df.columns:
         df = df.withColumn(
             "object_id", F.format_string("OBJ-%016x", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
         )
     if "koi_disposition" not in df.columns:
         df = df.withColumn("koi_disposition", F.lit(None).cast("string"))
-    cls = classify_columns(x, th)
-    flags = cls["flags"] if flags_as_array else F.concat_ws(";", cls["flags"])
-    out = df.withColumns({"category": cls["category"], "score": cls["score"], "flags": flags})
-    return out.withColumns(compare_columns(F.col("koi_disposition"), F.col("category")))
+    staged = df.withColumns(condition_columns(rule_inputs(df), th))
+    res = result_columns()
+    flags = res["flags"] if flags_as_array else res["flags_text"]
+    out = staged.withColumns({"category": res["category"], "score": res["score"], "flags": flags})
+    out = out.withColumns(compare_columns(F.col("koi_disposition"), F.col("category")))
+    return out.drop(*STAGE_COLUMNS)
 
 
 def classify(df: DataFrame, thresholds: Thresholds | None = None) -> DataFrame:

@@ -16,6 +16,9 @@ from ..functions import metrics as M
 from ..functions.numeric import as_double
 
 
+DERIVED = ("koi_sma", "koi_teq", "koi_insol", "transit_depth", "expected_duration_hours", "duration_ratio", "soft_flags")
+
+
 def typed_inputs(df: DataFrame) -> dict[str, Column]:
     """Double Column per known numeric input (typed NULL when absent)."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -25,53 +28,54 @@ def typed_inputs(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def enrich_columns(
+def enrich(
     df: DataFrame,
     albedo: float = DEFAULT_ALBEDO,
     auto_derive: bool = True,
     rsun_in_au: float | None = None,
-) -> dict[str, Column]:
-    """All columns that enrich adds or replaces, keyed by name."""
-    x = typed_inputs(df)
-    P, Ms, Rs, Rp = x["koi_period"], x["koi_smass"], x["koi_srad"], x["koi_prad"]
-    T, b, obs = x["koi_steff"], x["koi_impact"], x["koi_duration"]
+) -> DataFrame:
+    """M7: the input with typed inputs, filled sma/teq/insol and derived columns.
 
+    Three stacked projections, each referring to the previous one by column
+    name: (1) typed inputs and the filled semi-major axis, (2) everything that
+    depends on it, (3) the duration ratio. Catalyst only collapses a project
+    into its consumer when that does not repeat a non-trivial expression, so
+    ``a`` and the expected duration are evaluated once per row, and the
+    generated code stays small."""
+    M.albedo_factor(albedo)  # validate the parameter (D5) even without derivation
+    x = typed_inputs(df)
+    typed = {c: x[c] for c in NUMERIC_INPUTS if c in df.columns}
     a = x["koi_sma"]
-    teq = x["koi_teq"]
-    insol = x["koi_insol"]
     if auto_derive:
-        a = F.coalesce(a, M.semi_major_axis(P, Ms))
-        teq = F.coalesce(teq, M.equilibrium_temp(T, Rs, a, albedo, rsun_in_au))
-        insol = F.coalesce(insol, M.insolation(T, Rs, a))
-    else:
-        M.albedo_factor(albedo)  # still validate the parameter (D5)
+        a = F.coalesce(a, M.semi_major_axis(x["koi_period"], x["koi_smass"]))
+    stage1 = df.withColumns(typed).withColumns({f"__{c}": x[c] for c in NUMERIC_INPUTS}).withColumn("koi_sma", a)
 
-    expected = M.expected_duration_hours(P, Rs, a, b, rsun_in_au)
-    cols: dict[str, Column] = {
-        c: x[c] for c in NUMERIC_INPUTS if c in df.columns
-    }
-    cols.update(
+    c = {n: F.col(f"__{n}") for n in NUMERIC_INPUTS}
+    a_col = F.col("koi_sma")
+    teq, insol = c["koi_teq"], c["koi_insol"]
+    if auto_derive:
+        teq = F.coalesce(teq, M.equilibrium_temp(c["koi_steff"], c["koi_srad"], a_col, albedo, rsun_in_au))
+        insol = F.coalesce(insol, M.insolation(c["koi_steff"], c["koi_srad"], a_col))
+    stage2 = stage1.withColumns(
         {
-            "koi_sma": a,
             "koi_teq": teq,
             "koi_insol": insol,
-            "transit_depth": M.transit_depth(Rp, Rs),
-            "expected_duration_hours": expected,
-            "duration_ratio": M.duration_ratio(obs, expected),
-            "soft_flags": F.concat_ws(";", M.soft_flags_array(Rp, Rs, P, T)),
+            "transit_depth": M.transit_depth(c["koi_prad"], c["koi_srad"]),
+            "expected_duration_hours": M.expected_duration_hours(
+                c["koi_period"], c["koi_srad"], a_col, c["koi_impact"], rsun_in_au
+            ),
+            "soft_flags": M.soft_flags(c["koi_prad"], c["koi_srad"], c["koi_period"], c["koi_steff"]),
         }
     )
-    return cols
-
-
-def enrich(
-    df: DataFrame,
-    albedo: float = DEFAULT_ALBEDO,
-    auto_derive: bool = True,
-    rsun_in_au: float | None = None,
-) -> DataFrame:
-    """M7: the input with typed inputs, filled sma/teq/insol and derived columns.
-
-    Derived columns reuse intermediate expressions; Catalyst collapses the
-    projection and codegen's subexpression elimination computes each once."""
-    return df.withColumns(enrich_columns(df, albedo, auto_derive, rsun_in_au))
+    stage3 = stage2.withColumn(
+        "duration_ratio", M.duration_ratio(F.col("__koi_duration"), F.col("expected_duration_hours"))
+    )
+    # Optimizer fence: the derived metrics leave through a one-element
+    # ``inline`` Generate. A later filter on a classifier output is pushed down
+    # only to here and refers to these columns as attributes; without it,
+    # Catalyst pastes the whole formula tree into every pushed predicate and
+    # the generated filter method outgrows the JVM's 64 KB limit.
+    passthrough = [n for n in df.columns if n not in DERIVED]
+    fenced = stage3.select(*[F.col(f"`{n}`") for n in passthrough], F.inline(F.array(F.struct(*DERIVED))))
+    ordered = list(df.columns) + [n for n in DERIVED if n not in df.columns]
+    return fenced.select(*[F.col(f"`{n}`") for n in ordered])
