@@ -370,19 +370,24 @@ def build() -> dict[str, str]:
     q["page_results"] = f"{report_cte()}\nselect * from rpt order by all nulls first limit 50 offset 100"
     q["newest_first"] = (f"with {KOI} select object_id, strftime(discovery_date, '%Y-%m-%d') as discovery_day from koi_full "
                          "order by discovery_date desc, object_id limit 25")
-    disp_num = ("case when {x} is null then '—' when abs({x}) >= 100 then printf('%.0f', {r0}) "
-                "when abs({x}) >= 10 then printf('%.1f', {r1}) else printf('%.2f', {r2}) end as {x}")
-
-    def rr(x, k):
-        s = float(10 ** k)
-        return f"(sign({x}) * floor(abs({x}) * {s!r}::double + 0.5::double) / {s!r}::double)"
-
-    disp_cols = ", ".join(disp_num.format(x=c, r0=rr(c, 0), r1=rr(c, 1), r2=rr(c, 2))
-                          for c in ("koi_period", "koi_prad", "koi_teq", "koi_insol"))
+    def fixed(x, k):
+        scale = 10 ** k
+        kk = f"cast(floor(abs({x}) * {float(scale)!r}::double + 0.5::double) as bigint)"
+        sign = f"(case when {x} < 0 then '-' else '' end)"
+        if k == 0:
+            return f"({sign} || cast({kk} as varchar))"
+        return (f"({sign} || cast({kk} // {scale} as varchar) || '.' || "
+                f"lpad(cast({kk} % {scale} as varchar), {k}, '0'))")
+
+    def disp(x):
+        return (f"case when {x} is null then '—' when abs({x}) >= 100 then {fixed(x, 0)} "
+                f"when abs({x}) >= 10 then {fixed(x, 1)} else {fixed(x, 2)} end as {x}")
+
+    disp_cols = ", ".join(disp(c) for c in ("koi_period", "koi_prad", "koi_teq", "koi_insol"))
     q["display_rounding"] = (
         f"{report_cte()}\nselect coalesce(object_id, '—') as object_id, coalesce(koi_disposition, '') as koi_disposition, "
-        "coalesce(category, '') as category, case when score is null then '—' else printf('%.2f', "
-        f"{rr('score', 2)}) end as score, case when coalesce(flags, '') = '' then '—' else replace(flags, ';', '; ') end as flags, "
+        "coalesce(category, '') as category, case when score is null then '—' else "
+        f"{fixed('score', 2)} end as score, case when coalesce(flags, '') = '' then '—' else replace(flags, ';', '; ') end as flags, "
         f"{disp_cols} from rpt")
     q["split_flags"] = (f"{report_cte()}\nselect object_id, flag from (select object_id, "
                         "unnest(list_filter(string_split(coalesce(trim(flags), ''), ';'), lambda x: x <> '')) as flag from rpt)")

@@ -62,12 +62,24 @@ def round_half_away(c: Column, digits: int) -> Column:
     return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
 
 
+def fixed_text(c: Column, digits: int) -> Column:
+    """x with exactly ``digits`` decimals, rounded half away from zero.
+
+    Built from integer arithmetic and string concatenation (no per-value
+    formatter), so it stays in generated code and gives the same text on
+    every engine: k = floor(|x|*10^d + 0.5); sign, k div 10^d, '.', digits."""
+    scale = 10**digits
+    k = F.floor(F.abs(c) * F.lit(float(scale)) + F.lit(0.5)).cast("long")
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    if digits == 0:
+        return F.concat(sign, k.cast("string"))
+    whole = (k / F.lit(scale)).cast("long").cast("string")
+    frac = F.lpad((k % F.lit(scale)).cast("string"), digits, "0")
+    return F.concat(sign, whole, F.lit("."), frac)
+
+
 def display_number(c: Column) -> Column:
     """|x|>=100 -> 0 digits, >=10 -> 1, else 2; NULL -> a dash."""
     a = F.abs(c)
-    txt = (
-        F.when(a >= 100, F.format_string("%.0f", round_half_away(c, 0)))
-        .when(a >= 10, F.format_string("%.1f", round_half_away(c, 1)))
-        .otherwise(F.format_string("%.2f", round_half_away(c, 2)))
-    )
+    txt = F.when(a >= 100, fixed_text(c, 0)).when(a >= 10, fixed_text(c, 1)).otherwise(fixed_text(c, 2))
     return F.when(c.isNull(), F.lit("—")).otherwise(txt)

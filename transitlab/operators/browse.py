@@ -12,7 +12,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import display_number, round_half_away
+from ..functions.numeric import display_number, fixed_text
 
 
 def search_id_regex(df: DataFrame, query: str | None) -> DataFrame:
@@ -84,7 +84,7 @@ def display_rows(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("object_id"), F.lit("—")).alias("object_id"),
         F.coalesce(F.col("koi_disposition"), F.lit("")).alias("koi_disposition"),
         F.coalesce(F.col("category"), F.lit("")).alias("category"),
-        F.when(score.isNull(), F.lit("—")).otherwise(F.format_string("%.2f", round_half_away(score, 2))).alias("score"),
+        F.when(score.isNull(), F.lit("—")).otherwise(fixed_text(score, 2)).alias("score"),
         flags_txt.alias("flags"),
         *[display_number(F.col(c).cast("double")).alias(c) for c in ("koi_period", "koi_prad", "koi_teq", "koi_insol")],
     )

@@ -2,32 +2,47 @@
 
 ``orderBy`` range-partitions the data; per-partition row counts (one row per
 partition) become start offsets that are broadcast back (bounded by the
-partition count, not by the data). The sorted input is checkpointed into the
-shared checkpoint folder first so both passes see the same partitioning.
+partition count, not by the data). With a total order the sort is
+deterministic, so the counting pass and the final pass (or a recomputation
+after a lost executor) place every row identically; pass ``checkpoint=True``
+to cut lineage into the shared checkpoint folder instead of sorting twice.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
-def with_positions(df: DataFrame, order: Sequence[Column], name: str = "pos", start: int = 0, checkpoint: bool = True) -> DataFrame:
-    """Append ``name`` = 0-based (plus ``start``) position of each row in ``order``."""
+def with_positions(df: DataFrame, order: Sequence[Column], name: str = "pos", start: int = 0, checkpoint: bool = False) -> DataFrame:
+    """Append ``name`` = 0-based (plus ``start``) position of each row in ``order``.
+
+    The sorted rows are persisted once; the per-partition counts (one row per
+    partition, bounded by the partition count) are collected from them and
+    joined back as a broadcast table, so nested position steps never
+    re-evaluate their inputs."""
     ranked = df.orderBy(*order)
     if checkpoint:
         ranked = cut_lineage(ranked)
     base = ranked.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
-    counts = base.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    # Keep the sorted rows for the final pass (spills to disk; a lost block is
+    # recomputed from lineage, and the total order makes that reproducible).
+    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = sorted((r["__pid"], r["__n"]) for r in base.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).collect())
+    offsets, acc = [], 0
+    for pid, n in counts:
+        offsets.append((int(pid), acc))
+        acc += int(n)
+    spark = df.sparkSession
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "__pid int, __off long")
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     return (
-        base.join(F.broadcast(offsets), "__pid")
+        base.join(F.broadcast(off_df), "__pid")
         .withColumn(name, (F.col("__off") + local + F.lit(start)).cast("long"))
         .drop("__pid", "__mid", "__off")
     )

@@ -49,18 +49,24 @@ def _inside(c: Column, lo: float, hi: float) -> Column:
 def exact_quantile_values(
     df: DataFrame,
     targets: Sequence[tuple[str, int]],
+    sizes: dict[str, int] | None = None,
     small: int = 4096,
     accuracy: int = 10000,
     max_rounds: int = 12,
 ) -> dict[tuple[str, int], float]:
-    """Exact value at 0-based rank r of each (column, r); NaN-free double columns."""
+    """Exact value at 0-based rank r of each (column, r); NaN-free double columns.
+
+    ``sizes`` (non-null count per column) saves the counting pass."""
     todo = [_Target(c, r) for c, r in targets]
     if not todo:
         return {}
     # Initial bracket is the whole non-null column.
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, (c, _) in enumerate(targets)]).first()
-    for i, t in enumerate(todo):
-        t.size = int(counts[f"n{i}"])
+    if sizes is None:
+        cols = sorted({c for c, _ in targets})
+        row = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+        sizes = {c: int(row[c]) for c in cols}
+    for t in todo:
+        t.size = int(sizes[t.col])
 
     for _ in range(max_rounds):
         open_ = [t for t in todo if t.value is None and t.size > small]
@@ -129,7 +135,7 @@ def exact_medians(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, float |
         n = int(counts[c])
         if n:
             targets += [(c, (n - 1) // 2), (c, n // 2)]
-    vals = exact_quantile_values(df, sorted(set(targets)), **kw)
+    vals = exact_quantile_values(df, sorted(set(targets)), sizes={c: int(counts[c]) for c in cols}, **kw)
     out: dict[str, float | None] = {}
     for c in cols:
         n = int(counts[c])

@@ -13,6 +13,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+JIT_OPTIONS = "-XX:-DontCompileHugeMethods"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "transitlab") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -26,6 +29,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TRANSITLAB_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The classifier compiles to large generated methods; HotSpot does not
+        # JIT methods over 8 KB of bytecode unless told to. Set the same option
+        # for executors on a cluster (spark.executor.extraJavaOptions).
+        .config("spark.driver.extraJavaOptions", JIT_OPTIONS)
+        .config("spark.executor.extraJavaOptions", JIT_OPTIONS)
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
