@@ -527,5 +527,16 @@ def q_macro_metrics(spark, sf):
     return m.select(*[r6(F.col(c)).alias(c) if c != "n_classes" else F.col(c) for c in m.columns])
 
 
+def q_baseline_model_metrics(spark, sf):
+    """Spark ML logistic regression on the feature table (label = rule
+    category), then the confusion matrix and macro metrics of its predictions.
+    Iterative training: checked on rows, not against SQL."""
+    detail = _detail(spark, sf).withColumn("label", F.col("category"))
+    model = features.fit(detail, FeatureSpec.load())
+    table_ = model.transform(detail, keep=("label",))
+    _, preds = evaluate.train_baseline(table_, model.feature_names, "label", max_iter=20)
+    return evaluate.macro_metrics(evaluate.confusion_matrix(preds, "label", "prediction"))
+
+
 def registry() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
