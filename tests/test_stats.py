@@ -5,7 +5,7 @@ import statistics
 
 import pytest
 
-from transitlab.operators.stats import distinct_values, exact_medians, modes
+from transitlab.operators.stats import category_profile, distinct_values, exact_medians, modes
 
 
 @pytest.mark.parametrize("n,hot", [(1, False), (2, False), (1001, False), (20000, False), (20000, True)])
@@ -27,3 +27,10 @@ def test_modes_and_distinct(spark):
     assert distinct_values(df, "s") == ["a", "b", "c"]
     with pytest.raises(ValueError):
         distinct_values(df, "s", max_values=2)
+
+
+def test_category_profile(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "s string")
+    assert category_profile(df, "s") == ("a", ["a", "b", "c"], True)
+    with pytest.raises(ValueError):
+        category_profile(df, "s", max_values=2)

@@ -185,3 +185,23 @@ def distinct_values(df: DataFrame, col: Column | str, max_values: int = 1000) ->
     if len(vals) > max_values:
         raise ValueError(f"more than {max_values} distinct values; use a StringIndexer/OneHotEncoder pipeline")
     return [r["v"] for r in vals]
+
+
+def category_profile(df: DataFrame, col: str, max_values: int = 1000) -> tuple[str | None, list[str], bool]:
+    """A5 + A6 in one pass: (mode, sorted distinct non-null values, has_nulls).
+
+    ``groupBy(value).count()`` combines on the map side; at most
+    ``max_values + 2`` groups (the NULL group included) reach the driver, and
+    more distinct values than that is refused."""
+    rows = (
+        df.groupBy(F.col(col).cast("string").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .limit(max_values + 2)
+        .collect()
+    )
+    values = sorted(r["v"] for r in rows if r["v"] is not None)
+    if len(values) > max_values:
+        raise ValueError(f"more than {max_values} distinct values; use a StringIndexer/OneHotEncoder pipeline")
+    counted = [(-r["n"], r["v"]) for r in rows if r["v"] is not None]
+    mode = min(counted)[1] if counted else None
+    return mode, values, any(r["v"] is None for r in rows)
