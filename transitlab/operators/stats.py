@@ -53,10 +53,13 @@ def exact_quantile_values(
     small: int = 4096,
     accuracy: int = 10000,
     max_rounds: int = 12,
+    first_pivots: dict[str, list[float]] | None = None,
 ) -> dict[tuple[str, int], float]:
     """Exact value at 0-based rank r of each (column, r); NaN-free double columns.
 
-    ``sizes`` (non-null count per column) saves the counting pass."""
+    ``sizes`` (non-null count per column) saves the counting pass;
+    ``first_pivots`` (pivots per column over the whole column) saves the
+    first percentile pass."""
     todo = [_Target(c, r) for c, r in targets]
     if not todo:
         return {}
@@ -68,20 +71,21 @@ def exact_quantile_values(
     for t in todo:
         t.size = int(sizes[t.col])
 
-    for _ in range(max_rounds):
+    for round_no in range(max_rounds):
         open_ = [t for t in todo if t.value is None and t.size > small]
         if not open_:
             break
         # Pass 1: pivots inside each bracket around the target rank.
-        aggs = []
-        for i, t in enumerate(open_):
-            q = (t.rank + 0.5) / t.size
-            spread = 4.0 / accuracy
-            probs = sorted({min(max(q + d * spread, 0.0), 1.0) for d in (-2, -1, 0, 1, 2)})
-            inside = F.when(_inside(F.col(t.col), t.lo, t.hi), F.col(t.col))
-            aggs.append(F.percentile_approx(inside, probs, accuracy).alias(f"p{i}"))
-        prow = df.agg(*aggs).first()
-        pivots = [sorted(set(prow[f"p{i}"] or [])) for i in range(len(open_))]
+        if round_no == 0 and first_pivots is not None:
+            pivots = [sorted(set(first_pivots.get(t.col) or [])) for t in open_]
+        else:
+            aggs = []
+            for i, t in enumerate(open_):
+                q = (t.rank + 0.5) / t.size
+                inside = F.when(_inside(F.col(t.col), t.lo, t.hi), F.col(t.col))
+                aggs.append(F.percentile_approx(inside, _probs_around(q, accuracy), accuracy).alias(f"p{i}"))
+            prow = df.agg(*aggs).first()
+            pivots = [sorted(set(prow[f"p{i}"] or [])) for i in range(len(open_))]
         # Pass 2: exact counts below / at each pivot, inside each bracket.
         caggs = []
         for i, t in enumerate(open_):
@@ -125,17 +129,31 @@ def exact_quantile_values(
     return {(t.col, r): t.value for t, (_, r) in zip(todo, targets)}
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], **kw) -> dict[str, float | None]:
-    """A2: exact median per column (NULLs ignored); None for an all-NULL column."""
+def _probs_around(q: float, accuracy: int) -> list[float]:
+    spread = 4.0 / accuracy
+    return sorted({min(max(q + d * spread, 0.0), 1.0) for d in (-2, -1, 0, 1, 2)})
+
+
+def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000, **kw) -> dict[str, float | None]:
+    """A2: exact median per column (NULLs ignored); None for an all-NULL column.
+
+    The first pass returns both the counts and pivots around the middle (the
+    two middle ranks sit within 1/n of 0.5, far inside the pivot spread)."""
     if not cols:
         return {}
-    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
+    probs = _probs_around(0.5, accuracy)
+    counts = df.agg(
+        *[F.count(F.col(c)).alias(c) for c in cols],
+        *[F.percentile_approx(F.col(c), probs, accuracy).alias(f"__p_{i}") for i, c in enumerate(cols)],
+    ).first()
+    first = {c: list(counts[f"__p_{i}"] or []) for i, c in enumerate(cols)}
     targets: list[tuple[str, int]] = []
     for c in cols:
         n = int(counts[c])
         if n:
             targets += [(c, (n - 1) // 2), (c, n // 2)]
-    vals = exact_quantile_values(df, sorted(set(targets)), sizes={c: int(counts[c]) for c in cols}, **kw)
+    vals = exact_quantile_values(df, sorted(set(targets)), sizes={c: int(counts[c]) for c in cols},
+                                 accuracy=accuracy, first_pivots=first, **kw)
     out: dict[str, float | None] = {}
     for c in cols:
         n = int(counts[c])
