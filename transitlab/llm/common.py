@@ -83,3 +83,11 @@ def as_long(unsigned: Iterable[int]) -> list[int]:
 
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

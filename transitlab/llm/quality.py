@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_slices, stored
+from .common import SPACES, map_slices, stored, unused
 
 SYMBOLS = b"#*$%&|<>"
 SPACE_BYTES = SPACES.encode()
@@ -211,10 +211,13 @@ def judge(docs: DataFrame, model_path: str, widths: dict[str, float] = WIDTHS, l
 
 
 def keep_good(docs: DataFrame, model_path: str) -> DataFrame:
-    """The documents that pass, with all their columns. Rows with a null doc_id go with the rest by text and language.
+    """The documents that pass, with all their columns.
 
-    Rows are told apart by a hash of id, language and text, so rows that share an id are judged each by its own.
+    Rows are told apart by a hash of id, language and text, so rows that share an id, or have none, are judged each
+    by its own.
     """
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "lang", "text"))
-    gone = judge(keyed.select(F.col("_row").alias("doc_id"), "lang", "text"), model_path).where(~F.col("kept"))
-    return keyed.join(gone.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").select(*docs.columns)
+    row = unused(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "lang", "text"))
+    judged = judge(keyed.select(F.col(row).alias("doc_id"), "lang", "text"), model_path)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(row)).distinct()
+    return keyed.join(gone, row, "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, substring
+from . import langid, packing, quality, simhash, substring
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,16 @@ def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.of_documents(table(spark, sf_dir, "documents"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator with all its evidence; the text model is trained on the labelled documents."""
+    model = langid.train(table(spark, sf_dir, "documents"), F.col("lang"))
+    return langid.of_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -39,6 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_phrase_automata": op2_phrase_automata,
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op7_language_evidence": op7_language_evidence,
+    "language_of_pages": language_of_pages,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
 }
 

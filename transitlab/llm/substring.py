@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices, stored
+from .common import map_slices, slices, stored, unused
 
 PHRASE = 8
 FACTOR = 0x9E3779B97F4A7C15
@@ -294,50 +294,60 @@ def removed_spans(docs: DataFrame, window: int, part_phrases: int) -> DataFrame:
     )
 
 
+NEW = ("n_words", "n_removed", "kept_text")
+
+
 def remove_repeats(docs: DataFrame, window: int = 50, part_phrases: int = 20_000) -> DataFrame:
-    """All columns of ``docs``, with ``n_words``, ``n_removed`` and ``kept_text``: the kept words joined by one space.
+    """All columns of ``docs``, then ``n_words``, ``n_removed`` and ``kept_text``: the kept words joined by one space.
 
     Words are runs of anything but space and the bytes 9 to 13. A null text has
     none. A document with a null id keeps all its words and counts for no other.
     Rows that share an id are not earlier than one another. Of equal windows in one
-    document both stay if no smaller id has them. Columns named like the three new
+    document all stay if no smaller id has them. Columns named like the three new
     ones are replaced. An empty table gives no rows.
     """
-    keyed = docs.drop("n_words", "n_removed", "kept_text").withColumn("_key", F.xxhash64("text"))
-    plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), "text")
-    gone = removed_spans(plain, window, part_phrases)
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-    joined = keyed.join(
-        gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left"
-    ).drop("_id", "_k", "_key")
-
-    columns = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    all_at = {c: i for i, c in enumerate(joined.columns)}
+    columns = [c for c in docs.columns if c.lower() not in NEW]
+    keyed = docs.select(*columns)
+    key, cover, own = (unused(keyed, name) for name in ("key", "cover", "own"))
+    keyed = keyed.withColumn(key, F.xxhash64("text"))
+    plain = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).alias("key"), "text")
+    gone = removed_spans(plain, window, part_phrases).toDF(own, key, cover)
+    joined = keyed.withColumn(own, F.col("doc_id").cast("long")).join(gone, [own, key], "left").select(*columns, cover)
+    text_at = columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 counts, removed, kept = [], [], []
-                for text, cover in zip(part.column(all_at["text"]).to_pylist(), part.column(all_at["_spans"]).to_pylist()):
+                for text, spans_of in zip(part.column(text_at).to_pylist(), part.column(len(columns)).to_pylist()):
                     words = text.encode().split() if text else []
-                    gone = 0
-                    if cover:
-                        mask = np.zeros(len(words) + 1, np.int64)
-                        for span in cover:
-                            mask[span["first"]] += 1
-                            mask[span["last"]] -= 1
-                        stays = np.cumsum(mask)[:-1] == 0
-                        gone = int((~stays).sum())
-                        words_kept = [words[i] for i in np.flatnonzero(stays)]
-                    else:
-                        words_kept = words
+                    stay = words
+                    if spans_of:
+                        edges = np.zeros(len(words) + 1, np.int64)
+                        for span in spans_of:
+                            edges[span["first"]] += 1
+                            edges[span["last"]] -= 1
+                        stay = [words[i] for i in np.flatnonzero(np.cumsum(edges)[:-1] == 0)]
                     counts.append(len(words))
-                    removed.append(gone)
-                    kept.append(b" ".join(words_kept).decode())
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(all_at[c]) for c in columns), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
-                    [*columns, "n_words", "n_removed", "kept_text"],
-                )
-
-    schema = docs.select(*columns).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+                    removed.append(len(words) - len(stay))
+                    kept.append(b" ".join(stay).decode())
+                new = [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*columns, *NEW])
+
+    schema = keyed.select(*columns).schema.add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
     return joined.mapInArrow(run, schema)
+
+
+def with_repeats_removed(docs: DataFrame, window: int = 50) -> DataFrame:
+    """The columns of ``docs``; where words went, the text is what was kept and ``n_chars`` (if there) its length.
+
+    A text that loses all its words stays as an empty text. Other texts stay as they are, white space included.
+    """
+    clash = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in NEW}
+    found = remove_repeats(docs.withColumnsRenamed(clash), window)
+    changed = F.col("n_removed") > 0
+    if "n_chars" in found.columns:
+        length = F.length("kept_text").cast(found.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    found = found.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))).drop(*NEW)
+    return found.withColumnsRenamed({new: old for old, new in clash.items()}).select(*docs.columns)
