@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash, substring
+from . import chunks, langid, packing, quality, simhash, substring
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.of_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_phrase_automata": op2_phrase_automata,
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op6_gear_chunks": op6_gear_chunks,
     "op7_language_evidence": op7_language_evidence,
     "language_of_pages": language_of_pages,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
