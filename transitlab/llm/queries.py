@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, langid, packing, quality, simhash, substring
+from . import chunks, langid, packing, quality, simhash, substring, viterbi
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op2_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +56,7 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_phrase_automata": op2_phrase_automata,
+    "op3_piece_viterbi": op3_piece_viterbi,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op6_gear_chunks": op6_gear_chunks,
     "op7_language_evidence": op7_language_evidence,
