@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, langid, licenses, packing, quality, simhash, substring, viterbi
+from . import chunks, html_content, langid, licenses, packing, quality, simhash, substring, viterbi
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op9_tree_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_content.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_evidence": op7_language_evidence,
     "language_of_pages": language_of_pages,
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
+    "op9_tree_marginals": op9_tree_marginals,
     "op10_license_dice": op10_license_dice,
 }
 
