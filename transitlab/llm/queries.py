@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, html_content, langid, licenses, packing, quality, simhash, substring, viterbi
+from . import chunks, html_content, langid, licenses, packing, pseudo_likelihood, quality, simhash, substring, viterbi
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op6_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_phrase_automata": op2_phrase_automata,
     "op3_piece_viterbi": op3_piece_viterbi,
     "op4_simhash_bktree": op4_simhash_bktree,
+    "op5_masked_likelihood": op5_masked_likelihood,
     "op6_gear_chunks": op6_gear_chunks,
     "op7_language_evidence": op7_language_evidence,
     "language_of_pages": language_of_pages,
