@@ -34,11 +34,15 @@ PARENTS = frozenset("#root body div section article main p ul ol li table tr td
 #: The runs of one part are much alike, so each one's own evidence counts as this share of an independent one.
 TEXT_WEIGHT = 0.6
 
+#: Parts of lists and tables: many of them say no more than what they are part of.
+ITEMS = frozenset("li tr td th dt dd tbody thead tfoot".split())
+
 
 def features(node: Node) -> list[str]:
     """What a node shows of itself."""
     if node.tag != "#text":
-        return [f"<{node.tag}>", *(f".{cue}" for cue in sorted(node.cues))]
+        own = [] if node.tag in ITEMS else [f"<{node.tag}>"]
+        return [*own, *(f".{cue}" for cue in sorted(node.cues))]
     words = node.text.count(" ") + 1
     share = node.linked / len(node.text)
     return [
@@ -178,13 +182,13 @@ class Layouts:
 
     def block(self) -> str:
         """A part of an article."""
-        shape = self.r.randrange(14)
+        shape = self.r.randrange(16)
         if shape < 7:
             inside = self.prose()
             return f"<p>{inside} {self.link(self.words(1, 3, ''))} {self.prose()}</p>" if self.r.random() < 0.2 else f"<p>{inside}" + self.r.choice(("</p>", "</p>", ""))
         if shape == 7:
             return self.heading("h2", "h2", "h3", "h3", "h4")
-        if shape == 8:
+        if shape in (8, 14, 15):
             return "<ul>" + "".join(f"<li>{self.prose()}</li>" for _ in range(self.r.randint(1, 5))) + "</ul>"
         if shape == 9:
             return f"<blockquote><p>{self.prose()}</p></blockquote>"
@@ -214,7 +218,7 @@ class Layouts:
                 self.prose(),
                 f"<p>{self.prose()}</p>",
                 f"{self.heading('h2', 'h3', 'h3', 'h4', 'p')}<p>{self.prose()}</p><p>{self.link(self.words(1, 5, ''))}</p>",
-                f"<ul>{self.items(0.8)}</ul>",
+                f"<ul>{self.items(0.9)}</ul>",
                 f"<p>{self.prose()}</p><button>{self.words(1, 2, '')}</button>",
             )
         )
