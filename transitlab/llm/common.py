@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from typing import Callable, Iterable, Iterator
+from typing import Any, Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -91,3 +91,14 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_resident: dict[Any, Any] = {}
+
+
+def resident(key: Any, make: Callable[[], Any]) -> Any:
+    """What this Python worker keeps from task to task: the last thing asked for, so that memory holds one at a time."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]

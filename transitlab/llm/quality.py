@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_slices, stored, unused
+from .common import SPACES, map_slices, resident, stored, unused
 
 SYMBOLS = b"#*$%&|<>"
 SPACE_BYTES = SPACES.encode()
@@ -36,7 +36,7 @@ WIDTHS = {"chars_per_token": 8.0, "byte_share": 20.0, "entropy": 8.0}
 class PieceIds(dict):
     """Maps what stands between two spaces to its piece ids (32-bit numbers); emptied when it holds ``limit``."""
 
-    def __init__(self, model_path: str, limit: int = 1_500_000):
+    def __init__(self, model_path: str, limit: int = 500_000):
         import sentencepiece
 
         super().__init__()
@@ -62,14 +62,9 @@ class PieceIds(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), np.int32)
 
 
-_vocabularies: dict[str, PieceIds] = {}
-
-
 def vocabulary(model_path: str) -> PieceIds:
     """This Python worker's copy of the vocabulary."""
-    if model_path not in _vocabularies:
-        _vocabularies[model_path] = PieceIds(model_path)
-    return _vocabularies[model_path]
+    return resident(("pieces", model_path), lambda: PieceIds(model_path))
 
 
 def fertility(text: str, pieces: PieceIds) -> tuple[int, float | None, float | None, float | None]:

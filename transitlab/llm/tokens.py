@@ -11,6 +11,8 @@ import os
 import re
 from array import array
 
+from .common import resident
+
 #: Here a space follows white space, and the text can't simply be cut at each space.
 GLUED = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
@@ -56,7 +58,7 @@ class UnitIds(dict):
 class Encoder:
     """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings as text."""
 
-    def __init__(self, tokenizer_path: str, limit: int = 1_500_000):
+    def __init__(self, tokenizer_path: str, limit: int = 500_000):
         self.whole = UnitIds(tokenizer_path, "", limit // 8)
         self.spaced = UnitIds(tokenizer_path, " ", limit)
 
@@ -69,11 +71,6 @@ class Encoder:
         return self.whole[units[0]] + b"".join(map(self.spaced.__getitem__, units[1:]))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(tokenizer_path: str) -> Encoder:
     """This Python worker's encoder for the vocabulary; reused by the tasks that the worker runs."""
-    if tokenizer_path not in _encoders:
-        _encoders[tokenizer_path] = Encoder(tokenizer_path)
-    return _encoders[tokenizer_path]
+    return resident(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))

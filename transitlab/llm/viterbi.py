@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, resident
 
 META = 0x2581
 LITERAL = 0x110000  # above all characters: the code of a literal meta space
@@ -56,7 +56,7 @@ def _prefixes(codes: np.ndarray) -> np.ndarray:
 class Pieces:
     """A vocabulary: sorted keys, scores and ids of its pieces by length; what each id stands for."""
 
-    def __init__(self, model_path: str, shift: float = 10.0, limit: int = 1_500_000):
+    def __init__(self, model_path: str, shift: float = 10.0, limit: int = 500_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=model_path)
@@ -208,14 +208,9 @@ def _prefixes_long(codes: np.ndarray) -> np.ndarray:
     return np.r_[np.zeros(1, np.uint64), np.add.accumulate(_mixed(codes) * inverses)] * powers
 
 
-_loaded: dict[str, Pieces] = {}
-
-
 def pieces(model_path: str) -> Pieces:
     """This Python worker's copy of the vocabulary."""
-    if model_path not in _loaded:
-        _loaded[model_path] = Pieces(model_path)
-    return _loaded[model_path]
+    return resident(("viterbi", model_path), lambda: Pieces(model_path))
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
