@@ -102,3 +102,17 @@ def resident(key: Any, make: Callable[[], Any]) -> Any:
         _resident.clear()
         _resident[key] = make()
     return _resident[key]
+
+
+#: Rows of one long that a broadcast may hold: 8 MB of keys.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` whose long ``name`` isn't in ``keys``: by a broadcast if the keys are counted few, else a shuffle.
+
+    Rows with a null stay.
+    """
+    keys = stored(keys.select(name).distinct())
+    few = keys.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, name, "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, stored, unused
+from .common import map_slices, stored, unused, without
 
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
@@ -250,5 +250,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "lang", "source", "text"))
     model = train(docs, F.lower(F.trim(F.col("lang"))))
     judged = identify(keyed, model, row, declared=F.col("lang"), host=F.col("source"))
-    gone = judged.where(~F.col("kept")).select(row).distinct()
-    return keyed.join(gone, row, "left_anti").select(*docs.columns)
+    return without(keyed, judged.where(~F.col("kept")), row).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_slices, resident, stored, unused
+from .common import SPACES, map_slices, resident, stored, unused, without
 
 SYMBOLS = b"#*$%&|<>"
 SPACE_BYTES = SPACES.encode()
@@ -214,5 +214,5 @@ def keep_good(docs: DataFrame, model_path: str) -> DataFrame:
     row = unused(docs, "row")
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "lang", "text"))
     judged = judge(keyed.select(F.col(row).alias("doc_id"), "lang", "text"), model_path)
-    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(row)).distinct()
-    return keyed.join(gone, row, "left_anti").select(*docs.columns)
+    gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(row))
+    return without(keyed, gone, row).select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bktree import Forest, merge
-from .common import map_slices, stored
+from .common import map_slices, stored, without
 from .components import components
 
 SEED = 42
@@ -184,6 +184,11 @@ def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
 
     Rows with a null doc_id can't be told apart by id and stay.
     """
-    gone = near_duplicates(docs, shingle, radius).where("doc_id != component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = stored(near_duplicates(docs, shingle, radius))
+    kept = without(docs, found.where("doc_id != component_id"), "doc_id")
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = stored(repeated)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return without(kept, repeated, "doc_id").unionByName(once).select(*docs.columns)
