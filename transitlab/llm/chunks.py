@@ -196,7 +196,7 @@ def edited_likeness(docs: DataFrame, chunking: Chunking = Chunking(), parts: int
 
     ordered = (
         beside_next(docs, parts)
-        .repartition(parts, "part")
+        .repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int"))
         .sortWithinPartitions("part", "role", F.desc("doc_id"), F.xxhash64("text"))
     )
     return ordered.mapInArrow(run, EDITED)
