@@ -297,7 +297,7 @@ def removed_spans(docs: DataFrame, window: int, part_phrases: int) -> DataFrame:
 NEW = ("n_words", "n_removed", "kept_text")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, part_phrases: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, part_phrases: int = 2_000) -> DataFrame:
     """All columns of ``docs``, then ``n_words``, ``n_removed`` and ``kept_text``: the kept words joined by one space.
 
     Words are runs of anything but space and the bytes 9 to 13. A null text has
