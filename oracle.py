@@ -205,6 +205,10 @@ PRIORITY_ORDER = "priority_idx, score_labeling desc, object_id, score_model"
 UNCERTAINTY_ORDER = "priority_idx, abs(0.5::double - score_model), object_id, score_model"
 
 
+RANDOM_ORDER = ("priority_idx, (('0x' || substr(md5('42:' || object_id), 1, 8))::bigint / 4294967296.0::double), "
+                "object_id, score_model")
+
+
 def ranked(name: str, order: str, where: str = "true") -> str:
     return (f"{name} as (select *, row_number() over (order by {order}) - 1 as queue_pos from items where {where})")
 
@@ -274,10 +278,6 @@ def features_sql(spec: dict[str, tuple[str, str]], onehot: bool, mode_raw: bool
     return f"{src},\n{st},\n{mode},\n{imputed},\n{st2}\nselect {sel} from imp, st2"
 
 
-def _log1p_note() -> None:
-    """DuckDB has no log1p; ``log1p_`` is replaced by ln(1+x) below."""
-
-
 def finalize(sql: str) -> str:
     return sql.replace("log1p_(", "ln(1.0::double + ")
 
@@ -300,6 +300,10 @@ def text_typed() -> str:
         else:
             key = f"(star_id + {i})"
             cols.append(f"case when {key} % 10 = 0 or {key} % 97 = 3 then null else {c} end as {c}")
+    cols.append(
+        "case star_id % 4 when 0 then concat('seen \"twice\", by ', object_id) when 1 then concat('a;b|c', chr(9), 'd,') "
+        "when 2 then null else '\"' end as remark"
+    )
     return f"with {KOI},\ntxt as (select {', '.join(cols)} from koi)"
 
 
@@ -400,6 +404,7 @@ def build() -> dict[str, str]:
     q["labeling_score"] = f"{report_cte()}\nselect object_id, {LSCORE} as score_labeling from rpt"
     q["label_queue_priority"] = queue_sql(PRIORITY_ORDER)
     q["label_queue_uncertainty"] = queue_sql(UNCERTAINTY_ORDER)
+    q["label_queue_random"] = queue_sql(RANDOM_ORDER)
     q["queue_merge"] = (
         f"{report_cte()},\n{ITEMS},\n"
         f"{ranked('old_q', PRIORITY_ORDER, 'suggested_label in (' + chr(39) + 'anomalous_signal' + chr(39) + ', ' + chr(39) + 'candidate' + chr(39) + ')')},\n"
@@ -476,6 +481,37 @@ def build() -> dict[str, str]:
     q["oversample"] = (f"{BASE},\ns as (select object_id, category as label, {split} as split from cls)\n"
                        "select object_id, label, split, unnest(range(0, case when split = 'train' and label in "
                        "('anomalous_signal', 'no_result') then 3 else 1 end)) as copy from s")
+    q["keep_together"] = (f"{BASE},\ns as (select object_id, category as label, {split} as split from cls)\n"
+                          "select object_id, label, case when label in ('anomalous_signal', 'no_result') then 'train' "
+                          "else split end as split, cast(0 as bigint) as copy from s")
+    under = "(('0x' || substr(md5('1337:under' || object_id), 1, 8))::bigint / 4294967296.0::double)"
+    q["undersample"] = (f"{BASE},\ns as (select object_id, category as label, {split} as split from cls),\n"
+                        "c as (select label, count(*) as n from s where split = 'train' group by label),\n"
+                        "f as (select label, greatest((select min(n) from c)::double / n, 0.2::double) as share from c)\n"
+                        f"select object_id, s.label, split from s left join f on s.label = f.label "
+                        f"where split <> 'train' or {under} < share")
+    q["stratified_split"] = (
+        f"{BASE},\nr as (select object_id, star_id, category as label from cls),\n"
+        "c as (select star_id, label, count(*) as n from r group by star_id, label),\n"
+        f"g as (select star_id, arg_min(label, label) filter (where n = m) as class, sum(n) as rows_, any_value({bucket}) as b "
+        "from (select *, max(n) over (partition by star_id) as m from c) group by star_id),\n"
+        "h as (select star_id, (sum(rows_) over (partition by class order by b, star_id) - rows_)::double "
+        "/ sum(rows_) over (partition by class) as share from g)\n"
+        f"select object_id, star_id, label, case when share < 0.7::double then 'train' when share < {d(0.7 + 0.15)} "
+        "then 'val' else 'test' end as split from r join h using (star_id)")
+    q["split_index"] = (
+        f"{BASE}\nselect {split} as split, object_id from cls where koi_period is not null and koi_prad is not null "
+        "and koi_period between 0.1::double and 10000.0::double and koi_prad between 0.1::double and 1000.0::double "
+        "and coalesce(category, '') not in ('no_result') and coalesce(disp_cat_, '') not in ('confirmed_planet')")
+    q["ordinal_ids"] = ("select count(*) as n, count(*) as n_ids, cast(0 as bigint) as first, count(*) - 1 as last from lineitem")
+    q["baseline_test_rows"] = (
+        f"{report_cte()},\nt as (select case when upper(trim(koi_disposition)) = 'CONFIRMED' then 'confirmed_planet' "
+        "when upper(trim(koi_disposition)) = 'CANDIDATE' then 'candidate' "
+        "when upper(trim(koi_disposition)) = 'FALSE POSITIVE' then 'likely_false_positive' end as label, "
+        f"{split} as split from cls)\n"
+        "select algorithm, label, cast(count(*) as bigint) as n from t, "
+        "(select unnest(['logistic_regression', 'random_forest', 'gradient_boosting']) as algorithm) "
+        "where label is not null and split = 'test' group by algorithm, label")
     cm = (f"{report_cte()},\ncm as (select case when upper(trim(koi_disposition)) = 'CONFIRMED' then 'confirmed_planet' "
           "when upper(trim(koi_disposition)) = 'CANDIDATE' then 'candidate' "
           "when upper(trim(koi_disposition)) = 'FALSE POSITIVE' then 'likely_false_positive' end as label, "

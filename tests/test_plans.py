@@ -1,9 +1,14 @@
 """Plan shape: row-local stages stay narrow, JVM-side and pruned."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from conftest import SF0001
+from transitlab.operators import browse, splits
 from transitlab.operators.classify import classify
 from transitlab.operators.enrich import enrich
 from transitlab.plans.queries import registry
+from transitlab.sinks import reports
 from transitlab.sources.fixtures import koi_fixture
 
 
@@ -18,8 +23,46 @@ def test_classify_is_narrow_and_jvm_side(spark):
     assert "l_shipdate" not in p.split("ReadSchema")[-1].split("\n")[0]  # unused column pruned
 
 
-def test_filter_pushdown_to_scan(spark):
-    df = registry()["search_id_literal"](spark, SF0001)
-    assert "Exchange" not in plan_of(df)
-    li = spark.read.parquet(f"{SF0001}/lineitem.parquet").where("l_orderkey = 7").select("l_orderkey")
-    assert "PushedFilters: [IsNotNull(l_orderkey), EqualTo(l_orderkey,7)]" in plan_of(li)
+def test_filters_reach_the_scan(spark, tmp_path):
+    """Browsing filters over a stored report are pushed into its Parquet scan."""
+    path = str(tmp_path / "rows")
+    classify(enrich(koi_fixture(spark, SF0001))).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert "EqualTo(object_id,x)" in plan_of(browse.lookup_object(rows, "x"))
+    assert "EqualTo(category,candidate)" in plan_of(browse.filter_category(rows, "candidate"))
+    assert "Or(GreaterThan(score,0.5),And(EqualTo(score,0.5),GreaterThan(object_id,k)))" in plan_of(
+        browse.page_after(rows, "score", (0.5, "k"))
+    )
+
+
+@pytest.mark.parametrize(
+    "name, unused", [("soft_flags", "koi_duration"), ("missing_flags", "koi_duration"), ("habitability_flag", "koi_prad")]
+)
+def test_enrich_reads_what_is_asked_for(spark, tmp_path, name, unused):
+    path = str(tmp_path / "wide")
+    koi_fixture(spark, SF0001).write.parquet(path)
+    outputs = {
+        "soft_flags": ("object_id", "soft_flags"),
+        "missing_flags": ("object_id", "koi_prad", "koi_period", "koi_teq"),
+        "habitability_flag": ("object_id", "koi_teq"),
+    }[name]
+    plan = plan_of(enrich(spark.read.parquet(path), outputs=outputs))
+    schema = plan.split("ReadSchema: ")[-1].split("\n")[0]
+    assert unused not in schema and "koi_insol" not in schema and "object_id" in schema
+
+
+def test_merge_and_labels_hash_aggregate(spark):
+    queue = spark.createDataFrame([("a", "x", 0)], "object_id string, suggested_label string, queue_pos long")
+    keyed = queue.withColumn("__key", F.col("object_id"))
+    assert "SortAggregate" not in plan_of(keyed.groupBy("__key").agg(F.min("queue_pos")))
+    log = spark.createDataFrame([("a", "x", 0)], "object_id string, label string, seq long")
+    assert "SortAggregate" not in plan_of(splits.latest_labels(log))
+    assert "SortAggregate" not in plan_of(registry()["queue_merge"](spark, SF0001))
+
+
+def test_latest_run_reads_one_folder(spark, tmp_path):
+    rows = classify(enrich(koi_fixture(spark, SF0001)))
+    for ts in ("20240101_000000", "20240201_000000"):
+        reports.write_report(rows, str(tmp_path), run_ts=ts, formats=("json",))
+    latest = reports.read_latest(spark, str(tmp_path))
+    assert all("run_ts=20240201_000000" in f for f in latest.inputFiles())

@@ -1,5 +1,5 @@
-"""Registered queries against the DuckDB oracle at sf0.001 (a fast core subset),
-the flagship entry, and the file-drop stream."""
+"""The library's registered queries against the DuckDB oracle at sf0.001, the flagship
+entry, and the file-drop stream."""
 
 import math
 
@@ -8,9 +8,11 @@ import pytest
 
 from conftest import SF0001
 
-CORE = ["classify", "category_summary", "enrich", "anomaly_flags", "disposition_compare", "label_queue_priority",
-        "labeling_score", "exclude_rows", "feature_table", "grouped_split", "confusion_matrix", "macro_metrics",
-        "display_rounding", "mapping_suggest", "normalize_columns", "queue_apply"]
+from __spark_entry__ import ROWS_ONLY
+from oracle import ORACLE
+from transitlab.plans.queries import registry
+
+LIBRARY = sorted(ORACLE.keys() - ROWS_ONLY)
 
 
 def _norm(v):
@@ -32,7 +34,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", CORE)
+@pytest.mark.parametrize("name", LIBRARY)
 def test_matches_oracle(spark, con, name):
     from __spark_entry__ import oracle_sql, queries
 
@@ -46,7 +48,8 @@ def test_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_rows_only():
     from __spark_entry__ import ROWS_ONLY, oracle_sql, queries
 
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    library = set(registry())
+    assert library <= set(queries()) and library - set(oracle_sql()) == ROWS_ONLY
 
 
 def test_entry(spark):

@@ -5,7 +5,11 @@ import statistics
 
 import pytest
 
-from transitlab.operators.stats import category_profile, distinct_values, exact_medians, modes
+from pyspark.sql import functions as F
+
+from transitlab.config import FeatureSpec
+from transitlab.operators.features import fit, sparse_onehot
+from transitlab.operators.stats import category_vocabulary, distinct_values, exact_medians, modes
 
 
 @pytest.mark.parametrize("n,hot", [(1, False), (2, False), (1001, False), (20000, False), (20000, True)])
@@ -16,21 +20,44 @@ def test_exact_median_matches_python(spark, n, hot):
         vals[: n // 3] = [42.0] * (n // 3)
     rows = [(v, None) for v in vals]
     df = spark.createDataFrame(rows, "x double, empty double").repartition(6)
-    got = exact_medians(df, ["x", "empty"], small=64, accuracy=200)
+    got = exact_medians(df, ["x", "empty"], accuracy=200)
     assert got["x"] == statistics.median(vals)
     assert got["empty"] is None
 
 
+def test_median_of_a_coarse_sketch(spark):
+    """A sketch too coarse for the data asks again with a finer one; there is no last round."""
+    df = spark.range(50_001).select((F.col("id") * 7919 % 50_001).cast("double").alias("x"))
+    assert exact_medians(df, ["x"], accuracy=2)["x"] == 25_000.0
+
+
 def test_modes_and_distinct(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "s string")
     assert modes(df, ["s"]) == {"s": "a"}  # tie -> smallest
-    assert distinct_values(df, "s") == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        distinct_values(df, "s", max_values=2)
+    assert [r["v"] for r in distinct_values(df, "s").collect()] == ["a", "b", "c"]
 
 
-def test_category_profile(spark):
-    df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "s string")
-    assert category_profile(df, "s") == ("a", ["a", "b", "c"], True)
-    with pytest.raises(ValueError):
-        category_profile(df, "s", max_values=2)
+@pytest.fixture(scope="module")
+def many(spark):
+    """1,500 values, one of them twice, and a NULL."""
+    return spark.range(1502).select(
+        F.when(F.col("id") < 1501, F.concat(F.lit("v"), F.lpad((F.col("id") % 1500).cast("string"), 4, "0"))).alias("s")
+    )
+
+
+def test_vocabulary_at_any_cardinality(many):
+    rows = category_vocabulary(many, "s").orderBy("index").collect()
+    assert [tuple(r) for r in rows] == [(f"v{i:04}", i) for i in range(1500)]
+
+
+def test_fit_impute_and_encode_many_categories(many):
+    spec = lambda **how: FeatureSpec(categorical=({"name": "s", **how},))
+    assert fit(many, spec(encoding="raw", impute="constant")).categorical[0]["fill"] == "UNK"
+    raw = fit(many, spec(encoding="raw", impute="most_frequent"))
+    assert raw.categorical[0]["fill"] == "v0000"
+    assert raw.transform(many).where("s = 'v0000'").count() == 3
+    assert len(fit(many, spec(encoding="onehot")).feature_names) == 1500
+    vectors, size = sparse_onehot(many, "s")
+    assert size == 1500
+    got = {r["s"]: (r["s_vec"].size, r["s_vec"].indices.tolist()) for r in vectors.collect()}
+    assert got["v0007"] == (1501, [7]) and got[None] == (1501, [1500])

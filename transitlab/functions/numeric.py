@@ -19,6 +19,18 @@ from ..config import NULL_TOKENS
 NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
 
 
+#: What Python's ``str.strip`` takes off: all white space, not the space alone.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at either end."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
+
+
 def nan_to_null(c: Column) -> Column:
     """NULL for NaN, value otherwise (for double columns). ``nanvl`` refers to
     its input once, which keeps inlined expression trees small."""
@@ -33,7 +45,7 @@ def finite_or_null(c: Column) -> Column:
 def text_to_double(c: Column) -> Column:
     """Parse text the way Python's float() does for the usual literals: null
     tokens and unparseable text become NULL, NaN becomes NULL."""
-    s = F.trim(c)
+    s = strip(c)
     ok = ~s.isin(*NULL_TOKENS) & F.lower(s).rlike(NUMERIC_TEXT)
     return nan_to_null(F.when(ok, s.try_cast("double")))
 
@@ -53,7 +65,7 @@ def as_double(c: Column, dtype: T.DataType) -> Column:
 
 def null_tokens_to_null(c: Column) -> Column:
     """S3: the CSV null tokens (after trimming) become NULL; other text is kept."""
-    return F.when(~F.trim(c).isin(*NULL_TOKENS), c)
+    return F.when(~strip(c).isin(*NULL_TOKENS), c)
 
 
 def round_half_away(c: Column, digits: int) -> Column:

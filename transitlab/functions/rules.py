@@ -24,6 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import COLD_DEEP_DEPTH, Thresholds
+from .numeric import strip
 
 # Category names, flag names and scores of the rule classifier.
 NO_RESULT = "no_result"
@@ -71,8 +72,8 @@ class RuleInputs:
 
 
 def disposition_key(raw: Column) -> Column:
-    """upper(trim(disposition)); NULL stays NULL."""
-    return F.upper(F.trim(raw))
+    """The disposition in upper case without white space around it; NULL stays NULL."""
+    return F.upper(strip(raw))
 
 
 def anomaly_conditions(x: RuleInputs, th: Thresholds) -> dict[str, Column]:
@@ -107,7 +108,7 @@ def disposition_category(raw: Column) -> Column:
 
 def compare_columns(raw_disposition: Column, category: Column) -> dict[str, Column]:
     """Missing / match / mismatch with the boolean and the colour."""
-    missing = raw_disposition.isNull() | (F.trim(raw_disposition) == "")
+    missing = raw_disposition.isNull() | (strip(raw_disposition) == "")
     match = F.coalesce(disposition_category(raw_disposition) == category, F.lit(False))
     return {
         "disposition_compare": F.when(missing, "missing").when(match, "match").otherwise("mismatch"),
@@ -117,7 +118,7 @@ def compare_columns(raw_disposition: Column, category: Column) -> dict[str, Colu
 
 
 def _norm_label(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(c)), r"\s+", "_")
+    return F.regexp_replace(F.lower(strip(c)), r"\s+", "_")
 
 
 def color_hint_fallback(color_hint: Column, raw_disposition: Column, category: Column) -> Column:

@@ -36,9 +36,10 @@ def filter_category(df: DataFrame, category: str | None) -> DataFrame:
     return df.where(F.col("category").cast("string") == F.lit(category))
 
 
-def lookup_object(df: DataFrame, object_id: str, columns: Sequence[str] | None = None) -> DataFrame:
+def lookup_object(df: DataFrame, object_id: str | Column, columns: Sequence[str] | None = None) -> DataFrame:
     """The first row whose object_id equals the string, optional projection."""
-    hit = df.where(F.col("object_id").cast("string") == F.lit(str(object_id)))
+    key = object_id if isinstance(object_id, Column) else F.lit(str(object_id))
+    hit = df.where(F.col("object_id").cast("string") == key)
     cols = [c for c in (columns or []) if c in df.columns]
     if cols:
         hit = hit.select(*cols)
@@ -52,11 +53,23 @@ def page(df: DataFrame, page_no: int, page_size: int, order: Sequence[Column | s
     return df.orderBy(*order).offset(start).limit(size)
 
 
-def page_after(df: DataFrame, key: str, last_key: str | None, page_size: int = 50) -> DataFrame:
-    """O4 keyset paging for deep pages: rows after ``last_key`` (a pushed filter)."""
+def page_after(
+    df: DataFrame, key: str, last: tuple | None, page_size: int = 50, unique_id: str = "object_id"
+) -> DataFrame:
+    """O4 keyset paging for deep pages: the rows after ``last`` = (key, unique id) of the page before.
+
+    Order is key ascending with NULL keys first, then the unique id, so rows that
+    share a key, or have none, are served once each."""
     size = page_size if page_size and page_size > 0 else 50
-    rows = df if last_key is None else df.where(F.col(key) > F.lit(last_key))
-    return rows.orderBy(key).limit(size)
+    k, i = F.col(key), F.col(unique_id)
+    rows = df
+    if last is not None:
+        value, ident = last
+        if value is None:
+            rows = df.where(k.isNotNull() | (i > F.lit(ident)))
+        else:
+            rows = df.where((k > F.lit(value)) | ((k == F.lit(value)) & (i > F.lit(ident))))
+    return rows.orderBy(k.asc_nulls_first(), i.asc()).limit(size)
 
 
 def total_rows(df: DataFrame) -> int:
@@ -64,9 +77,9 @@ def total_rows(df: DataFrame) -> int:
     return df.count()
 
 
-def newest_first(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """Descending listing, optional limit (a top-k)."""
-    out = df.orderBy(F.col(key).desc())
+def newest_first(df: DataFrame, key: str, limit: int | None = None, tie: str | None = None) -> DataFrame:
+    """Descending listing, ties by ``tie`` ascending, optional limit (a top-k)."""
+    out = df.orderBy(F.col(key).desc(), *([F.col(tie).asc()] if tie else []))
     return out.limit(limit) if limit else out
 
 

@@ -8,6 +8,8 @@ expected duration, ratio and soft flags are appended.
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,13 @@ def enrich(
     albedo: float = DEFAULT_ALBEDO,
     auto_derive: bool = True,
     rsun_in_au: float | None = None,
+    outputs: Sequence[str] | None = None,
 ) -> DataFrame:
     """M7: the input with typed inputs, filled sma/teq/insol and derived columns.
 
+    ``outputs`` names the columns the caller will read: only these leave, and only
+    the formulas (and input columns) they need are built. None means all.
+
     Three stacked projections, each referring to the previous one by column
     name: (1) typed inputs and the filled semi-major axis, (2) everything that
     depends on it, (3) the duration ratio. Catalyst only collapses a project
@@ -75,7 +81,12 @@ def enrich(
     # only to here and refers to these columns as attributes; without it,
     # Catalyst pastes the whole formula tree into every pushed predicate and
     # the generated filter method outgrows the JVM's 64 KB limit.
-    passthrough = [n for n in df.columns if n not in DERIVED]
-    fenced = stage3.select(*[F.col(f"`{n}`") for n in passthrough], F.inline(F.array(F.struct(*DERIVED))))
     ordered = list(df.columns) + [n for n in DERIVED if n not in df.columns]
+    if outputs is not None:
+        ordered = [n for n in ordered if n in set(outputs)]
+    passthrough = [n for n in ordered if n not in DERIVED]
+    derived = [n for n in DERIVED if n in ordered]
+    if not derived:
+        return stage3.select(*[F.col(f"`{n}`") for n in ordered])
+    fenced = stage3.select(*[F.col(f"`{n}`") for n in passthrough], F.inline(F.array(F.struct(*derived))))
     return fenced.select(*[F.col(f"`{n}`") for n in ordered])

@@ -5,8 +5,8 @@ The queue is a table with explicit ordering columns instead of an ordered
 JSON list, so every step is a DataFrame operation:
 
 * ranking is a top-k (``TakeOrderedAndProject``: each task keeps k rows);
-* merge is ``unionByName`` + keyed dedup by ``min_by`` (partial aggregation
-  collapses a hot key on the map side before the shuffle);
+* merge is ``unionByName`` + the least of one long per key (hash aggregation,
+  which collapses a hot key on the map side) + one sort of the rows kept;
 * apply is an append to the label log and a ``left_anti`` view, so there is
   no read-modify-write of the queue.
 """
@@ -17,16 +17,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LabelingConfig
+from ..functions.numeric import strip
 from ..functions.rules import disposition_category
+from ..functions.sampling import hash_bucket
 from .ordering import top_k_with_positions, with_positions
 
+#: Set in the rank of a new item, so that it comes after every existing one.
+NEW_ITEM = 1 << 62
+
 QUEUE_COLUMNS = ("object_id", "suggested_label", "score_model", "score_labeling", "flags")
 
 
 def split_flags(c: Column) -> Column:
     """F6/X3: ';'-joined flags -> array without blank tokens (NULL -> [])."""
-    parts = F.split(F.coalesce(F.trim(c.cast("string")), F.lit("")), ";")
-    return F.filter(parts, lambda x: x != "")
+    parts = F.split(F.coalesce(strip(c.cast("string")), F.lit("")), ";")
+    return F.array_remove(parts, "")
 
 
 def _flags_array(df: DataFrame) -> Column:
@@ -43,7 +48,7 @@ def category_weight(cat: Column, cfg: LabelingConfig) -> Column:
     if not cfg.category_weights:
         return F.lit(0.0)
     m = F.create_map(*[x for k, v in cfg.category_weights for x in (F.lit(k), F.lit(float(v)))])
-    return F.coalesce(F.try_element_at(m, F.trim(cat)), F.lit(0.0))
+    return F.coalesce(F.try_element_at(m, strip(cat)), F.lit(0.0))
 
 
 def interesting_count(flags: Column, cfg: LabelingConfig) -> Column:
@@ -129,9 +134,12 @@ def queue_items(df: DataFrame, cfg: LabelingConfig) -> DataFrame:
 
 
 def ranking_order(cfg: LabelingConfig) -> list[Column]:
-    """O1 as a total order: priority index, strategy key, then object_id."""
+    """O1 as a total order: priority index, strategy key, then object_id.
+
+    The random strategy orders by a hash of the id and the seed, so a shuffle is
+    the same on every run and partitioning."""
     if cfg.strategy == "random":
-        key = F.rand(cfg.seed)
+        key = hash_bucket(F.col("object_id"), cfg.seed).asc()
     elif cfg.strategy in ("uncertainty", "low_confidence"):
         key = F.abs(F.lit(0.5) - F.col("score_model")).asc()
     else:
@@ -148,11 +156,7 @@ def build_queue(df: DataFrame, cfg: LabelingConfig | None = None, limit: int | N
     cfg = cfg or LabelingConfig.load()
     k = cfg.batch_size if limit is None else int(limit)
     items = queue_items(df, cfg)
-    if cfg.strategy == "random":
-        items = items.withColumn("__r", F.rand(cfg.seed))
-        order = [F.col("priority_idx").asc(), F.col("__r").asc(), F.col("object_id").asc()]
-    else:
-        order = ranking_order(cfg)
+    order = ranking_order(cfg)
     if k and k > 0:
         out = top_k_with_positions(items, order, k, name="queue_pos")
     else:
@@ -160,26 +164,22 @@ def build_queue(df: DataFrame, cfg: LabelingConfig | None = None, limit: int | N
     return out.select(*QUEUE_COLUMNS, "queue_pos")
 
 
-def merge_queues(existing: DataFrame, new_items: DataFrame, dedup_on: str = "object_id", positions: bool = True) -> DataFrame:
+def merge_queues(existing: DataFrame, new_items: DataFrame, dedup_on: str = "object_id") -> DataFrame:
     """Keep existing order, append unseen new items in their order.
 
-    Dedup keeps, per key, the item with the smallest (source, position):
-    ``min_by`` is a declarative aggregate, so Spark combines partially before
-    the shuffle and a key holding a third of the rows stays one small buffer."""
+    Dedup keeps, per key, the item with the smallest (source, position), packed
+    into one long: its minimum is a hash aggregate that Spark combines before the
+    shuffle, so a key holding a third of the rows stays one small buffer. The rows
+    with that minimum are joined back and sorted once. Both queues need a distinct
+    ``queue_pos``; without one, number them first (``build_queue``)."""
     cols = [c for c in existing.columns if c != "queue_pos"]
-    both = existing.select(*cols, F.lit(0).alias("__src"), F.col("queue_pos").alias("__pos")).unionByName(
-        new_items.select(*cols, F.lit(1).alias("__src"), F.col("queue_pos").alias("__pos"))
-    )
-    key = F.col(dedup_on).cast("string")
-    rank = F.struct(F.col("__src"), F.col("__pos"))
-    kept = (
-        both.groupBy(key.alias("__key"))
-        .agg(F.min_by(F.struct(*[F.col(c) for c in cols], F.col("__src"), F.col("__pos")), rank).alias("r"))
-        .select("r.*")
+    both = existing.select(*cols, F.col("queue_pos").cast("long").alias("__rank")).unionByName(
+        new_items.select(*cols, F.col("queue_pos").cast("long").bitwiseOR(F.lit(NEW_ITEM)).alias("__rank"))
     )
-    if not positions:
-        return kept
-    return with_positions(kept, [F.col("__src"), F.col("__pos")], name="queue_pos").drop("__src", "__pos")
+    keyed = both.withColumn("__key", F.coalesce(F.col(dedup_on).cast("string"), F.lit("")))
+    first = keyed.groupBy("__key").agg(F.min("__rank").alias("__rank"))
+    kept = keyed.join(first, ["__key", "__rank"]).drop("__key")
+    return with_positions(kept, [F.col("__rank")], name="queue_pos").drop("__rank")
 
 
 def enqueue(queue: DataFrame, items: DataFrame, order: list[Column] | None = None) -> DataFrame:
@@ -210,13 +210,25 @@ def apply_labels(queue: DataFrame, label_log: DataFrame) -> DataFrame:
     return queue.join(labelled, "object_id", "left_anti")
 
 
-def label_events(rows: DataFrame, seq_col: str | None = None) -> DataFrame:
-    """Label events (object_id, label, notes, seq) from any rows."""
-    notes = F.col("notes").cast("string") if "notes" in rows.columns else F.lit(None).cast("string")
-    seq = F.col(seq_col).cast("long") if seq_col else F.monotonically_increasing_id()
-    return rows.where(F.col("object_id").isNotNull() & F.col("label").isNotNull()).select(
-        F.col("object_id").cast("string").alias("object_id"),
-        F.col("label").cast("string").alias("label"),
-        notes.alias("notes"),
-        seq.alias("seq"),
+LABEL_EVENT = "object_id string, label string, notes string, labeled_at timestamp, seq long"
+
+
+def label_events(rows: DataFrame, seq_col: str | None = None, after: int = -1) -> DataFrame:
+    """Label events (object_id, label, notes, labeled_at, seq) from any rows.
+
+    ``seq`` is the caller's column, or it counts up from ``after`` + 1, where
+    ``after`` is the greatest number in the log so far: in the order of the label
+    time, then of all other columns, so a later append always has greater numbers."""
+    present = {f.name: f.dataType for f in rows.schema.fields}
+
+    def column(name: str, kind: str) -> Column:
+        return (F.col(name) if name in present else F.lit(None)).cast(kind).alias(name)
+
+    events = rows.where(F.col("object_id").isNotNull() & F.col("label").isNotNull()).select(
+        column("object_id", "string"), column("label", "string"), column("notes", "string"),
+        column("labeled_at", "timestamp"), *([F.col(seq_col).cast("long").alias("seq")] if seq_col else []),
     )
+    if seq_col:
+        return events
+    order = [F.col(c).asc_nulls_first() for c in ("labeled_at", "object_id", "label", "notes")]
+    return with_positions(events, order, name="seq", start=after + 1)

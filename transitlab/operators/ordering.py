@@ -1,56 +1,55 @@
-"""Positions over a total order without a single-partition window.
-
-``orderBy`` range-partitions the data; per-partition row counts (one row per
-partition) become start offsets that are broadcast back (bounded by the
-partition count, not by the data). With a total order the sort is
-deterministic, so the counting pass and the final pass (or a recomputation
-after a lost executor) place every row identically; pass ``checkpoint=True``
-to cut lineage into the shared checkpoint folder instead of sorting twice.
+"""Row numbers over a total or a load order without a single-partition window.
+
+The numbered rows are written once to the shared checkpoint folder together with
+the partition they were in and their place in it. From then on both are stored
+values: neither a lost executor, nor a second evaluation, nor another partition
+coalescing can change them. Offsets are sums over one row per partition.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+#: ``monotonically_increasing_id`` holds the partition above these bits and the place below.
+PLACE_BITS = 33
+
+
+def number_rows(df: DataFrame, name: str, start: int = 0) -> DataFrame:
+    """``name`` = ``start`` + 0-based place of each row in the order that ``df`` delivers them.
 
-def with_positions(df: DataFrame, order: Sequence[Column], name: str = "pos", start: int = 0, checkpoint: bool = False) -> DataFrame:
-    """Append ``name`` = 0-based (plus ``start``) position of each row in ``order``.
-
-    The sorted rows are persisted once; the per-partition counts (one row per
-    partition, bounded by the partition count) are collected from them and
-    joined back as a broadcast table, so nested position steps never
-    re-evaluate their inputs."""
-    ranked = df.orderBy(*order)
-    if checkpoint:
-        ranked = cut_lineage(ranked)
-    base = ranked.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
-    # Keep the sorted rows for the final pass (spills to disk; a lost block is
-    # recomputed from lineage, and the total order makes that reproducible).
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = sorted((r["__pid"], r["__n"]) for r in base.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n")).collect())
-    offsets, acc = [], 0
-    for pid, n in counts:
-        offsets.append((int(pid), acc))
-        acc += int(n)
-    spark = df.sparkSession
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "__pid int, __off long")
-    local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    The write to the checkpoint folder is the only job. The offsets are a window
+    over the partitions' counts, broadcast back: as many rows as partitions."""
+    stored = cut_lineage(df.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", PLACE_BITS)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        stored.groupBy(part.alias("__part"))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    )
+    place = F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
     return (
-        base.join(F.broadcast(off_df), "__pid")
-        .withColumn(name, (F.col("__off") + local + F.lit(start)).cast("long"))
-        .drop("__pid", "__mid", "__off")
+        stored.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(name, (F.col("__before") + place + F.lit(start)).cast("long"))
+        .drop("__part", "__at", "__before")
     )
 
 
+def with_positions(df: DataFrame, order: Sequence[Column], name: str = "pos", start: int = 0) -> DataFrame:
+    """Append ``name`` = 0-based (plus ``start``) position of each row in ``order``."""
+    return number_rows(df.orderBy(*order), name, start)
+
+
 def top_k_with_positions(df: DataFrame, order: Sequence[Column], k: int, name: str = "pos", start: int = 0) -> DataFrame:
     """Top-k (TakeOrderedAndProject: each task keeps k rows) plus positions.
 
-    The window runs over the k-row result only."""
+    The window runs over the k-row result only, so k is a page or a batch; use
+    ``with_positions`` and a filter on the position for a large share of the rows."""
     top = df.orderBy(*order).limit(int(k))
     return top.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1 + start).cast("long"))

@@ -8,12 +8,13 @@ narrows the rank window with pivots:
    target rank, for every column at once;
 2. one aggregate: for each pivot, how many values lie below / at it;
 3. either a pivot is the value at the target rank, or the bracket between two
-   pivots holds it; repeat inside the bracket until it holds at most
-   ``small`` values, then collect that bounded bracket and pick the rank.
+   pivots holds it; repeat inside the bracket. The sketch is exact once the
+   bracket holds fewer values than its accuracy, so the search ends with a pivot
+   at the rank; a bracket that doesn't halve is asked again with a finer sketch.
 
 Every pass is a scan with map-side partial aggregation; the driver only sees
-pivot lists and, at the end, at most ``small`` values per column. The result
-is exact (pandas ``median``: mean of the two middle values).
+pivots and counts. The result is exact (pandas ``median``: mean of the two
+middle values), at any size.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import with_positions
+
 INF = float("inf")
 
 
@@ -50,9 +53,7 @@ def exact_quantile_values(
     df: DataFrame,
     targets: Sequence[tuple[str, int]],
     sizes: dict[str, int] | None = None,
-    small: int = 4096,
     accuracy: int = 10000,
-    max_rounds: int = 12,
     first_pivots: dict[str, list[float]] | None = None,
 ) -> dict[tuple[str, int], float]:
     """Exact value at 0-based rank r of each (column, r); NaN-free double columns.
@@ -71,13 +72,12 @@ def exact_quantile_values(
     for t in todo:
         t.size = int(sizes[t.col])
 
-    for round_no in range(max_rounds):
-        open_ = [t for t in todo if t.value is None and t.size > small]
-        if not open_:
-            break
+    first = first_pivots
+    while open_ := [t for t in todo if t.value is None and t.size > 0]:
         # Pass 1: pivots inside each bracket around the target rank.
-        if round_no == 0 and first_pivots is not None:
-            pivots = [sorted(set(first_pivots.get(t.col) or [])) for t in open_]
+        if first is not None:
+            pivots = [sorted(set(first.get(t.col) or [])) for t in open_]
+            first = None
         else:
             aggs = []
             for i, t in enumerate(open_):
@@ -95,6 +95,7 @@ def exact_quantile_values(
                 caggs.append(F.count(F.when(ins & (c < F.lit(p)), 1)).alias(f"lt{i}_{j}"))
                 caggs.append(F.count(F.when(ins & (c <= F.lit(p)), 1)).alias(f"le{i}_{j}"))
         crow = df.agg(*caggs).first() if caggs else None
+        stuck = False
         for i, t in enumerate(open_):
             new_lo, new_hi, below = t.lo, t.hi, 0
             hi_lt = t.size
@@ -108,24 +109,12 @@ def exact_quantile_values(
                 elif lt > t.rank and float(p) < new_hi:
                     new_hi, hi_lt = float(p), lt
             if t.value is None:
+                stuck |= 2 * (hi_lt - below) > t.size
                 t.lo, t.hi = new_lo, new_hi
                 t.rank -= below
                 t.size = hi_lt - below
-
-    # Final pass: collect each small bracket (at most `small` values) and pick.
-    rest = [t for t in todo if t.value is None and t.size > 0]
-    too_big = [t.col for t in rest if t.size > small]
-    if too_big:
-        raise RuntimeError(f"rank bracket did not shrink below {small} values for {too_big}")
-    if rest:
-        aggs = [
-            F.collect_list(F.when(_inside(F.col(t.col), t.lo, t.hi), F.col(t.col))).alias(f"v{i}")
-            for i, t in enumerate(rest)
-        ]
-        vrow = df.agg(*aggs).first()
-        for i, t in enumerate(rest):
-            vals = sorted(vrow[f"v{i}"])
-            t.value = float(vals[t.rank])
+        if stuck:
+            accuracy *= 4
     return {(t.col, r): t.value for t, (_, r) in zip(todo, targets)}
 
 
@@ -192,34 +181,12 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     return out
 
 
-def distinct_values(df: DataFrame, col: Column | str, max_values: int = 1000) -> list[str]:
-    """Sorted distinct non-null values; refuses more than ``max_values``.
-
-    Reads at most ``max_values + 1`` rows of the distinct set on the driver."""
+def distinct_values(df: DataFrame, col: Column | str) -> DataFrame:
+    """(v) the sorted distinct non-null values, as a table of any size."""
     c = F.col(col) if isinstance(col, str) else col
-    vals = (
-        df.where(c.isNotNull()).select(c.cast("string").alias("v")).distinct().orderBy("v").limit(max_values + 1).collect()
-    )
-    if len(vals) > max_values:
-        raise ValueError(f"more than {max_values} distinct values; use a StringIndexer/OneHotEncoder pipeline")
-    return [r["v"] for r in vals]
-
-
-def category_profile(df: DataFrame, col: str, max_values: int = 1000) -> tuple[str | None, list[str], bool]:
-    """A5 + A6 in one pass: (mode, sorted distinct non-null values, has_nulls).
-
-    ``groupBy(value).count()`` combines on the map side; at most
-    ``max_values + 2`` groups (the NULL group included) reach the driver, and
-    more distinct values than that is refused."""
-    rows = (
-        df.groupBy(F.col(col).cast("string").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(max_values + 2)
-        .collect()
-    )
-    values = sorted(r["v"] for r in rows if r["v"] is not None)
-    if len(values) > max_values:
-        raise ValueError(f"more than {max_values} distinct values; use a StringIndexer/OneHotEncoder pipeline")
-    counted = [(-r["n"], r["v"]) for r in rows if r["v"] is not None]
-    mode = min(counted)[1] if counted else None
-    return mode, values, any(r["v"] is None for r in rows)
+    return df.where(c.isNotNull()).select(c.cast("string").alias("v")).distinct().orderBy("v")
+
+
+def category_vocabulary(df: DataFrame, col: str) -> DataFrame:
+    """(v, index): each distinct non-null value with its place in sorted order, at any cardinality."""
+    return with_positions(distinct_values(df, col), [F.col("v")], name="index")

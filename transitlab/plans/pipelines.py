@@ -18,10 +18,10 @@ from ..config import FeatureSpec, LabelingConfig, Thresholds
 from ..operators.classify import classify
 from ..operators.enrich import enrich
 from ..operators.features import build
-from ..operators.labeling import apply_labels, build_queue, label_events
+from ..operators.labeling import LABEL_EVENT, apply_labels, build_queue, label_events
 from ..operators.schema import MappingRow, normalize_columns
 from ..sinks.reports import read_latest, run_timestamp, write_manifest, write_report, write_table
-from ..sources.readers import load
+from ..sources.readers import load, path_exists
 
 
 @dataclass
@@ -39,7 +39,7 @@ def classify_table(df: DataFrame, albedo: float = 0.3, auto_derive: bool = True,
 
 def process(spark: SparkSession, path: str, out_dir: str, albedo: float = 0.3, thresholds: Thresholds | None = None, run_ts: str | None = None) -> ProcessResult:
     results, mapping = classify_table(load(spark, path), albedo=albedo, thresholds=thresholds)
-    ts = write_report(results, out_dir, run_ts=run_ts)
+    ts = write_report(results, out_dir, run_ts=run_ts, extras={"source_file": path, "albedo": str(albedo)})
     return ProcessResult(ts, mapping, results)
 
 
@@ -59,7 +59,7 @@ def make_dataset(
     ts = run_timestamp()
     features_file = f"{out_dir.rstrip('/')}/features/ts={ts}"
     write_table(features, features_file)
-    rows = spark.read.parquet(features_file).count()  # answered from footers
+    meta["row_count"] = rows = spark.read.parquet(features_file).count()  # answered from footers
     manifest = {
         "feature_version": feature_version,
         "source_file": path,
@@ -84,18 +84,19 @@ def update_queue(spark: SparkSession, reports_dir: str, queue_path: str, cfg: La
 
 
 def apply_label(spark: SparkSession, labels: DataFrame, label_log_path: str) -> None:
-    """K8: append label events; the queue view subtracts them."""
-    label_events(labels).write.mode("append").parquet(label_log_path)
+    """K8: append label events, numbered above the log's greatest; the queue view subtracts them."""
+    after = -1
+    if path_exists(spark, label_log_path):
+        after = spark.read.parquet(label_log_path).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+    label_events(labels, after=int(after)).write.mode("append").parquet(label_log_path)
 
 
 def open_queue(spark: SparkSession, queue_path: str, label_log_path: str) -> DataFrame:
-    """The queue minus labelled objects, in queue order."""
+    """The queue minus labelled objects, in queue order. No log means no labels; a log that can't be read is an error."""
     queue = spark.read.parquet(queue_path)
-    try:
-        log = spark.read.parquet(label_log_path)
-    except Exception:  # no labels yet
-        return queue.orderBy("queue_pos")
-    return apply_labels(queue, log).orderBy("queue_pos")
+    if path_exists(spark, label_log_path):
+        queue = apply_labels(queue, spark.read.schema(LABEL_EVENT).parquet(label_log_path))
+    return queue.orderBy("queue_pos")
 
 
 def category_summary(results: DataFrame) -> DataFrame:

@@ -14,15 +14,15 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FeatureSpec, LabelingConfig, Thresholds
+from ..config import FeatureSpec, LabelingConfig, SplitConfig, Thresholds
 from ..functions import metrics as M
 from ..functions.numeric import round_half_away
 from ..functions.rules import anomaly_conditions, color_hint_fallback, disposition_category, strong_hits
 from ..operators import browse, evaluate, features, labeling, splits
 from ..operators.classify import classify, rule_inputs, with_classification
 from ..operators.enrich import enrich, typed_inputs
-from ..operators.schema import mapping_frame, normalize_columns, resolve_mapping
-from ..session import checkpoint_dir
+from ..operators.schema import mapping_frame, normalize_columns, resolve_mapping, with_ordinal_ids
+from ..session import checkpoint_dir, cut_lineage
 from ..sinks import reports
 from ..sources import readers
 from ..sources.fixtures import koi_alias, koi_fixture, koi_text, table
@@ -148,11 +148,11 @@ def q_enrich_albedo_05(spark, sf):
 
 
 def q_soft_flags(spark, sf):
-    return _enriched(spark, sf).select("object_id", "soft_flags")
+    return _enriched(spark, sf, outputs=("object_id", "soft_flags"))
 
 
 def q_habitability_flag(spark, sf):
-    return _enriched(spark, sf).select("object_id", splits.habitability_flag(F.col("koi_teq")).alias("habitability_flag"))
+    return _enriched(spark, sf, outputs=("object_id", "koi_teq")).select("object_id", splits.habitability_flag(F.col("koi_teq")).alias("habitability_flag"))
 
 
 # ----------------------------------------------------------------- classifier
@@ -170,7 +170,7 @@ def q_anomaly_flags(spark, sf):
 
 
 def q_missing_flags(spark, sf):
-    df = _enriched(spark, sf)
+    df = _enriched(spark, sf, outputs=("object_id", "koi_prad", "koi_period", "koi_teq"))
     x = rule_inputs(df)
     return df.select(
         "object_id",
@@ -238,9 +238,9 @@ def q_filter_category(spark, sf):
 
 
 def q_lookup_object(spark, sf):
-    r = _report(spark, sf)
-    first_id = r.agg(F.min("object_id")).first()[0]
-    return browse.lookup_object(r, first_id)
+    """The key is a scalar subquery over the id column alone: no job runs while the plan is built."""
+    first_id = _koi(spark, sf).agg(F.min("object_id")).scalar()
+    return browse.lookup_object(_report(spark, sf), first_id)
 
 
 def q_page_results(spark, sf):
@@ -250,8 +250,7 @@ def q_page_results(spark, sf):
 
 def q_newest_first(spark, sf):
     k = koi_fixture(spark, sf)
-    top = browse.newest_first(k.select("object_id", "discovery_date"), "discovery_date", None)
-    top = top.orderBy(F.col("discovery_date").desc(), F.col("object_id").asc()).limit(25)
+    top = browse.newest_first(k.select("object_id", "discovery_date"), "discovery_date", 25, tie="object_id")
     return top.select("object_id", F.date_format("discovery_date", "yyyy-MM-dd").alias("discovery_day"))
 
 
@@ -389,7 +388,9 @@ def q_feature_table(spark, sf):
 
 
 def q_latest_label_join(spark, sf):
-    feats = q_feature_table(spark, sf).select("object_id", "koi_period", "koi_prad")
+    spec = FeatureSpec.load()
+    two = FeatureSpec(features=tuple(f for f in spec.features if f["name"] in ("koi_period", "koi_prad")))
+    feats = _features(spark, sf, two).select("object_id", "koi_period", "koi_prad")
     return splits.join_latest_labels(feats, _label_log(spark, sf))
 
 
@@ -415,15 +416,15 @@ def _text_csv(spark, sf, sep: str, files: int | None = None) -> str:
     path = _scratch(spark, "csv")
     df = koi_text(spark, sf)
     if files:
-        df = df.repartition(files, "star_id")
-    (df.write.option("header", True).option("sep", sep)
+        df = df.repartition(files, "star_id", "object_id")
+    (df.write.option("header", True).option("sep", sep).option("escape", '"').option("quoteAll", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path
 
 
 TEXT_OUT = ("object_id", "star_id", "koi_period", "koi_prad", "koi_sma", "koi_smass", "koi_srad", "koi_slogg",
             "koi_steff", "koi_teq", "koi_insol", "koi_duration", "koi_impact", "koi_disposition", "stellar_type",
-            "uncertainty")
+            "uncertainty", "remark")
 
 
 def _typed_text(df: DataFrame) -> DataFrame:
@@ -507,9 +508,44 @@ def q_class_weights(spark, sf):
     return splits.class_weights(_labelled(spark, sf)).select("label", "n_class", r6(F.col("weight")).alias("weight"))
 
 
+def _rare(strategy: str) -> SplitConfig:
+    cfg = SplitConfig.load()
+    rare = cfg["primary"]["rare_classes"] | {"strategy": strategy}
+    return SplitConfig.load({"primary": {"rare_classes": rare}})
+
+
 def q_oversample(spark, sf):
     s = splits.grouped_split(_labelled(spark, sf))
-    return splits.oversample(s).select("object_id", "label", "split", "copy")
+    return splits.rare_classes(s, _rare("oversample_train")).select("object_id", "label", "split", "copy")
+
+
+def q_keep_together(spark, sf):
+    s = splits.grouped_split(_labelled(spark, sf))
+    return splits.rare_classes(s).select("object_id", "label", "split", "copy")
+
+
+def q_undersample(spark, sf):
+    s = splits.grouped_split(_labelled(spark, sf))
+    cfg = SplitConfig.load({"class_balance": {"strategy": "undersample"}})
+    return splits.balance(s, cfg).select("object_id", "label", "split")
+
+
+def q_stratified_split(spark, sf):
+    return splits.stratified_split(_labelled(spark, sf)).select("object_id", "star_id", "label", "split")
+
+
+def q_split_index(spark, sf):
+    s = splits.grouped_split(splits.split_filter(_labelled(spark, sf)))
+    return splits.split_index(splits.write_split(s, _scratch(spark, "splits")))
+
+
+def q_ordinal_ids(spark, sf):
+    """W1 over a shuffled table: how many ids there are, and the first and last number."""
+    k = _koi(spark, sf).drop("object_id").repartition("star_id")
+    n = F.regexp_extract("object_id", "([0-9]+)$", 1).cast("long")
+    return with_ordinal_ids(k).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("object_id").alias("n_ids"), F.min(n).alias("first"), F.max(n).alias("last")
+    )
 
 
 def _confusion(spark, sf) -> DataFrame:
@@ -526,15 +562,28 @@ def q_macro_metrics(spark, sf):
     return m.select(*[r6(F.col(c)).alias(c) if c != "n_classes" else F.col(c) for c in m.columns])
 
 
+def _baseline(spark, sf, algorithm: str) -> DataFrame:
+    """Trained on the catalogue's dispositions of the train stars, scored on those of the test stars."""
+    named = _detail(spark, sf).withColumn("label", disposition_category(F.col("koi_disposition"))).where("label is not null")
+    split = cut_lineage(splits.grouped_split(named))
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    model = features.fit(train, FeatureSpec.load())  # imputation and scales come from train alone
+    _, preds = evaluate.train_baseline(
+        model.transform(train, keep=("label",)), model.transform(test, keep=("label",)), model.feature_names, algorithm=algorithm
+    )
+    return evaluate.confusion_matrix(preds).withColumn("algorithm", F.lit(algorithm))
+
+
+def q_baseline_test_rows(spark, sf):
+    """The row totals of the baselines' confusion matrices on the test stars, for all algorithms."""
+    every = [_baseline(spark, sf, a) for a in evaluate.ALGORITHMS]
+    cm = every[0].unionByName(every[1]).unionByName(every[2])
+    return cm.groupBy("algorithm", "label").agg(F.sum("n").alias("n"))
+
+
 def q_baseline_model_metrics(spark, sf):
-    """Spark ML logistic regression on the feature table (label = rule
-    category), then the confusion matrix and macro metrics of its predictions.
-    Iterative training: checked on rows, not against SQL."""
-    detail = _detail(spark, sf).withColumn("label", F.col("category"))
-    model = features.fit(detail, FeatureSpec.load())
-    table_ = model.transform(detail, keep=("label",))
-    _, preds = evaluate.train_baseline(table_, model.feature_names, "label", max_iter=20)
-    return evaluate.macro_metrics(evaluate.confusion_matrix(preds, "label", "prediction"))
+    """Macro metrics of logistic regression on the test stars. Iterative training: checked on rows, not against SQL."""
+    return evaluate.macro_metrics(_baseline(spark, sf, "logistic_regression").drop("algorithm"))
 
 
 def registry() -> dict[str, Query]:

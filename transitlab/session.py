@@ -8,6 +8,7 @@ sets a scratch folder when it is unset (local runs and tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,17 +41,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a scratch folder only where none is set."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() or None
-    if not current:
-        current = tempfile.mkdtemp(prefix="transitlab-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+def checkpoint_dir(spark: SparkSession, scratch: str | None = None) -> str:
+    """The shared folder for checkpoints and scratch tables.
+
+    A folder that the cluster names in ``spark.checkpoint.dir`` (or that the
+    caller set on the context) is kept. Without one, ``scratch`` is set; in local
+    mode, where driver and executors are one process, a temporary folder will do.
+    On a cluster without a folder this is an error: executors would write to disks
+    that nobody else can read."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        shared = spark.conf.get("spark.checkpoint.dir", None) or scratch
+        if not shared:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("no shared scratch folder: set spark.checkpoint.dir or pass scratch=<URI>")
+            shared = tempfile.mkdtemp(prefix="transitlab-ckpt-")
+        context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

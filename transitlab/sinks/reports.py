@@ -1,20 +1,23 @@
 """Report sinks and the run catalogue.
 
-A processing run is written once, partitioned by ``run_ts`` (K1 CSV and K2
-JSON share the same rows); "latest" is ``max(run_ts)`` and reading it prunes
-partitions, so no pointer files are kept (K3). Paths can be any Hadoop URI.
+A processing run is evaluated once, into Parquet under ``rows/run_ts=<ts>``; the
+CSV (K1) and JSON (K2) forms and the metadata row are made from that. "Latest" is
+the greatest folder name in a listing, and only that folder is read, so no pointer
+files are kept (K3). Paths can be any Hadoop URI.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from typing import Iterable, Sequence
+from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.browse import newest_first, page
 from ..operators.schema import preferred_order
+from ..sources.readers import child_names, path_exists
 
 # Preferred column order of the written report.
 REPORT_ORDER = (
@@ -71,26 +74,47 @@ def report_rows(results: DataFrame) -> DataFrame:
     return sanitize(preferred_order(df, REPORT_ORDER))
 
 
-def write_report(results: DataFrame, out_dir: str, run_ts: str | None = None, formats: Sequence[str] = ("csv", "json")) -> str:
+def write_report(
+    results: DataFrame,
+    out_dir: str,
+    run_ts: str | None = None,
+    formats: Sequence[str] = ("csv", "json"),
+    extras: Mapping[str, str] | None = None,
+) -> str:
     """K1+K2: one run under ``<out_dir>/<fmt>/run_ts=<ts>``; returns the timestamp.
 
-    JSON keeps NULL fields (``ignoreNullFields=false``) so every row has every
-    column; CSV writes a header. Writes are per partition, no coalesce(1)."""
-    ts = run_ts or run_timestamp()
-    rows = report_rows(results).withColumn("run_ts", F.lit(ts))
+    The results are evaluated once, into ``<out_dir>/rows``; text forms are written
+    from there, per partition, and ``<out_dir>/meta`` gets a row (run_ts, row_count,
+    extras) whose count comes from the Parquet footers. JSON keeps NULL fields
+    (``ignoreNullFields=false``) so every row has every column; CSV has a header."""
+    ts, base = run_ts or run_timestamp(), out_dir.rstrip("/")
+    spark = results.sparkSession
+    stored = f"{base}/rows/run_ts={ts}"
+    report_rows(results).write.mode("append").parquet(stored)
+    rows = spark.read.parquet(stored)
     for fmt in formats:
-        w = rows.write.mode("append").partitionBy("run_ts")
-        base = f"{out_dir.rstrip('/')}/{fmt}"
+        w = rows.write.mode("append")
+        path = f"{base}/{fmt}/run_ts={ts}"
         if fmt == "csv":
-            (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
-             .option("ignoreTrailingWhiteSpace", False).csv(base))
+            (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+             .option("ignoreTrailingWhiteSpace", False).csv(path))
         elif fmt == "json":
-            w.option("ignoreNullFields", False).json(base)
-        else:
-            w.format(fmt).save(base)
+            w.option("ignoreNullFields", False).json(path)
+        elif fmt != "rows":
+            w.format(fmt).save(path)
+    meta = [(ts, rows.count(), dict(extras or {}))]
+    spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/meta")
     return ts
 
 
+META_SCHEMA = "run_ts string, row_count long, extras map<string,string>"
+
+
+def read_meta(spark: SparkSession, out_dir: str) -> DataFrame:
+    """K2: (run_ts, row_count, extras) of the runs written so far."""
+    return spark.read.schema(META_SCHEMA).json(f"{out_dir.rstrip('/')}/meta")
+
+
 REPORT_SCHEMA = T.StructType(
     [
         T.StructField("object_id", T.StringType()),
@@ -109,6 +133,17 @@ REPORT_SCHEMA = T.StructType(
 )
 
 
+def _reader(spark: SparkSession, fmt: str, schema: T.StructType):
+    reader = spark.read.schema(schema)
+    if fmt == "csv":
+        return reader.option("header", True).option("emptyValue", "").option("escape", '"').format("csv")
+    return reader.format("parquet" if fmt == "rows" else fmt)
+
+
+def _flags_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("flags", F.coalesce(F.col("flags"), F.lit(""))) if "flags" in df.columns else df
+
+
 def read_runs(spark: SparkSession, out_dir: str, fmt: str = "json", schema: T.StructType | None = None) -> DataFrame:
     """All runs with their ``run_ts`` partition column (declared schema,
     so no inference pass; D15: an empty CSV flags cell reads back as '').
@@ -116,52 +151,60 @@ def read_runs(spark: SparkSession, out_dir: str, fmt: str = "json", schema: T.St
     CSV has one spelling for NULL and '' (as in the reference's CSV reports),
     so other empty text cells, e.g. a blank disposition, read back as NULL;
     JSON keeps the difference."""
-    sch = schema or REPORT_SCHEMA
-    full = T.StructType(sch.fields + [T.StructField("run_ts", T.StringType())])
-    base = f"{out_dir.rstrip('/')}/{fmt}"
-    reader = spark.read.schema(full)
-    if fmt == "csv":
-        df = reader.option("header", True).option("emptyValue", "").csv(base)
-    else:
-        df = reader.json(base)
-    if "flags" in df.columns:
-        df = df.withColumn("flags", F.coalesce(F.col("flags"), F.lit("")))
-    return df
+    full = T.StructType((schema or REPORT_SCHEMA).fields + [T.StructField("run_ts", T.StringType())])
+    return _flags_text(_reader(spark, fmt, full).load(f"{out_dir.rstrip('/')}/{fmt}"))
 
 
-def latest_run_ts(runs: DataFrame) -> str | None:
-    """Greatest run timestamp (answered from partition values)."""
-    return runs.agg(F.max("run_ts")).first()[0]
+def run_timestamps(spark: SparkSession, out_dir: str, fmt: str = "json") -> list[str]:
+    """The runs of a report folder, oldest first, from the names of its folders alone."""
+    names = child_names(spark, f"{out_dir.rstrip('/')}/{fmt}")
+    return [name.partition("=")[2] for name in names if name.startswith("run_ts=")]
 
 
 def read_latest(spark: SparkSession, out_dir: str, fmt: str = "json") -> DataFrame:
-    """Rows of the newest run only; the filter prunes the other partitions."""
-    runs = read_runs(spark, out_dir, fmt)
-    ts = latest_run_ts(runs)
-    return runs.where(F.col("run_ts") == F.lit(ts))
-
-
-def read_report_json_document(spark: SparkSession, path: str, row_schema: T.StructType | None = None) -> DataFrame:
-    """A reference-style document ``{"rows": [...], "timestamp": ...}``.
-
-    ``multiLine`` JSON; rows are exploded with ``inline``."""
-    sch = T.StructType(
-        [
-            T.StructField("rows", T.ArrayType(row_schema or REPORT_SCHEMA)),
-            T.StructField("timestamp", T.StringType()),
-            T.StructField("row_count", T.LongType()),
-        ]
+    """Rows of the newest run; the folders of older runs aren't even listed."""
+    runs = run_timestamps(spark, out_dir, fmt)
+    if not runs:
+        raise FileNotFoundError(f"no {fmt} run under {out_dir}")
+    base = f"{out_dir.rstrip('/')}/{fmt}"
+    full = T.StructType(REPORT_SCHEMA.fields + [T.StructField("run_ts", T.StringType())])
+    return _flags_text(_reader(spark, fmt, full).option("basePath", base).load(f"{base}/run_ts={runs[-1]}"))
+
+
+def read_report_json_document(
+    spark: SparkSession, path: str, row_schema: T.StructType | None = None, limit: int | None = None
+) -> DataFrame:
+    """A report document, either ``{"rows": [...], "timestamp": ...}`` or a bare list of rows.
+
+    A document is parsed as a whole by one task (the format's bound); its rows are
+    then spread by ``inline``. ``limit`` is the caller's number of rows."""
+    rows = T.ArrayType(row_schema or REPORT_SCHEMA)
+    whole = T.StructType([T.StructField("rows", rows), T.StructField("timestamp", T.StringType())])
+    text = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value"))
+    bare = F.col("value").startswith("[")
+    doc = text.select(
+        F.when(bare, F.from_json("value", rows)).otherwise(F.from_json("value", whole)["rows"]).alias("rows"),
+        F.when(~bare, F.from_json("value", whole)["timestamp"]).alias("run_ts"),
     )
-    doc = spark.read.schema(sch).option("multiLine", True).json(path)
-    return doc.select(F.inline("rows"), F.col("timestamp").alias("run_ts"))
+    out = doc.select(F.inline("rows"), "run_ts")
+    return out.limit(limit) if limit else out
 
 
-def list_files(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
-    """(path, length, modificationTime) of files; content never read."""
+def read_report(spark: SparkSession, json_path: str, csv_path: str, limit: int | None = None) -> DataFrame:
+    """The JSON document if it exists, else the CSV form of the report."""
+    if path_exists(spark, json_path):
+        return read_report_json_document(spark, json_path, limit=limit).drop("run_ts")
+    out = _flags_text(_reader(spark, "csv", REPORT_SCHEMA).load(csv_path))
+    return out.limit(limit) if limit else out
+
+
+def list_files(spark: SparkSession, folder: str, glob: str | None = None, limit: int | None = None) -> DataFrame:
+    """(path, length, modificationTime) of files, newest first, ties by path; content never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder).select("path", "length", "modificationTime")
+    files = reader.load(folder).select("path", "length", "modificationTime")
+    return newest_first(files, "modificationTime", limit, tie="path")
 
 
 def pair_reports(listing: DataFrame) -> DataFrame:
@@ -212,3 +255,14 @@ def write_manifest(spark: SparkSession, manifest: dict, manifests_dir: str) -> N
 def latest_manifest(spark: SparkSession, manifests_dir: str) -> DataFrame:
     """The newest manifest row (top-1 by timestamp)."""
     return spark.read.json(manifests_dir).orderBy(F.col("timestamp").desc()).limit(1)
+
+
+def read_features(
+    spark: SparkSession, manifests_dir: str, object_id: str | None = None, page_no: int = 1, page_size: int = 50
+) -> DataFrame:
+    """A page of the features that the newest manifest names, by id, optionally of one object."""
+    rows = spark.read.parquet(latest_manifest(spark, manifests_dir).first()["features_file"])
+    if object_id is not None:
+        rows = rows.where(F.col("object_id").cast("string") == F.lit(object_id))
+    order = ["object_id"] if "object_id" in rows.columns else rows.columns
+    return page(rows, page_no, page_size, order)

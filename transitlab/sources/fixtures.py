@@ -119,4 +119,11 @@ def koi_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(s)
         )
         out.append(v.alias(c))
-    return k.select(*out)
+    # quotes, separators and words that pandas takes for missing, each for some stars
+    remark = (
+        F.when(F.col("star_id") % 4 == 0, F.concat(F.lit('seen "twice", by '), F.col("object_id")))
+        .when(F.col("star_id") % 4 == 1, F.lit("a;b|c\td,"))
+        .when(F.col("star_id") % 4 == 2, F.lit("N/A"))
+        .otherwise(F.lit('"'))
+    )
+    return k.select(*out, remark.alias("remark"))

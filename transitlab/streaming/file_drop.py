@@ -21,6 +21,7 @@ from ..functions.numeric import null_tokens_to_null
 from ..operators.classify import classify
 from ..operators.enrich import enrich
 from ..operators.schema import normalize_columns
+from ..sources.readers import csv_options
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -37,7 +38,7 @@ def classified_stream(
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Streaming DataFrame of classified rows for CSV files landing in ``folder``."""
-    reader = spark.readStream.schema(text_schema(columns)).option("header", True).option("sep", sep)
+    reader = spark.readStream.schema(text_schema(columns)).options(**csv_options(sep))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.csv(folder)
