@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import strip
 from ..operators.browse import newest_first, page
 from ..operators.schema import preferred_order
 from ..sources.readers import child_names, path_exists
@@ -180,7 +181,7 @@ def read_report_json_document(
     then spread by ``inline``. ``limit`` is the caller's number of rows."""
     rows = T.ArrayType(row_schema or REPORT_SCHEMA)
     whole = T.StructType([T.StructField("rows", rows), T.StructField("timestamp", T.StringType())])
-    text = spark.read.text(path, wholetext=True).select(F.ltrim("value").alias("value"))
+    text = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("value"))
     bare = F.col("value").startswith("[")
     doc = text.select(
         F.when(bare, F.from_json("value", rows)).otherwise(F.from_json("value", whole)["rows"]).alias("rows"),

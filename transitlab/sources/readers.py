@@ -56,8 +56,8 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, or ISO-8859-1 if some line isn't valid UTF-8 (it then reads as a replacement character)."""
-    broken = spark.read.text(path).where(F.col("value").contains("\ufffd")).limit(1)
+    """UTF-8, or ISO-8859-1 if the bytes of some line aren't valid UTF-8."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
