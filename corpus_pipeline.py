@@ -13,8 +13,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from transitlab.llm import langid, packing, quality, simhash, substring
-from transitlab.llm.common import ensure_checkpoint_dir, table
+from transitlab.llm.common import table
 from transitlab.llm.queries import BYTE_BPE, PIECES
+from transitlab.session import checkpoint_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    scratch = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
+    scratch = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{scratch}/{name}")

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from typing import Any, Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 #: A word is a run of anything but these six ASCII white-space bytes. ``bytes.split()`` cuts at the same six.
 SPACES = " \t\n\x0b\x0c\r"
-WORD = r"[^\x20\x09-\x0D]+"
 
 #: Characters of text handled at a time inside a task.
 SLICE_CHARS = 2_000_000
@@ -22,11 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: str | None) -> list[bytes]:
-    """The words of a text as UTF-8 (none for null)."""
-    return text.encode().split() if text else []
-
-
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows that hold about ``limit`` bytes of text, so that Python objects stay few."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -57,32 +52,9 @@ def map_slices(
     return df.mapInArrow(run, schema)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared checkpoint folder that the cluster names; set a local one only in local mode without any."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(shared)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder: computed once, and kept if executors are lost."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def as_long(unsigned: Iterable[int]) -> list[int]:
-    """Unsigned 64-bit numbers as the signed ones with the same bits."""
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in unsigned]
-
-
-def text_of(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+    return cut_lineage(df)
 
 
 def unused(df: DataFrame, name: str) -> str:
