@@ -81,6 +81,36 @@ def test_bands_reject_what_differs(spark):
     assert sum(inside[True]) <= 0.5 * len(inside[True]) and len(inside[True]) > 10
 
 
+def test_copies_of_one_text_leave_the_bands_alone(spark):
+    """Copies of one text, and rows that fail the base rules, fill over 80 % of a class: the others are judged as before."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clean = docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en'").select("doc_id", "text", "lang").cache()
+    before = {r.doc_id: r for r in quality.judge(clean, PATH, least=20).collect()}
+    group = [r for r in before.values() if r.length_class == 9 and r.kept]
+    assert len(group) > 50
+    copied = clean.where(F.col("doc_id") == max(group, key=lambda r: r.entropy).doc_id)
+    copies = copied.crossJoin(spark.range(5 * len(group)).select("id")).select(F.lit(-1).alias("doc_id"), "text", "lang")
+    poor = spark.range(len(group)).select(
+        F.lit(-2).alias("doc_id"), F.concat(F.repeat(F.lit("word "), 600), F.col("id")).alias("text"), F.lit("en").alias("lang")
+    )
+    for r in quality.judge(clean.union(copies).union(poor), PATH, least=20).collect():
+        assert r.doc_id < 0 or r == before[r.doc_id]
+        assert r.doc_id != -1 or r.kept
+
+
+def test_texts_nearly_alike_keep_a_least_width(spark):
+    """A text and its 1,000 near copies fill over 80 % of a class: nearly all clean documents of the class stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    clean = docs.join(labels.where("quality = 1"), "doc_id").where("lang = 'en'").select("doc_id", "text", "lang").cache()
+    group = sorted((r for r in quality.judge(clean, PATH).collect() if r.length_class == 9 and r.kept), key=lambda r: r.entropy)
+    copies = clean.where(F.col("doc_id") == group[len(group) // 2].doc_id).crossJoin(spark.range(1000).select("id"))
+    copies = copies.select(F.lit(-1).alias("doc_id"), F.concat("text", F.lit(" x"), "id").alias("text"), "lang")
+    rows = [r for r in quality.judge(clean.union(copies), PATH).collect() if r.length_class == 9 and r.doc_id >= 0]
+    assert sum(r.in_band for r in rows) >= 0.9 * len(rows) and 4 * len(rows) < 1000
+
+
 def test_edges(edge, empty, clashing):
     rows = quality.judge(edge, PATH).collect()
     assert len(rows) == edge.count()

@@ -4,9 +4,10 @@ A text is encoded whole by a piece vocabulary with byte fallback. Three figures
 follow: characters per token, the share of tokens that stand for single bytes, and
 the entropy of the token counts. Each is held against a band of the text's
 language and length class (the whole part of the binary logarithm of its tokens):
-the median and half the distance between the quartiles of all documents of that
-group, from exact counts of figures rounded to three places. A group with too few
-documents takes the band of its language, then that of all documents. Beside the
+the median and half the distance between the quartiles of that group, from exact
+counts of figures rounded to three places. Each distinct text that passes the base
+rules counts once, so copies and rows that go anyway don't set the bands. A group with
+too few texts takes the band of its language, then that of all texts. Beside the
 bands stand plain base rules: too few words, and too many words in repeated windows.
 """
 
@@ -32,6 +33,10 @@ FIGURES = ("chars_per_token", "byte_share", "entropy")
 #: Half quartile distances from the median to either bound. Bytes are rare, so their share scatters more.
 WIDTHS = {"chars_per_token": 8.0, "byte_share": 20.0, "entropy": 8.0}
 
+#: The least half quartile distances, near the smallest of any language and length class at sf0.1: a group of texts
+#: that are nearly alike doesn't narrow its band beyond them.
+LEAST_HALF = {"chars_per_token": 0.015, "byte_share": 0.001, "entropy": 0.035}
+
 
 class PieceIds(dict):
     """Maps what stands between two spaces to its piece ids (32-bit numbers); emptied when it holds ``limit``."""
@@ -118,7 +123,7 @@ def repeated_lines(text: str) -> int:
 
 
 def measures(docs: DataFrame, model_path: str, window: int = 8) -> DataFrame:
-    """A row for each document with its id, language, base counts and fertility figures."""
+    """A row for each document with its id, language, base counts, fertility figures and its text's hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         pieces, rows = vocabulary(model_path), []
@@ -139,15 +144,20 @@ def measures(docs: DataFrame, model_path: str, window: int = 8) -> DataFrame:
         columns = list(map(list, zip(*rows))) if rows else [[] for _ in range(9)]
         kinds = [pa.int64()] * 6 + [pa.float64()] * 3
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *FIGURES],
+            [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)],
+            ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *FIGURES, "text_hash"],
         )
 
     return map_slices(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"),
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("lang").cast("string").alias("lang"),
+            "text",
+            F.xxhash64("text").alias("text_hash"),
+        ),
         run,
         "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double",
+        "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, text_hash long",
     )
 
 
@@ -156,15 +166,18 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
 
 
 def bands(found: DataFrame, keys: list[str], least: int, widths: dict[str, float]) -> DataFrame:
-    """Per group of at least ``least`` documents, the lowest and highest figures that pass, as a struct ``band``."""
+    """Per group of at least ``least`` texts, the lowest and highest figures that pass, as a struct ``band``.
+
+    Texts that fail the base rules don't count, and copies of a text count once.
+    """
+    texts = found.where((F.col("n_tokens") > 0) & ~base_failed()).groupBy(*keys, "text_hash").agg(*(F.max(name).alias(name) for name in FIGURES))
     parts = []
     for name in FIGURES:
         q = F.percentile(F.round(name, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        # three decimal places are the finest distance that counts
-        half = F.greatest((q[2] - q[0]) / 2, F.lit(0.001)) * widths[name]
+        half = F.greatest((q[2] - q[0]) / 2, F.lit(LEAST_HALF[name])) * widths[name]
         parts += [(q[1] - half).alias(f"low_{name}"), (q[1] + half).alias(f"high_{name}")]
-    grouped = found.where("n_tokens > 0").groupBy(*keys).agg(F.count("*").alias("docs"), F.struct(*parts).alias("band"))
-    return grouped.where(F.col("docs") >= least).drop("docs")
+    grouped = texts.groupBy(*keys).agg(F.count("*").alias("texts"), F.struct(*parts).alias("band"))
+    return grouped.where(F.col("texts") >= least).drop("texts")
 
 
 def judge(docs: DataFrame, model_path: str, widths: dict[str, float] = WIDTHS, least: int = 200) -> DataFrame:
@@ -201,7 +214,7 @@ def judge(docs: DataFrame, model_path: str, widths: dict[str, float] = WIDTHS, l
         judged.withColumn("base_failed", base_failed())
         .withColumn("in_band", ok)
         .withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
-        .drop("fine", "coarse", "overall")
+        .drop("fine", "coarse", "overall", "text_hash")
     )
 
 
