@@ -79,6 +79,34 @@ def test_trained_network_tells_order_from_disorder(spark):
     assert good > start + 0.5 and good > bad + 1.0
 
 
+def test_words_of_a_code_share_its_probability(spark):
+    """Two rare words of one code, one seen often and one seen once: the texts differ by the logarithm of their counts."""
+    common = [f"w{i}" for i in range(pl.OWN)]
+    places, pair = {}, None
+    for i in range(100_000):
+        place = pl.xxhash.xxh3_64_intdigest(f"rare{i}".encode()) % (pl.CODES - pl.OWN)
+        if place in places:
+            pair = (places[place], f"rare{i}")
+            break
+        places[place] = f"rare{i}"
+    lead = "w1 w2 w3 "
+    rows = [(i, " ".join(common)) for i in range(10)] + [(100, lead + pair[0]), (101, lead + pair[1]), (102, lead + pair[0])]
+    rows += [(200 + i, f"w4 {pair[0]}") for i in range(4)] + [(300, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r for r in pl.pseudo_likelihood(docs).collect()}
+    assert len(found) == len(rows)
+    assert found[100].log_likelihood == pytest.approx(found[102].log_likelihood)
+    assert found[100].log_likelihood - found[101].log_likelihood == pytest.approx(np.log(6), abs=1e-3)
+    assert found[300].log_likelihood == 0 and found[300].per_token is None
+    # a word that the corpus doesn't have gets the mass left for all of these
+    counts = pl.stored(pl.word_counts(docs))
+    own, frequency = pl.vocabulary(docs, counts)
+    new = spark.createDataFrame([(1, f"{pair[0]} {pair[0]}"), (2, "neverseen")], "doc_id long, text string")
+    total = lambda word: frequency[pl.Codes(own)[word.encode()]]
+    want = [2 * np.log(6 / (total(pair[0]) + pl.UNSEEN)), np.log(pl.UNSEEN / (total("neverseen") + pl.UNSEEN))]
+    assert sorted(r.within for r in pl.within_codes(new, own, counts, frequency).collect()) == pytest.approx(sorted(want))
+
+
 def test_edges(edge, empty, clashing):
     rows = pl.pseudo_likelihood(edge).collect()
     assert len(rows) == edge.count()

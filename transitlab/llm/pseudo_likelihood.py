@@ -12,7 +12,9 @@ Adagrad from the same start, and the weights are averaged by the number of token
 trained on, block by block in a stream. Every document gives one in ``stride`` of its
 tokens as a target; their contexts are whole. The driver gets the averaged network
 alone, whose size is fixed. A document's score is the sum of the log-probabilities of
-all its tokens, each given the tokens around it.
+all its words, each given the tokens around it: that of the word's code from the
+network, and that of the word within its code from the counts of all words, a table
+that grows with the corpus and is joined.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ HALF = 64
 CODES = HALF * HALF
 #: Codes of single words; the others are shared.
 OWN = CODES // 2
+#: What counts as seen of all words that a shared code may stand for and the corpus doesn't have.
+UNSEEN = 0.5
 EDGE = CODES  # beyond either end of a document
 SIDES = (-2, -1, 1, 2)
 WIDTH = 16
@@ -100,6 +104,57 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class RareWords(dict):
+    """Maps a word to its hash as a signed number, or to 0 if it has a code of its own; emptied when it holds ``limit``."""
+
+    def __init__(self, own: dict[int, int], limit: int = 1_000_000):
+        super().__init__()
+        self.own, self.limit = own, limit
+
+    def __missing__(self, word: bytes) -> int:
+        digest = xxhash.xxh3_64_intdigest(word)
+        found = 0 if digest in self.own else digest - (digest >> 63 << 64)
+        if len(word) <= 48:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def within_codes(docs: DataFrame, own: dict[int, int], counts: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """(text_hash, within): the summed log-probabilities of a text's words within their codes, for texts with rare words.
+
+    A word with a code of its own has probability 1 in it. Of a shared code that
+    occurs N times, a word that occurs n times has n / (N + UNSEEN), and UNSEEN /
+    (N + UNSEEN) is left for all words that don't occur. Equal texts count once.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if "words" not in state:
+            state["words"] = RareWords(own)
+        keys, words, times = [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            found = split_words(text)
+            digests = np.fromiter(map(state["words"].__getitem__, found), np.int64, len(found))
+            rare, n = np.unique(digests[digests != 0], return_counts=True)
+            keys.append(np.full(len(rare), key, np.int64))
+            words.append(rare)
+            times.append(n)
+        columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (keys, words, times)]
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["text_hash", "word", "times"])
+
+    state: dict = {}
+    shared = CODES - OWN
+    totals = docs.sparkSession.createDataFrame([(i, float(frequency[OWN + i])) for i in range(shared)], "code int, total double")
+    pairs = map_slices(
+        docs.select(F.xxhash64("text").alias("text_hash"), "text"), run, "text_hash long, word long, times long"
+    )
+    once = pairs.groupBy("text_hash", "word").agg(F.max("times").alias("times"))
+    known = once.join(counts, "word", "left").withColumn("code", F.pmod("word", F.lit(shared)).cast("int"))
+    share = F.log(F.coalesce("n", F.lit(UNSEEN)) / (F.col("total") + UNSEEN))
+    return known.join(F.broadcast(totals), "code").groupBy("text_hash").agg(F.sum(F.col("times") * share).alias("within"))
+
+
 @dataclass
 class Network:
     weights: dict[str, np.ndarray]
@@ -251,13 +306,14 @@ def train(docs: DataFrame, own: dict[int, int], start: Network, stride: int, rat
     return Network.of_flat(np.concatenate([np.frombuffer(x, "<f4") for _, x in rows])[: len(first)])
 
 
-def vocabulary(docs: DataFrame) -> tuple[dict[int, int], np.ndarray]:
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[int, int], np.ndarray]:
     """The codes of the most frequent words, by their hash, and how often each code occurs in all documents.
 
     Words that are equally frequent rank by their hash. The driver gets the most
-    frequent words and one count for each shared code.
+    frequent words and one count for each shared code. ``counts``: the stored
+    ``word_counts``, if the caller has them.
     """
-    counts = stored(word_counts(docs))
+    counts = stored(word_counts(docs)) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
     own = {row["word"] % (1 << 64): code for code, row in enumerate(top)}
     frequency = np.zeros(CODES)
@@ -272,7 +328,7 @@ def vocabulary(docs: DataFrame) -> tuple[dict[int, int], np.ndarray]:
 
 
 def score(docs: DataFrame, own: dict[int, int], network: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token): the summed log-probabilities and their mean."""
+    """(doc_id, n_tokens, log_likelihood, per_token, text_hash): the codes' summed log-probabilities and their mean."""
     flat = network.flat()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -294,15 +350,15 @@ def score(docs: DataFrame, own: dict[int, int], network: Network) -> DataFrame:
         sums = sums[ends] - sums[ends - counts] if len(counts) else np.empty(0)
         means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())],
-            ["doc_id", "n_tokens", "log_likelihood", "per_token"],
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64()), batch.column(2)],
+            ["doc_id", "n_tokens", "log_likelihood", "per_token", "text_hash"],
         )
 
     state: dict = {}
     return map_slices(
-        docs.select(F.col("doc_id").cast("long"), "text"),
+        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")),
         run,
-        "doc_id long, n_tokens long, log_likelihood double, per_token double",
+        "doc_id long, n_tokens long, log_likelihood double, per_token double, text_hash long",
     )
 
 
@@ -313,5 +369,13 @@ def pseudo_likelihood(docs: DataFrame, stride: int = 4, rate: float = 0.05) -> D
     train and are scored each; a null id stays null; an empty table gives no rows.
     Other columns are not read.
     """
-    own, frequency = vocabulary(docs)
-    return score(docs, own, train(docs, own, Network.start(frequency), stride, rate))
+    counts = stored(word_counts(docs))
+    own, frequency = vocabulary(docs, counts)
+    scored = score(docs, own, train(docs, own, Network.start(frequency), stride, rate))
+    whole = F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))
+    return scored.join(within_codes(docs, own, counts, frequency), "text_hash", "left").select(
+        "doc_id",
+        "n_tokens",
+        whole.alias("log_likelihood"),
+        F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("per_token"),
+    )
