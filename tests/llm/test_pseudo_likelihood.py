@@ -79,6 +79,18 @@ def test_trained_network_tells_order_from_disorder(spark):
     assert good > start + 0.5 and good > bad + 1.0
 
 
+def test_every_token_trains_by_default(spark):
+    """The query's own setting: equal to stride 1, and documents in order score better than shuffled ones beside them."""
+    r = np.random.default_rng(6)
+    text = lambda: " ".join(f"det{r.integers(3)} adj{r.integers(9)} noun{r.integers(9)} verb{r.integers(9)} end" for _ in range(60))
+    rows = [(i, text()) for i in range(400)] + [(1000 + i, " ".join(r.permutation(text().split()))) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {row.doc_id: row.per_token for row in pl.pseudo_likelihood(docs).collect()}
+    every = {row.doc_id: row.per_token for row in pl.pseudo_likelihood(docs, stride=1).collect()}
+    assert found == pytest.approx(every, rel=1e-3)
+    assert min(v for k, v in found.items() if k < 1000) > max(v for k, v in found.items() if k >= 1000) + 0.5
+
+
 def test_words_of_a_code_share_its_probability(spark):
     """Two rare words of one code, one seen often and one seen once: the texts differ by the logarithm of their counts."""
     common = [f"w{i}" for i in range(pl.OWN)]

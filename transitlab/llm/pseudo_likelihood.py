@@ -9,8 +9,8 @@ corpus' own frequencies.
 
 Training is data-parallel in numpy: each task goes once over its documents by
 Adagrad from the same start, and the weights are averaged by the number of tokens
-trained on, block by block in a stream. Every document gives one in ``stride`` of its
-tokens as a target; their contexts are whole. The driver gets the averaged network
+trained on, block by block in a stream. Every token is a target (a ``stride`` over 1
+takes one in so many of each document; their contexts are whole). The driver gets the averaged network
 alone, whose size is fixed. A document's score is the sum of the log-probabilities of
 all its words, each given the tokens around it: that of the word's code from the
 network, and that of the word within its code from the counts of all words, a table
@@ -362,7 +362,7 @@ def score(docs: DataFrame, own: dict[int, int], network: Network) -> DataFrame:
     )
 
 
-def pseudo_likelihood(docs: DataFrame, stride: int = 4, rate: float = 0.05) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, stride: int = 1, rate: float = 0.05) -> DataFrame:
     """Each document's score under a network trained on all documents.
 
     Null and empty texts have no tokens, a score of 0 and no mean. Repeated rows
