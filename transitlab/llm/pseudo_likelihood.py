@@ -122,37 +122,38 @@ class RareWords(dict):
 
 
 def within_codes(docs: DataFrame, own: dict[int, int], counts: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(text_hash, within): the summed log-probabilities of a text's words within their codes, for texts with rare words.
+    """(text_hash, within): the mean log-probability of a text's rare words within their codes, for texts that have some.
 
     A word with a code of its own has probability 1 in it. Of a shared code that
     occurs N times, a word that occurs n times has n / (N + UNSEEN), and UNSEEN /
-    (N + UNSEEN) is left for all words that don't occur. Equal texts count once.
+    (N + UNSEEN) is left for all words that don't occur. A mean is the same however
+    often a text stands in the table, so copies needn't be brought together first.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         if "words" not in state:
             state["words"] = RareWords(own)
         keys, words, times = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for key, text in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).items():
             found = split_words(text)
             digests = np.fromiter(map(state["words"].__getitem__, found), np.int64, len(found))
             rare, n = np.unique(digests[digests != 0], return_counts=True)
             keys.append(np.full(len(rare), key, np.int64))
             words.append(rare)
             times.append(n)
-        columns = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in (keys, words, times)]
+        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, words, times)]
+        columns[2] = columns[2].astype(np.int32)
         return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["text_hash", "word", "times"])
 
     state: dict = {}
     shared = CODES - OWN
     totals = docs.sparkSession.createDataFrame([(i, float(frequency[OWN + i])) for i in range(shared)], "code int, total double")
     pairs = map_slices(
-        docs.select(F.xxhash64("text").alias("text_hash"), "text"), run, "text_hash long, word long, times long"
+        docs.select(F.xxhash64("text").alias("text_hash"), "text"), run, "text_hash long, word long, times int"
     )
-    once = pairs.groupBy("text_hash", "word").agg(F.max("times").alias("times"))
-    known = once.join(counts, "word", "left").withColumn("code", F.pmod("word", F.lit(shared)).cast("int"))
+    known = pairs.join(counts, "word", "left").withColumn("code", F.pmod("word", F.lit(shared)).cast("int"))
     share = F.log(F.coalesce("n", F.lit(UNSEEN)) / (F.col("total") + UNSEEN))
-    return known.join(F.broadcast(totals), "code").groupBy("text_hash").agg(F.sum(F.col("times") * share).alias("within"))
+    return known.join(F.broadcast(totals), "code").groupBy("text_hash").agg((F.sum(F.col("times") * share) / F.sum("times")).alias("within"))
 
 
 @dataclass
@@ -328,7 +329,10 @@ def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[i
 
 
 def score(docs: DataFrame, own: dict[int, int], network: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token, text_hash): the codes' summed log-probabilities and their mean."""
+    """(doc_id, n_tokens, log_likelihood, per_token, n_shared, text_hash): the codes' summed log-probabilities and their mean.
+
+    ``n_shared`` counts the words that share their codes.
+    """
     flat = network.flat()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -348,17 +352,18 @@ def score(docs: DataFrame, own: dict[int, int], network: Network) -> DataFrame:
         ends = np.cumsum(counts)
         sums = np.r_[0.0, np.cumsum(logs)]
         sums = sums[ends] - sums[ends - counts] if len(counts) else np.empty(0)
+        shared = np.array([int((x >= OWN).sum()) for x in found], np.int64)
         means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64()), batch.column(2)],
-            ["doc_id", "n_tokens", "log_likelihood", "per_token", "text_hash"],
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64()), pa.array(shared, pa.int64()), batch.column(2)],
+            ["doc_id", "n_tokens", "log_likelihood", "per_token", "n_shared", "text_hash"],
         )
 
     state: dict = {}
     return map_slices(
         docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")),
         run,
-        "doc_id long, n_tokens long, log_likelihood double, per_token double, text_hash long",
+        "doc_id long, n_tokens long, log_likelihood double, per_token double, n_shared long, text_hash long",
     )
 
 
@@ -372,7 +377,7 @@ def pseudo_likelihood(docs: DataFrame, stride: int = 1, rate: float = 0.05) -> D
     counts = stored(word_counts(docs))
     own, frequency = vocabulary(docs, counts)
     scored = score(docs, own, train(docs, own, Network.start(frequency), stride, rate))
-    whole = F.col("log_likelihood") + F.coalesce("within", F.lit(0.0))
+    whole = F.col("log_likelihood") + F.coalesce(F.col("n_shared") * F.col("within"), F.lit(0.0))
     return scored.join(within_codes(docs, own, counts, frequency), "text_hash", "left").select(
         "doc_id",
         "n_tokens",
