@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from sample_paths import SF0001
 from transitlab.config import LabelingConfig
 from transitlab.plans import pipelines
 from transitlab.sinks import reports

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from sample_paths import SF0001
 from transitlab.operators import browse, splits
 from transitlab.operators.classify import classify
 from transitlab.operators.enrich import enrich

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF0001
+from sample_paths import SF0001
 
 from __spark_entry__ import ROWS_ONLY
 from oracle import ORACLE
