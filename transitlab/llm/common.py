@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from typing import Any, Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import checkpoint_dir, cut_lineage
 
 #: A word is a run of anything but these six ASCII white-space bytes. ``bytes.split()`` cuts at the same six.
 SPACES = " \t\n\x0b\x0c\r"
@@ -57,6 +58,14 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared checkpoint folder: like ``stored``, with unread columns left out."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}
@@ -88,3 +97,8 @@ def without(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     keys = stored(keys.select(name).distinct())
     few = keys.count() <= BROADCAST_ROWS
     return df.join(F.broadcast(keys) if few else keys, name, "left_anti")
+
+
+def join_small(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_ROWS // 4) -> DataFrame:
+    """A join with a stored table of fixed-width rows: by a broadcast if they are counted few, else a shuffle."""
+    return df.join(F.broadcast(small) if small.count() <= limit else small, keys, how)

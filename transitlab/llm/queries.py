@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunks, html_content, langid, licenses, packing, pseudo_likelihood, quality, simhash, substring, viterbi
+from . import (
+    chunks,
+    exact,
+    html_content,
+    langid,
+    licenses,
+    packing,
+    pseudo_likelihood,
+    quality,
+    simhash,
+    substring,
+    viterbi,
+)
 from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -65,6 +77,10 @@ def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_msd_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_harmonic_packing": op1_harmonic_packing,
     "op2_phrase_automata": op2_phrase_automata,
@@ -77,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
     "op9_tree_marginals": op9_tree_marginals,
     "op10_license_dice": op10_license_dice,
+    "op13_msd_radix": op13_msd_radix,
 }
 
-ORACLES: dict[str, str] = {"op10_license_dice": licenses.oracle()}
+ORACLES: dict[str, str] = {"op10_license_dice": licenses.oracle(), "op13_msd_radix": exact.ORACLE}
