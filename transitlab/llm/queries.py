@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chunks,
+    divergence,
     exact,
     html_content,
     langid,
@@ -77,6 +78,10 @@ def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_msd_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -93,7 +98,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
     "op9_tree_marginals": op9_tree_marginals,
     "op10_license_dice": op10_license_dice,
+    "op12_source_divergence": op12_source_divergence,
     "op13_msd_radix": op13_msd_radix,
 }
 
-ORACLES: dict[str, str] = {"op10_license_dice": licenses.oracle(), "op13_msd_radix": exact.ORACLE}
+ORACLES: dict[str, str] = {
+    "op10_license_dice": licenses.oracle(),
+    "op12_source_divergence": divergence.ORACLE,
+    "op13_msd_radix": exact.ORACLE,
+}
