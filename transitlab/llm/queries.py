@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    alignment,
     chunks,
     divergence,
     exact,
@@ -78,6 +79,11 @@ def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tokeniser_fertility": op8_tokeniser_fertility,
     "op9_tree_marginals": op9_tree_marginals,
     "op10_license_dice": op10_license_dice,
+    "op11_token_alignment": op11_token_alignment,
     "op12_source_divergence": op12_source_divergence,
     "op13_msd_radix": op13_msd_radix,
 }
