@@ -534,4 +534,83 @@ def build() -> dict[str, str]:
     return q
 
 
+
+TRICKY = ' "},{"rows": [{'
+OID = ("concat('K', cast(l_orderkey as string), '.', cast(l_linenumber as string), '-', cast(l_partkey as string), '-', "
+       "cast(l_suppkey as string))")
+STREAM_EVENTS = [(50, 0, "candidate", 0, 1), (100, 0, "rocky_candidate", 1, 2), (200, 0, "candidate", 0, 1),
+                 (50, 0, "anomalous_signal", -5, 3), (150, 25, "candidate", -5, 3)]
+BAYES_FEATURES = ("koi_period", "koi_prad", "koi_teq", "koi_insol", "koi_srad", "koi_smass")
+
+
+def stream_labels() -> str:
+    """The newest label by time, number and label, over all events of the three appends."""
+    events = " union all ".join(
+        f"select {OID} as object_id, '{label}' as label, {days} * 24 + l_linenumber as hours, {seq} as seq "
+        f"from lineitem where l_partkey % {every} = {rest}" for every, rest, label, days, seq in STREAM_EVENTS)
+    return (f"events as ({events}),\nnewest as (select object_id, max({{'h': hours, 's': seq, 'l': label}}) as e "
+            "from events group by object_id)")
+
+
+def bayes_ctes(split: str) -> str:
+    """Gaussian naive Bayes in long form: grouped moments of the train rows, log densities of the test rows."""
+    long = ", ".join(BAYES_FEATURES)
+    return f"""{BASE},
+named as (select row_number() over () as rid, object_id, {long}, {split} as split, disp_cat_ as label from cls where disp_cat_ is not null),
+tr as (select label, f, x from (select label, {long} from named where split = 'train') unpivot (x for f in ({long}))),
+wide as (select max(v) as v from (select var_pop(x) as v from tr group by f)),
+mom as (select label as c, f, avg(x) as m, var_pop(x) + 1e-9::double * (select v from wide) as s from tr group by label, f),
+prior as (select label as c, ln(count(*)::double / (select count(*) from named where split = 'train')) as lp
+  from named where split = 'train' group by label),
+te as (select rid, f, x from (select rid, {long} from named where split = 'test') unpivot (x for f in ({long}))),
+dens as (select rid, c, sum(-0.5::double * (ln(2.0::double * pi() * s) + (x - m) * (x - m) / s)) as ld from te join mom using (f) group by rid, c),
+scored as (select n.rid, p.c, p.lp + coalesce(d.ld, 0.0::double) as lp from named n, prior p
+  left join dens d on d.rid = n.rid and d.c = p.c where n.split = 'test'),
+best as (select rid, max({{'p': lp, 'c': c}}).c as prediction from scored group by rid),
+pred as (select object_id, label, prediction from named join best using (rid))"""
+
+
+def build_stores(q: dict[str, str]) -> None:
+    n = "(select count(*) from cls)"
+    few = "(select count(*) from cls where category = 'candidate')"
+    q["report_catalogue"] = (
+        f"{BASE}\nselect '20240101_000000' as run_ts, {n} as csv_rows, {n} as json_rows, 'paired' as state, true as csv_has_bytes, "
+        f"true as json_has_bytes union all select '20240201_000000', null, {n}, 'json only', null, true "
+        f"union all select '20240301_000000', {few}, {few}, 'paired', true, true")
+    columns = ("object_id", "koi_period", "koi_prad", "koi_teq", "koi_insol", "koi_disposition", "category", "score", "flags",
+               "disposition_compare", "is_disposition_match", "color_hint")
+    teq_nulls = "count_if(koi_teq is null and right(object_id, 1) not in ('7', '3'))"
+    lost = "count_if(right(object_id, 1) in ('7', '3'))"
+    q["report_write_counts"] = f"{report_cte()}\n" + " union all ".join(
+        f"select '{c}' as column, count(*) as rows, {teq_nulls if c == 'koi_teq' else f'count_if({c} is null)'} as nulls, "
+        f"{lost if c == 'koi_teq' else '0'} as non_finite from rpt" for c in columns)
+    q["stream_report_sink"] = q["file_drop_stream"]
+    ids = ("select object_id, koi_period, koi_prad, koi_teq, koi_insol, koi_disposition, category, score, "
+           f"case when category = 'candidate' then flags || '{TRICKY}' else flags end as flags, disposition_compare, "
+           "is_disposition_match, color_hint")
+    q["report_documents"] = f"{report_cte()}\n{ids}, '20240101_00000' || cast(('0x' || substr(md5(object_id), 1, 1))::bigint % 4 as varchar) as run_ts from rpt"
+    q["label_stream_latest"] = f"with {stream_labels()}\nselect object_id, e.l as label, cast(e.s as bigint) as seq from newest"
+    q["label_stream_open_queue"] = (f"{report_cte()},\n{ITEMS},\n{ranked('q', PRIORITY_ORDER)},\n{stream_labels()}\n"
+                                    "select object_id, queue_pos from q where object_id not in (select object_id from newest)")
+    q["feature_table_incremental"] = q["feature_table"]
+    q["search_id_index"] = (
+        f"with {KOI},\nneedles as (select '-' || p_partkey || '-' as needle from part where p_partkey % 40 = 0 "
+        "union select 'k' || n_nationkey from nation where n_nationkey >= 23 union select 'k' || r_regionkey from region "
+        "where r_regionkey = 4)\nselect distinct needle, object_id from koi join needles on contains(lower(object_id), needle)")
+    q["lookup_many_ids"] = (f"{report_cte()}\nselect * from rpt where object_id in (select {OID} from lineitem "
+                            "where l_orderkey % 20 = 0 and l_linenumber = 1)")
+    q["page_by_index"] = (
+        f"with {KOI},\nu as (select distinct object_id from koi),\n"
+        "r as (select object_id, (row_number() over (order by object_id) - 1) // 5 + 1 as page from u)\n"
+        "select page, object_id from r where page in (1, 77, 1000)")
+    q["queue_merge_kept"] = q["queue_merge"]
+    bucket = "(('0x' || substr(md5('1337:' || cast(star_id as string)), 1, 8))::bigint / 4294967296.0::double)"
+    bayes = bayes_ctes(f"case when {bucket} < 0.7::double then 'train' when {bucket} < {d(0.7 + 0.15)} then 'val' else 'test' end")
+    q["naive_bayes_predictions"] = f"{bayes}\nselect object_id, label, prediction from pred"
+    q["naive_bayes_confusion"] = f"{bayes}\nselect label, prediction, count(*) as n from pred group by label, prediction"
+    tail = q["macro_metrics"]
+    q["naive_bayes_metrics"] = bayes + ",\ncm as (select label, prediction from pred)" + tail[tail.index(",\nm as ("):]
+
+
 ORACLE = build()
+build_stores(ORACLE)

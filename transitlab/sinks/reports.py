@@ -175,19 +175,12 @@ def read_latest(spark: SparkSession, out_dir: str, fmt: str = "json") -> DataFra
 def read_report_json_document(
     spark: SparkSession, path: str, row_schema: T.StructType | None = None, limit: int | None = None
 ) -> DataFrame:
-    """A report document, either ``{"rows": [...], "timestamp": ...}`` or a bare list of rows.
-
-    A document is parsed as a whole by one task (the format's bound); its rows are
-    then spread by ``inline``. ``limit`` is the caller's number of rows."""
-    rows = T.ArrayType(row_schema or REPORT_SCHEMA)
-    whole = T.StructType([T.StructField("rows", rows), T.StructField("timestamp", T.StringType())])
-    text = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("value"))
-    bare = F.col("value").startswith("[")
-    doc = text.select(
-        F.when(bare, F.from_json("value", rows)).otherwise(F.from_json("value", whole)["rows"]).alias("rows"),
-        F.when(~bare, F.from_json("value", whole)["timestamp"]).alias("run_ts"),
-    )
-    out = doc.select(F.inline("rows"), "run_ts")
+    """Report documents, either ``{"rows": [...], "timestamp": ...}`` or a bare list of rows, read by many tasks.
+
+    ``limit`` is the caller's number of rows."""
+    from ..sources.report_documents import read_report_documents
+
+    out = read_report_documents(spark, path, row_schema or REPORT_SCHEMA)
     return out.limit(limit) if limit else out
 
 
