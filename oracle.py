@@ -612,5 +612,51 @@ def build_stores(q: dict[str, str]) -> None:
     q["naive_bayes_metrics"] = bayes + ",\ncm as (select label, prediction from pred)" + tail[tail.index(",\nm as ("):]
 
 
+def build_sources(q: dict[str, str]) -> None:
+    q["upload_resolution"] = (
+        "select 'id' as ref, 'csv' as format, count(*) as rows from part union all select 'path', 'parquet', count(*) from supplier "
+        "union all select 'name', 'parquet', count(*) from supplier")
+    q["upload_listing"] = (
+        "select unnest(['f_20240201_000000_b', 'f_20240101_000000_a']) as file_id, unnest(['gone.csv', 'parts.csv']) as name, "
+        "true as allowed, (select count(*) from part) as parts")
+    q["scan_metadata"] = (
+        "select 'csv' as format, count(*) as rows, 17 as cols, '|' as delimiter, true as koi_disposition_present from lineitem "
+        "union all select 'parquet', count(*), 15, null, false from lineitem "
+        "union all select 'preview', count(*), 15, null, false from lineitem")
+    q["load_formats"] = (
+        "select f.format, s.by_suffix, cast(p_partkey as bigint) as p_partkey, p_name, p_brand from part, "
+        "(select unnest(['csv', 'json', 'parquet', 'orc']) as format) f, (select unnest([true, false]) as by_suffix) s")
+    q["csv_encoding"] = "select cast(p_partkey as varchar) as p_partkey, 'é' || p_name || 'ÿ' as p_name from part"
+    raw = ("' ._' || s_name || '/ü#' || s_suppkey || (case s_suppkey % 5 when 0 then '.CSV' when 1 then '.parquet' when 2 then '.exe' "
+           "when 3 then '' else '.csv. ' end)")
+    q["safe_filenames"] = (
+        f"select s_suppkey, regexp_replace(regexp_replace({raw}, '[^-_.() A-Za-z0-9]', '_', 'g'), '^[._ ]+|[._ ]+$', '', 'g') as name, "
+        "s_suppkey % 5 in (0, 1) as allowed from supplier")
+    table_sql = q["feature_table"]
+    q["feature_store_page"] = (
+        f"with ft as ({table_sql}), m as (select * from ft where regexp_matches(object_id, '(?i)7\\.1-'))\n"
+        "select object_id, koi_period, koi_prad, stellar_type_G, (select count(*) from m) as total from m order by object_id limit 30 offset 30")
+    q["feature_store_replay"] = table_sql
+    q["feature_store_lookup"] = (f"with ft as ({table_sql})\nselect * from ft where object_id = (select min(object_id) from ft) "
+                                 "order by all limit 1")
+    names = ",".join(NUMERIC_FEATURES) + "," + ",".join(f"stellar_type_{v}" for v in ("F", "G", "K", "M"))
+    q["feature_manifest"] = (
+        f"select 'v1' as feature_version, 'spark' as engine_loaded, count(*) as rows_loaded, 0.3::double as albedo, '{names}' as feature_names, "
+        f"{len(NUMERIC_FEATURES)} as numeric, 6 as aliases from lineitem")
+    q["sparse_onehot"] = (
+        f"with {KOI} select object_id, case coalesce(stellar_type, 'K') when 'F' then 0 when 'G' then 1 when 'K' then 2 else 3 end as place, "
+        '5 as width, 4 as "values" from koi')
+    q["ui_order"] = f"{report_cte()}\nselect * from rpt order by object_id limit 25"
+    q["page_after"] = (
+        f"{report_cte()},\nl as (select min(object_id) as id from rpt where category = 'rocky_candidate')\n"
+        "select rpt.* from rpt, l where score > 0.6::double or (score = 0.6::double and object_id > l.id) "
+        "order by score nulls first, object_id limit 40")
+    q["column_subset"] = f"{report_cte()}\nselect category, object_id, 12 as all_columns from rpt"
+    q["queue_counts"] = (f"{report_cte()},\n{ITEMS},\n{LABEL_LOG}\nselect count(*) as queued, "
+                         "count(*) filter (object_id not in (select object_id from label_log)) as open from items")
+    q["label_append"] = f"with {LABEL_LOG}\nselect object_id, arg_max(label, seq) as label from label_log group by object_id"
+
+
 ORACLE = build()
 build_stores(ORACLE)
+build_sources(ORACLE)

@@ -11,6 +11,7 @@ from sample_paths import SF0001
 from __spark_entry__ import ROWS_ONLY
 from oracle import ORACLE
 from transitlab.plans.queries import registry
+from transitlab.plans.source_queries import source_registry
 from transitlab.plans.store_queries import store_registry
 
 LIBRARY = sorted(ORACLE.keys() - ROWS_ONLY)
@@ -30,7 +31,7 @@ def _rows(cols, recs):
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("lineitem", "part", "nation", "region"):
+    for t in ("lineitem", "part", "nation", "region", "supplier"):
         c.execute(f"create view {t} as select * from read_parquet('{SF0001}/{t}.parquet')")
     return c
 
@@ -49,7 +50,7 @@ def test_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_rows_only():
     from __spark_entry__ import ROWS_ONLY, oracle_sql, queries
 
-    library = set(registry()) | set(store_registry())
+    library = set(registry()) | set(store_registry()) | set(source_registry())
     assert library <= set(queries()) and library - set(oracle_sql()) == ROWS_ONLY
 
 

@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ from ..operators.enrich import enrich
 from ..operators.features import build
 from ..operators.labeling import LABEL_EVENT, apply_labels, build_queue, label_events
 from ..operators.schema import MappingRow, normalize_columns
+from ..sinks.feature_store import mapping_text, newest, spec_text
 from ..sinks.reports import read_latest, run_timestamp, write_manifest, write_report, write_table
 from ..sources.readers import load, path_exists
 
@@ -53,7 +55,8 @@ def make_dataset(
     limit_rows: int | None = None,
 ) -> dict:
     """Features Parquet under ``out_dir/features/ts=<ts>`` + manifest row."""
-    normalized, _ = normalize_columns(load(spark, path, limit=limit_rows))
+    spec = spec or FeatureSpec.load()
+    normalized, mapping = normalize_columns(load(spark, path, limit=limit_rows))
     enriched = enrich(normalized, albedo=albedo)
     features, meta = build(enriched, spec)
     ts = run_timestamp()
@@ -66,8 +69,8 @@ def make_dataset(
         "engine_loaded": "spark",
         "rows_loaded": rows,
         "features_file": features_file,
-        "feature_specs": "default" if spec is None else "custom",
-        "schema_map": "default",
+        "feature_specs": spec_text(spec),
+        "schema_map": mapping_text(mapping),
         "albedo": float(albedo),
         "timestamp": ts,
         "feature_names": meta["features"],
@@ -76,6 +79,13 @@ def make_dataset(
     return manifest
 
 
+def replay_dataset(spark: SparkSession, manifests_dir: str, out_dir: str) -> dict:
+    """Makes the newest manifest's dataset again from its source, specification and albedo; returns the new manifest."""
+    old = newest(spark, manifests_dir)
+    spec = FeatureSpec.load(json.loads(old["feature_specs"]))
+    return make_dataset(spark, old["source_file"], out_dir, spec, old["albedo"], old["feature_version"])
+
+
 def update_queue(spark: SparkSession, reports_dir: str, queue_path: str, cfg: LabelingConfig | None = None, limit: int | None = None) -> DataFrame:
     """Section 3.3: newest run -> ranked queue -> overwrite the queue table."""
     queue = build_queue(read_latest(spark, reports_dir), cfg, limit)

@@ -158,12 +158,15 @@ def resolve_upload(index: DataFrame, file_id: str) -> DataFrame:
 
 
 def locate_upload(spark: SparkSession, index_path: str, ref: str, upload_dir: str) -> str:
-    """The file that ``ref`` means: an id in the index, else a path that exists, else a name in the upload folder."""
+    """The file that ``ref`` means: the path of that id in the index, the path itself, or a file of that name
+    (with or without one of the allowed extensions) in the upload folder; the first of these that exists."""
+    candidates = []
     if path_exists(spark, index_path):
         hit = resolve_upload(upload_index(spark, index_path), ref).first()
-        if hit:
-            return hit["path"]
-    for candidate in (ref, f"{upload_dir.rstrip('/')}/{ref.rsplit('/', 1)[-1]}"):
+        candidates += [hit["path"]] if hit else []
+    name = f"{upload_dir.rstrip('/')}/{ref.rsplit('/', 1)[-1]}"
+    candidates += [ref, name, *[f"{name}.{ext}" for ext in ALLOWED_EXTENSIONS]]
+    for candidate in candidates:
         if path_exists(spark, candidate):
             return candidate
     raise FileNotFoundError(ref)
