@@ -14,7 +14,7 @@ def model():
 
 def slow_marginals(model: Model, nodes):
     """Content marginals by adding up all assignments."""
-    own = [model.own(n) for n in nodes]
+    own = [model.own(n, nodes[0].size) for n in nodes]
     totals, content = 0.0, [0.0] * len(nodes)
     for states in itertools.product((0, 1), repeat=len(nodes)):
         log = model.root[states[0]]
@@ -50,7 +50,7 @@ def test_held_out_layouts(model):
         nodes = parse(layouts.page())
         bad = [n for n, s, p in zip(nodes, labels(nodes), model.marginals(nodes)) if n.tag == "#text" and s != (p > 0.5)]
         wrong, runs, whole = wrong + len(bad), runs + sum(n.tag == "#text" for n in nodes), whole + (not bad)
-    assert wrong < 0.03 * runs and whole > 0.85 * 300
+    assert wrong < 0.025 * runs and whole > 0.75 * 300
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><script>var t="</p>";</script></head><body>
@@ -70,6 +70,50 @@ def test_a_page(model):
     ]
 
 
+LONG = "Some sentence of the article with quite a lot of words in it, so that it is prose."
+SHORT = "It goes on."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (  # columns whose names say nothing
+            f"<div class='wrapper'><div class='hdr'><a href=x>Home</a> <a href=y>News</a></div><div class='col-8'><h1>The title</h1><p>{LONG}</p>"
+            f"<p>{LONG}</p></div><div class='col-4'><h3>Related</h3><ul><li><a href=1>one other text</a></li><li><a href=2>two</a></li></ul></div></div>",
+            ["The title", LONG, LONG],
+        ),
+        (  # comments under a name of their own
+            f"<div class='main'><h1>Title one</h1><p>{LONG}</p><p>{LONG}</p><div class='feedback-thread'><h3>Comments</h3><p>I liked it.</p>"
+            "<p>Me too, a lot of it.</p></div></div>",
+            ["Title one", LONG, LONG],
+        ),
+        (  # straight under the body
+            f"<body><h1>Title here</h1><p>{LONG}</p><p>{LONG}</p><ul><li><a href=1>Home</a></li><li><a href=2>Up</a></li></ul></body>",
+            ["Title here", LONG, LONG],
+        ),
+        (f"<table><tr><td><a href=1>Home</a><br><a href=2>News</a></td><td><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></td></tr></table>", ["Title", LONG, LONG]),
+        (f"<article><h1>T</h1><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><noscript><p>{LONG}</p></noscript></article>", ["T", f"{LONG} x=1", LONG]),
+        (f"<p>{LONG}</p>", [LONG]),
+        (f"<div class='ad'><p>{LONG}</p></div>", None),  # whatever it is, a page with sentences has an article
+    ],
+)
+def test_pages_written_by_hand(model, page, want):
+    """What a reader would call the article; nothing here comes from the parser."""
+    found = model.main_text(page).split("\n")
+    assert found == want if want else found != [""]
+
+
+def test_end_tags_without_an_element_cost_nothing():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        parse("<div>" * n + "</section>" * n)
+        return time.perf_counter() - start
+
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.01)
+
+
 @pytest.mark.parametrize(
     "page, runs",
     [

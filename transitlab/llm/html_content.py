@@ -3,8 +3,10 @@
 Every block element and text run is a variable: content (or leading to content) or
 not. Parent-child potentials, by the parent's kind, tie neighbours together; node
 potentials hold what the node shows of itself: its element, the words in its class,
-id and role, and for text its length, the share in links and its punctuation. The
-graph is a tree, so sum-product messages, first upward from the leaves and then
+id and role, and what is in it: how much of the page's text, how much of it linked,
+sentences, a main heading, where it stands, and what its first heading says. For
+text: its length, the share in links, its punctuation and place. Names may be
+missing or mean nothing, as in part of the labelled pages. The graph is a tree, so sum-product messages, first upward from the leaves and then
 downward from the root, give exact marginals. Text runs whose marginal for content
 is over one half are the page's main text. All potentials are smoothed counts over
 labelled pages: layouts written by rule, with the label of each part in them.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,32 +27,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices
-from .html_tree import Node, parse
+from .html_tree import Node, SAYS, parse, said
 
 CONTENT = "content"
 
 #: Parents whose children differ in how far they follow them; all others are one kind.
-PARENTS = frozenset("#root body div section article main p ul ol li table tr td aside nav header footer form".split())
+PARENTS = frozenset("#root body div section article main p h1 h2 h3 ul ol li table tr td aside nav header footer form".split())
 
 #: The runs of one part are much alike, so each one's own evidence counts as this share of an independent one.
-TEXT_WEIGHT = 0.6
+TEXT_WEIGHT = 0.4
+
+#: What an element holds is told by several features that go together, so each counts as this share.
+SHAPE_WEIGHT = 0.5
+
+#: Elements that hold one block; what is in them is told by their text.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 figcaption pre button label caption".split())
 
 #: Parts of lists and tables: many of them say no more than what they are part of.
 ITEMS = frozenset("li tr td th dt dd tbody thead tfoot".split())
 
 
-def features(node: Node) -> list[str]:
-    """What a node shows of itself."""
+def step(value: float, *bounds: float) -> int:
+    """How many of the rising bounds the value reaches."""
+    return sum(value >= b for b in bounds)
+
+
+def features(node: Node, page: int) -> list[str]:
+    """What a node shows of itself, in a page of so many characters of text."""
+    place = step(node.start, 0.02, 0.1, 0.5, 0.9, 0.98)
     if node.tag != "#text":
         own = [] if node.tag in ITEMS else [f"<{node.tag}>"]
-        return [*own, *(f".{cue}" for cue in sorted(node.cues))]
+        own += [f".{cue}" for cue in sorted(node.cues)]
+        if node.headed:
+            own.append(f".headed {node.headed}")
+        if node.tag in ITEMS or node.tag in BLOCKS:
+            return own
+        linked = step(node.links / max(1, node.size), 0.01, 0.3, 0.7)
+        shape = f"~size {step(node.size / max(1, page), 0.02, 0.1, 0.3, 0.6)}", f"~linked {linked} prose {min(3, node.prose)}"
+        return [*own, *shape, f"~title {node.title}", f"~at {place}"]
     words = node.text.count(" ") + 1
     share = node.linked / len(node.text)
-    return [
-        f"words {min(5, words.bit_length())}",
-        f"linked {0 if share == 0 else 1 if share < 0.5 else 2}",
-        f"sentence {node.text[-1] in '.!?…:;\"”»)'}",
+    found = [
+        f"{node.within} words {min(5, words.bit_length())}",
+        f"{node.within} linked {0 if share == 0 else 1 if share < 0.5 else 2}",
+        f"{node.within} sentence {node.text[-1] in '.!?…:;\"”»)'}",
+        f"{node.within} at {place}",
     ]
+    says = said(node.text)
+    return [*found, f"says {says}"] if says else found
 
 
 def kind(tag: str) -> str:
@@ -64,15 +89,15 @@ class Model:
     edge: dict[str, tuple[tuple[float, float], tuple[float, float]]]
     root: tuple[float, float]
 
-    def own(self, node: Node) -> tuple[float, float]:
+    def own(self, node: Node, page: int) -> tuple[float, float]:
         """Features that no labelled page has say nothing."""
-        found = [self.node[f] for f in features(node) if f in self.node]
+        found = [(self.node[f], SHAPE_WEIGHT if f[0] == "~" else 1.0) for f in features(node, page) if f in self.node]
         weight = TEXT_WEIGHT if node.tag == "#text" else 1.0
-        return weight * sum(x[0] for x in found), weight * sum(x[1] for x in found)
+        return weight * sum(x[0] * w for x, w in found), weight * sum(x[1] * w for x, w in found)
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """For each node, the probability of content, by sum-product messages in logarithms."""
-        up = [self.own(node) for node in nodes]
+        up = [self.own(node, nodes[0].size) for node in nodes]
         up[0] = (up[0][0] + self.root[0], up[0][1] + self.root[1])
         sent: list[tuple[float, float]] = [(0.0, 0.0)] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
@@ -91,10 +116,17 @@ class Model:
         return [1 / (1 + math.exp(min(700.0, a - b))) for a, b in whole]
 
     def main_text(self, source: str | None) -> str:
-        """The text runs that are content, in page order, one to a line."""
+        """The text runs that are content, in page order, one to a line.
+
+        A page with sentences has an article: if no run reaches one half, those that reach half of the best one's
+        chance are it."""
         nodes = parse(source)
         chances = self.marginals(nodes)
-        return "\n".join(n.text for n, p in zip(nodes, chances) if n.tag == "#text" and p > 0.5)
+        runs = [(n, p) for n, p in zip(nodes, chances) if n.tag == "#text"]
+        least = 0.5
+        if nodes[0].prose and not any(p > least for _, p in runs):
+            least = 0.5 * max(p for n, p in runs if n.prose)
+        return "\n".join(n.text for n, p in runs if p > least)
 
 
 def _add(a: float, b: float) -> float:
@@ -125,7 +157,7 @@ def train(pages: Iterable[str], smooth: float = 0.5) -> Model:
         state = labels(nodes)
         roots[state[0]] += 1
         for i, node in enumerate(nodes):
-            seen[state[i]].update(features(node))
+            seen[state[i]].update(features(node, nodes[0].size))
             totals[node.tag == "#text"][state[i]] += 1
             if i:
                 for name in {kind(nodes[node.parent].tag), "*"}:
@@ -135,7 +167,7 @@ def train(pages: Iterable[str], smooth: float = 0.5) -> Model:
         return math.log((part + smooth) / (whole + 2 * smooth))
 
     node = {
-        f: tuple(log_share(seen[s][f], totals[not f.startswith(("<", "."))][s]) for s in (0, 1))
+        f: tuple(log_share(seen[s][f], totals[not f.startswith(("<", ".", "~"))][s]) for s in (0, 1))
         for f in {*seen[0], *seen[1]}
     }
     edge = {
@@ -153,7 +185,7 @@ class Layouts:
     ARTICLES = (
         "<article>", "<article>", "<main>", "<main><article>", "<div class='content'>", "<div id='main-content'>",
         "<div class='post-body'>", "<section class='entry-content'>", "<div class='article'>", "<div id='main'><div class='text'>",
-        "<div class='story'>", "<div role='main'>", "<div class='page'><section>", "<div>", "",
+        "<div class='story'>", "<div role='main'>", "<div class='page'><section>", "<div>", "", "", "",
     )
     MENUS = ("<nav><ul>", "<ul class='menu'>", "<div class='navigation'><ul>", "<div id='nav'><ul>", "<ul class='breadcrumb'>", "<div class='pagination pager'><ul>", "<div role='navigation'><ul>", "<div class='toolbar tabs'><ul>")
     ADS = ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "sponsor", "promo", "promotion", "adsense")
@@ -163,8 +195,12 @@ class Layouts:
     HEADS = ("<header>", "<div class='header'>", "<div id='masthead'>", "<header class='top'>", "<div id='topbar' class='logo'>")
     FEET = ("<footer>", "<div class='footer'>", "<div id='bottom' class='copyright'>", "<footer class='legal'>", "<div role='contentinfo'>")
 
+    #: Names that say nothing. Pages of some makers have no others.
+    PLAIN = ("wrapper", "wrap", "col-8", "col-4", "row", "box", "inner", "outer", "hdr", "ftr", "c1", "x9f", "left", "right", "block-3", "container", "css-1q2w", "grid")
+
     def __init__(self, seed: int):
         self.r = random.Random(seed)
+        self.plain = False  # whether the page at hand has names that say nothing
         self.pool = ["".join(self.r.choices("aeinorst", k=self.r.randint(2, 9))) for _ in range(500)]
 
     def words(self, low: int, high: int, end: str = ".") -> str:
@@ -176,9 +212,16 @@ class Layouts:
     def link(self, text: str) -> str:
         return f"<a href='/{text[:5]}'>{text}</a>"
 
-    def heading(self, *tags: str) -> str:
+    def heading(self, *tags: str, says: str = "") -> str:
         tag = self.r.choice(tags)
-        return f"<{tag}>{self.words(1, 8, '')}</{tag}>"
+        text = self.words(1, 8, "")
+        if says and self.r.random() < 0.6:
+            text = f"{self.r.choice(('', '3 '))}{self.r.choice(SAYS[says].split()).capitalize()}{self.r.choice(('', ' ' + self.words(1, 2, '')))}"
+        return f"<{tag}>{text}</{tag}>"
+
+    def named(self, name: str) -> str:
+        """The name, or on a plain page mostly one that says nothing."""
+        return self.r.choice(self.PLAIN) if self.plain and self.r.random() < 0.8 else name
 
     def block(self) -> str:
         """A part of an article."""
@@ -211,19 +254,19 @@ class Layouts:
         texts = [self.words(1, 6, "") for _ in range(self.r.randint(2, 8))]
         return "".join(f"<li>{self.link(t) if self.r.random() < linked else t}</li>" for t in texts)
 
-    def other(self, names: tuple[str, ...], tags: tuple[str, ...] = ("div", "section")) -> str:
+    def other(self, names: tuple[str, ...], tags: tuple[str, ...] = ("div", "section"), says: str = "") -> str:
         """An element of another kind, with prose, links or a list in it."""
         inside = self.r.choice(
             (
                 self.prose(),
                 f"<p>{self.prose()}</p>",
-                f"{self.heading('h2', 'h3', 'h3', 'h4', 'p')}<p>{self.prose()}</p><p>{self.link(self.words(1, 5, ''))}</p>",
+                f"{self.heading('h2', 'h3', 'h3', 'h4', 'p', says=says)}<p>{self.prose()}</p><p>{self.link(self.words(1, 5, ''))}</p>",
                 f"<ul>{self.items(0.9)}</ul>",
                 f"<p>{self.prose()}</p><button>{self.words(1, 2, '')}</button>",
             )
         )
         where = self.r.choice(("class", "class", "id"))
-        return self.closed(f"<{self.r.choice(tags)} {where}='{self.r.choice(names)}'>", inside)
+        return self.closed(f"<{self.r.choice(tags)} {where}='{self.named(self.r.choice(names))}'>", inside)
 
     def form(self) -> str:
         fields = "".join(f"<p><label>{self.words(1, 3, '')}</label><input></p>" for _ in range(self.r.randint(1, 4)))
@@ -231,46 +274,63 @@ class Layouts:
 
     def comments(self) -> str:
         texts = "".join(f"<{t}>{self.prose()}</{t}>" for t in (self.r.choice(("li", "div", "p")) for _ in range(self.r.randint(1, 5))))
-        return self.closed(f"<{self.r.choice(('div', 'section', 'ol', 'aside'))} {self.r.choice(('id', 'class'))}='{self.r.choice(self.COMMENTS)}'>", f"{self.heading('h2', 'h3', 'h4')}{texts}")
+        return self.closed(f"<{self.r.choice(('div', 'section', 'ol', 'aside'))} {self.r.choice(('id', 'class'))}='{self.named(self.r.choice(self.COMMENTS))}'>", f"{self.heading('h2', 'h3', 'h4', says='comments')}{texts}")
 
     def menu(self) -> str:
-        return self.closed(self.r.choice(self.MENUS), self.items(0.97))
+        return self.closed(self.opened(self.r.choice(self.MENUS)), self.items(0.97))
 
     def around(self) -> str:
         """One thing that is no article, as it may stand beside or inside one."""
         return self.r.choice(
             (
-                lambda: self.other(self.ADS),
-                lambda: self.other(self.NOTICES),
-                lambda: self.other(self.SIDES, ("div", "div", "aside", "section")),
-                lambda: self.closed("<aside>", f"{self.heading('h2', 'h3', 'h4')}<p>{self.prose()}</p>"),
+                lambda: self.other(self.ADS, says="ad"),
+                lambda: self.other(self.NOTICES, says="notice"),
+                lambda: self.other(self.SIDES, ("div", "div", "aside", "section"), self.r.choice(("related", "share"))),
+                lambda: self.closed("<aside>", f"{self.heading('h2', 'h3', 'h4', says='related')}<p>{self.prose()}</p>"),
                 self.form,
                 self.comments,
                 self.menu,
             )
         )()
 
+    def opened(self, opening: str) -> str:
+        """Opening tags; on a plain page those of division have names that say nothing."""
+        if not self.plain or "<div" not in opening and "<ul" not in opening:
+            return opening
+        return re.sub(r"='[^']*'", lambda _: f"='{self.r.choice(self.PLAIN)}'", opening)
+
     def page(self) -> str:
+        self.plain = False
         parts = [self.block() for _ in range(self.r.randint(1, 14))]
         if self.r.random() < 0.3:
             parts.insert(self.r.randrange(len(parts) + 1), self.around())
+        self.plain = self.r.random() < 0.4
         title = f"<h1>{self.words(1, 9, self.r.choice(('', '.')))}</h1>" if self.r.random() < 0.9 else ""
         if title and self.r.random() < 0.15:
             title = f"<header>{title}</header>"
-        opening = self.r.choice(self.ARTICLES)
+        opening = self.opened(self.r.choice(self.ARTICLES))
+        table = self.plain and self.r.random() < 0.2
+        if table:
+            opening = "<td>"
         tags = [part.split()[0].strip(">") for part in opening.split("<")[1:]]
-        inside = "".join(f"<div data-label='content'>{x}</div>" if not opening else x for x in [title, *parts] if x)
         if opening:
             first, _, rest = opening.partition(">")
-            opening = f"{first} data-label='content'>{rest}"
-        article = opening + inside + "".join(f"</{t}>" for t in reversed(tags))
+            article = f"{first} data-label='content'>{rest}{title}{''.join(parts)}" + "".join(f"</{t}>" for t in reversed(tags))
+        else:  # straight under the body
+            article = "".join(x if "data-label" in x else x.replace(">", " data-label='content'>", 1) for x in [title, *parts] if x)
         before = [self.menu() if self.r.random() < 0.6 else self.around() for _ in range(self.r.randint(0, 3))]
         after = [self.around() for _ in range(self.r.randint(0, 3))]
+        if table:
+            cells = [f"<td data-label='other'>{x}</td>" for x in (self.menu(), self.around())]
+            article = f"<table><tr>{cells[0]}{article}{cells[1] if self.r.random() < 0.5 else ''}</tr></table>"
         if self.r.random() < 0.6:
-            before.insert(0, self.closed(self.r.choice(self.HEADS), f"{self.heading('h1', 'p', 'p', 'div')}{self.menu()}"))
+            before.insert(0, self.closed(self.opened(self.r.choice(self.HEADS)), f"{self.heading('h1', 'p', 'p', 'div')}{self.menu()}"))
         if self.r.random() < 0.8:
-            after.append(self.closed(self.r.choice(self.FEET), f"{self.r.choice(('&copy; ', ''))}{self.prose()}"))
-        return f"<html><head><title>x</title></head><body>{''.join(before)}{article}{''.join(after)}</body></html>"
+            after.append(self.closed(self.opened(self.r.choice(self.FEET)), f"{self.r.choice(('&copy; ', ''))}{self.prose()}"))
+        body = f"{''.join(before)}{article}{''.join(after)}"
+        for _ in range(self.r.randint(1, 3) if self.r.random() < 0.35 else 0):
+            body = f"<div class='{self.r.choice(self.PLAIN)}'>{body}</div>"
+        return f"<html><head><title>x</title></head><body>{body}</body></html>"
 
 
 @lru_cache(maxsize=4)
