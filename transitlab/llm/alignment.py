@@ -24,8 +24,7 @@ import hashlib
 import heapq
 import os
 import struct
-from array import array
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 from typing import Iterable, Iterator
 
@@ -89,8 +88,9 @@ class Vocabularies:
         self.lone_space = [self.b.piece_to_id(SPACE)]
         #: Pieces never go on past a space after another character, so a text may be cut there.
         self.separable = not any(SPACE in piece.lstrip(SPACE) for piece in pieces)
-        self.length_a, self.length_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.name_a, self.name_b = [[str(i) for i in range(len(x))] for x in (self.bytes_a, self.bytes_b)]
+        self.length_a, self.length_b = (np.array([len(x) for x in own]) for own in (self.bytes_a, self.bytes_b))
+        # the text of each token within its group, and at the end of it
+        self.written = [f"{i}{end}" for own, end in ((self.bytes_a, "|"), (self.bytes_b, ";")) for i in range(len(own)) for end in (",", end)]
 
     def units(self, text: str) -> list[str]:
         """Space and text, cut where both vocabularies may be; each unit begins with a space."""
@@ -100,44 +100,58 @@ class Vocabularies:
             return CUT.split(" " + text)
         return [" " + unit for unit in text.split(" ")]
 
-    def align(self, units: list[str]) -> Iterator[tuple | None]:
+    def spelled(self, units: list[bytes], ids: list[list[int]], entries: list[bytes]) -> list[bool]:
+        """Which units are just the bytes of their tokens."""
+        return [b"".join(map(entries.__getitem__, own)) == unit for unit, own in zip(units, ids)]
+
+    def align(self, units: list[str]) -> list[tuple | None]:
         """For each unit: A tokens, B tokens, groups, their text, and links (B id, A id). None: bytes differ."""
         all_a = [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]
-        all_b = self.b.encode([unit[1:] for unit in units], num_threads=1)
-        for unit, a, b in zip(units, all_a, all_b):
-            b, raw = b or self.lone_space, unit.encode()
-            if b"".join([self.bytes_a[i] for i in a]) != raw or b"".join([self.bytes_b[i] for i in b]) != raw:
-                yield None
-                continue
-            groups, links = [], array("Q")
-            end_a = end_b = first_a = first_b = last_b = 0
-            for last_a, i in enumerate(a, 1):
-                end_a += self.length_a[i]
-                while end_b < end_a:
-                    end_b += self.length_b[b[last_b]]
-                    last_b += 1
-                if end_a == end_b:
-                    own_a = ",".join([self.name_a[j] for j in a[first_a:last_a]])
-                    own_b = ",".join([self.name_b[j] for j in b[first_b:last_b]])
-                    groups.append(f"{own_a}|{own_b}")
-                    links.append(b[last_b - 1] << 32 | i)
-                    first_a, first_b = last_a, last_b
-            yield len(a), len(b), len(groups), ";".join(groups), links.tobytes()
+        all_b = [ids or self.lone_space for ids in self.b.encode([unit[1:] for unit in units], num_threads=1)]
+        raw = [unit.encode() for unit in units]
+        good = [a and b for a, b in zip(self.spelled(raw, all_a, self.bytes_a), self.spelled(raw, all_b, self.bytes_b))]
+        found = iter(self.groups([x for x, ok in zip(all_a, good) if ok], [x for x, ok in zip(all_b, good) if ok]))
+        return [next(found) if ok else None for ok in good]
+
+    def groups(self, all_a: list[list[int]], all_b: list[list[int]]) -> list[tuple]:
+        """All units at a time: they follow one another as one text, and each unit's end is the end of a group."""
+        if not all_a:
+            return []
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (all_a, all_b))
+        n_a, n_b = ([*map(len, ids)] for ids in (all_a, all_b))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        _, last_a, last_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        links = b[last_b] << 32 | a[last_a]
+        bounds = np.searchsorted(last_a, np.cumsum(n_a) - 1) + 1  # groups up to the end of each unit
+        # the tokens of A and then of B, group by group: where each stands, and its text
+        group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.r_[0, last_b + 1][group_a]] = 2 * a + (last_a[group_a] == np.arange(len(a)))
+        order[np.arange(len(b)) + last_a[group_b] + 1] = 2 * (len(self.bytes_a) + b) + (last_b[group_b] == np.arange(len(b)))
+        texts = list(map(self.written.__getitem__, order.tolist()))
+        out, packed, group, at = [], links.tobytes(), 0, 0
+        for one, other, bound in zip(n_a, n_b, bounds.tolist()):
+            last = at + one + other
+            out.append((one, other, bound - group, "".join(texts[at:last]), packed[8 * group : 8 * bound]))
+            group, at = bound, last
+        return out
 
     def texts(self, texts: list[str | None]) -> Iterator[list[tuple] | None]:
         """The aligned units of each text; None where it has no tokens."""
         cut = [self.units(text) if text else [] for text in texts]
         if len(self.kept) > self.limit:
-            self.kept = {}
-        new = list({unit for units in cut for unit in units} - self.kept.keys())
-        own = dict(zip(new, self.align(new)))
+            self.kept.clear()
+        new = [*set(chain.from_iterable(cut)).difference(self.kept)]
+        self.kept.update(zip(new, self.align(new)))
         for units in cut:
-            found = [own[unit] if unit in own else self.kept[unit] for unit in units]
+            found = [*map(self.kept.__getitem__, units)]
             yield found if found and None not in found else None
-        self.kept |= {unit: x for unit, x in own.items() if len(unit) <= LONGEST_KEPT}
+        for unit in new:
+            if len(unit) > LONGEST_KEPT:
+                del self.kept[unit]
 
 
-def vocabularies(path_a: str, path_b: str, limit: int = 200_000) -> Vocabularies:
+def vocabularies(path_a: str, path_b: str, limit: int = 500_000) -> Vocabularies:
     """This Python worker's copy of the two."""
     return resident(("both", path_a, path_b), lambda: Vocabularies(path_a, path_b, limit))
 
@@ -176,7 +190,7 @@ class Spills:
 
     def add(self, doc_id: int | None, found: list[tuple] | None) -> None:
         n_a, n_b, n_groups, texts, links = zip(*found) if found else ((), (), (), (), ())
-        sha = hashlib.sha256(";".join(texts).encode()).hexdigest() if found else ""
+        sha = hashlib.sha256("".join(texts)[:-1].encode()).hexdigest() if found else ""
         self.docs.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), sha))
         self.links.append(b"".join(links))
         self.held += len(self.links[-1]) // 8
