@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from transitlab.llm.packing import Bins, class_sizes, pack
+from transitlab.llm.packing import Bins, class_of, pack
 from transitlab.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,33 +61,57 @@ def check_pieces(rows, docs, tokenizer, capacity):
     return padding
 
 
+def test_units_encoded_together_have_their_own_ids(tokenizer):
+    encode, texts = Encoder(PATH), [*TEXTS, "one two  three", "x 1 22 <|endoftext|> it's don't é漢字 \x85 y\x1c z", "a" * 100 + " b"]
+    encode.learn(texts)
+    assert len(encode.spaced) >= 5
+    for text in texts:
+        assert list(array("I", encode(text))) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_whole_table(spark, documents, tokenizer):
     docs = {r.doc_id: r.text for r in documents.collect()}
     rows = pack(documents.repartition(5), PATH, 1024).collect()
     assert check_pieces(rows, docs, tokenizer, 1024) == 0
+    whole = sum(r.doc_tokens // 1024 for r in rows if r.start == 0)
+    assert len(rows) - whole < 2.2 * len(docs)  # a rest is one piece, or two where it fills a gap
+
+
+@pytest.mark.parametrize("length, k", [(1024, 1), (513, 1), (512, 2), (342, 2), (341, 3), (1, 1024)])
+def test_classes(length, k):
+    assert class_of(length, 1024) == k and 1024 / (k + 1) < length <= 1024 / k
 
 
-def test_classes_fill_at_a_fixed_count():
-    assert class_sizes(8) == [8, 4, 2, 1]
-    bins = Bins(8, 100)
-    for doc in range(5):
-        bins.add(doc, bytes(4 * 4))  # class 2
-    assert bins.sequences == 2 and bins.open[4][0][0] == 4
+def test_bins_take_a_fixed_count_and_the_next_rest_fills_the_gap():
+    bins = Bins(10, 100)
+    for doc, length in enumerate([4, 6, 13, 9, 4, 2]):
+        bins.add(doc, bytes(4 * length))
     bins.close()
-    assert bins.rows["sequence_id"] == [100, 100, 101, 101, 102]
+    found = list(zip(*(bins.rows[c] for c in ("sequence_id", "doc_id", "start", "length", "offset"))))
+    # 4 waits in class 2; 6 is alone in class 1, and its gap takes the rest of 13 and the beginning of 9
+    assert found[:4] == [(100, 2, 0, 10, 0), (101, 1, 0, 6, 0), (101, 2, 10, 3, 6), (101, 3, 0, 1, 9)]
+    fill = defaultdict(int)
+    for sequence, _, _, length, offset in found:
+        assert offset == fill[sequence]
+        fill[sequence] += length
+    assert sorted(fill.values(), reverse=True)[:3] == [10, 10, 10] and sum(fill.values()) == 38
 
 
 @pytest.mark.parametrize("capacity", [1, 6, 10, 64, 1000])
 def test_any_capacity(capacity):
-    bins = Bins(capacity, 0)
-    for doc in range(40):
-        bins.add(doc, bytes(4 * (doc * 7 % 53 + 1)))
+    bins, lengths = Bins(capacity, 0), [doc * 7 % 53 + 1 for doc in range(40)]
+    for doc, length in enumerate(lengths):
+        bins.add(doc, bytes(4 * length))
     bins.close()
-    fill = defaultdict(int)
-    for sequence, length, offset in zip(bins.rows["sequence_id"], bins.rows["length"], bins.rows["offset"]):
+    fill, seen = defaultdict(int), defaultdict(list)
+    for sequence, length, offset, doc, start in zip(*(bins.rows[c] for c in ("sequence_id", "length", "offset", "doc_id", "start"))):
         assert offset == fill[sequence]
         fill[sequence] += length
-    assert max(fill.values()) <= capacity and sum(fill.values()) == sum(d * 7 % 53 + 1 for d in range(40))
+        seen[doc].append((start, start + length))
+    assert all(f == capacity or f & (f - 1) == 0 for f in fill.values())
+    for doc, length in enumerate(lengths):
+        own = sorted(seen[doc])
+        assert own[0][0] == 0 and own[-1][1] == length and all(a[1] == b[0] for a, b in zip(own, own[1:]))
 
 
 def test_edges(edge, clashing, empty):

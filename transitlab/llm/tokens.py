@@ -10,6 +10,9 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import chain
+
+import numpy as np
 
 from .common import resident
 
@@ -40,6 +43,11 @@ class UnitIds(dict):
         self.lead, self.limit = lead, limit
         self.split, self.tokens = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
         self.alphabet = byte_alphabet()
+        tokenizer.encode_special_tokens = True
+        self.encode = tokenizer.encode
+        self.lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: a character for each
+        for piece, i in tokenizer.get_vocab().items():
+            self.lengths[i] = len(piece)
 
     def __missing__(self, unit: str) -> bytes:
         text = self.lead + unit
@@ -55,6 +63,25 @@ class UnitIds(dict):
         return ids
 
 
+    def learn(self, units: list[str], step: int = 500) -> None:
+        """Ids of many units, encoded side by side: a unit that doesn't end in white space ends where the next begins."""
+        new = [u for u in units if u not in self and 0 < len(u) <= LONGEST_KEPT and not u[-1].isspace()]
+        if len(self) + len(new) > self.limit:
+            self.clear()
+        for first in range(0, len(new), step):
+            some = new[first : first + step]
+            texts = [self.lead + u for u in some]
+            ids = np.array(self.encode("".join(texts), add_special_tokens=False).ids, np.uint32)
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            reached = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(reached, ends) + 1
+            if cuts[-1] > len(ids) or (reached[cuts - 1] != ends).any():  # some token goes on into the next unit
+                continue  # each is then encoded alone, when it is asked for
+            packed = ids.tobytes()
+            for u, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                self[u] = packed[4 * a : 4 * b]
+
+
 class Encoder:
     """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings as text."""
 
@@ -62,6 +89,11 @@ class Encoder:
         self.whole = UnitIds(tokenizer_path, "", limit // 8)
         self.spaced = UnitIds(tokenizer_path, " ", limit)
 
+    def learn(self, texts: list[str | None]) -> None:
+        """Makes ready for texts that will be encoded soon: their new units are encoded together."""
+        plain = (text.split(" ")[1:] for text in texts if text and not GLUED.search(text))
+        self.spaced.learn(list(set(chain.from_iterable(plain))))
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
