@@ -38,7 +38,7 @@ def test_whole_table(spark, documents):
     assert result(documents.repartition(5)) == brute(pairs(documents))
 
 
-@pytest.mark.parametrize("options", [{}, {"width": 1, "local_bytes": 0}, {"width": 3, "local_bytes": 200}])
+@pytest.mark.parametrize("options", [{}, {"width": 1, "local_bytes": 0, "task_bytes": 0}, {"width": 3, "task_members": 2}])
 def test_edges(edge, clashing, empty, options):
     want = brute(pairs(edge))
     assert result(edge, **options) == want
@@ -52,7 +52,7 @@ def test_long_shared_prefixes_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(exact, "HOT_GROUPS", 10)
     rows = [(i, "same start " * 30 + str(i % 90)) for i in range(300)] + [(1000 + i, "Copy" * (i % 3)) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    for options in ({"local_bytes": 0}, {"local_bytes": 1_000, "width": 4}):
+    for options in ({"local_bytes": 0, "task_members": 0}, {"task_bytes": 1_000, "width": 4}):
         assert result(df, **options) == brute(rows)
 
 

@@ -6,7 +6,7 @@
 2. A digit is a run of bytes. All members of a group are split by their next digit;
    a group is a text's path of digits so far. Only the digits are shuffled, counted
    before and after. A group of one is done. A group whose members have ended is a
-   set of equal texts. Any other group goes on, with digits twice as wide.
+   set of equal texts. Any other group goes on, with digits four times as wide.
 3. As soon as a group's texts fit into a task, one task splits it to the end by the
    same steps. Larger groups (a prefix that a third of all texts share) go on as in
    2, so no task ever holds one; the members of hot groups find their group by a
@@ -30,8 +30,10 @@ from .common import join_small, slices, stored, tabled
 
 #: Bytes of the first digit.
 WIDTH = 16
-#: Bytes of texts that a task remembers for local classes, and that a group may have to be split in one task.
+#: Bytes of texts that a task remembers for local classes.
 LOCAL_BYTES = 32_000_000
+#: Members and bytes that a group may have to be split in one task.
+TASK_MEMBERS, TASK_BYTES = 2_000, 8_000_000
 #: Groups with more than 1 / HOT_GROUPS of all members (and HOT_ROWS at least) are hot.
 HOT_GROUPS, HOT_ROWS = 500, 10_000
 
@@ -76,7 +78,7 @@ def equal_sets(texts: list[bytes], width: int) -> Iterator[list[int]]:
             if len(own) > 1 and ended:
                 yield own
             elif len(own) > 1:
-                todo.append((own, at + wide, 2 * wide))
+                todo.append((own, at + wide, 4 * wide))
 
 
 def split_in_tasks(texts: DataFrame, width: int) -> DataFrame:
@@ -101,7 +103,7 @@ def split_in_tasks(texts: DataFrame, width: int) -> DataFrame:
 
 
 def split_once(texts: DataFrame, width: int, total: int) -> DataFrame:
-    """(member, grp, ended, bytes): members of the groups of two or more after one more digit. Texts don't move."""
+    """(member, grp, ended, n, bytes): members of the groups of two or more after one more digit. Texts don't move."""
     keys = ["old", "digit", "ended"]
     heads = texts.select(
         "member",
@@ -122,10 +124,10 @@ def split_once(texts: DataFrame, width: int, total: int) -> DataFrame:
     else:  # at most HOT_GROUPS rows
         rest = heads.join(F.broadcast(hot), keys, "left_anti")
         found = heads.join(F.broadcast(hot), keys).unionByName(join_small(rest, stored(groups.where(~is_hot)), keys))
-    return stored(found.select("member", "grp", "ended", "bytes"))
+    return stored(found.select("member", "grp", "ended", "n", "bytes"))
 
 
-def equal_members(texts: DataFrame, width: int = WIDTH, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def equal_members(texts: DataFrame, width: int, task_members: int, task_bytes: int) -> DataFrame:
     """(member, equal) for each member whose text another member has: ``equal`` is the least of them.
 
     ``texts`` (member, text) is a stored table with one row for each member.
@@ -135,7 +137,8 @@ def equal_members(texts: DataFrame, width: int = WIDTH, local_bytes: int = LOCAL
     while True:
         now = split_once(texts, width, total)
         found.append(now.where("ended").select("member", F.col("grp").alias("equal")))
-        open_ = now.where("not ended").select("member", "grp", (F.col("bytes") <= local_bytes).alias("fits"))
+        fits = (F.col("n") <= task_members) & (F.col("bytes") <= task_bytes)
+        open_ = now.where("not ended").select("member", "grp", fits.alias("fits"))
         later = join_small(texts.drop("grp"), open_, ["member"]).withColumn(
             "text", F.expr(f"substring(text, {width + 1})")
         )
@@ -143,7 +146,7 @@ def equal_members(texts: DataFrame, width: int = WIDTH, local_bytes: int = LOCAL
         if open_.where("not fits").isEmpty():
             break
         texts = tabled(later.where("not fits").select("member", "text", "grp"))
-        width *= 2
+        width *= 4
     every = found[0]
     for one in found[1:]:
         every = every.union(one)
@@ -156,6 +159,8 @@ def exact_copies(
     text_column: str = "text",
     width: int = WIDTH,
     local_bytes: int = LOCAL_BYTES,
+    task_members: int = TASK_MEMBERS,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """A row for each document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -167,7 +172,7 @@ def exact_copies(
     """
     plain = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     rows = tabled(local_classes(plain, local_bytes))
-    equal = equal_members(rows.where("text is not null").select("member", "text"), width, local_bytes)
+    equal = equal_members(rows.where("text is not null").select("member", "text"), width, task_members, task_bytes)
     members = rows.groupBy("member").agg(
         F.count("*").alias("n"),
         F.max("doc_id").alias("top"),
