@@ -99,6 +99,13 @@ def kept_terms(found: DataFrame, keys: list[str], least_docs: int) -> DataFrame:
     return stored(sums.where(F.col("docs") >= least_docs).drop("docs"))
 
 
+def only_kept(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """Without the terms whose digest no language keeps, if the kept digests can be broadcast; else all of them."""
+    digests = stored(kept.select("digest").distinct())
+    few = digests.count() <= BROADCAST_ROWS
+    return found.join(F.broadcast(digests), "digest", "left_semi") if few else found
+
+
 def share(n: Column, total: Column, size: Column) -> Column:
     """1 + floor(10^9 (n + 2) / (total + 2 size)), exact for counts of any size."""
     above = F.lit(1_000_000_000).cast("decimal(10,0)") * (n + 2).cast("decimal(20,0)")
@@ -217,9 +224,8 @@ def divergence(
     found, collided = with_splits(found, kept)
     kept = kept_terms(found, ["digest", "split"], least_docs) if collided else kept.withColumn("split", F.lit(0))
     key = ["lang", "digest", "split"]
-    counts = stored(
-        join_small(found.select("source", "n", *key), kept.drop("lang_n"), key).groupBy(*key, "source").agg(F.sum("n").alias("n"))
-    )
+    sums = only_kept(found, kept).groupBy(*key, "source").agg(F.sum("n").alias("n"))  # a term has a row a source from here
+    counts = stored(join_small(sums, kept.drop("lang_n"), key))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("size"), F.sum("lang_n").alias("lang_total"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = plain.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
