@@ -1,14 +1,17 @@
 """Quality rules from tokeniser fertility: what public vocabularies make of a text.
 
-A text is encoded whole by a piece vocabulary with byte fallback. Three figures
-follow: characters per token, the share of tokens that stand for single bytes, and
-the entropy of the token counts. Each is held against a band of the text's
-language and length class (the whole part of the binary logarithm of its tokens):
-the median and half the distance between the quartiles of that group, from exact
-counts of figures rounded to three places. Each distinct text that passes the base
-rules counts once, so copies and rows that go anyway don't set the bands. A group with
-too few texts takes the band of its language, then that of all texts. Beside the
-bands stand plain base rules: too few words, and too many words in repeated windows.
+A text is encoded whole by a piece vocabulary with byte fallback: characters per
+token, the share of tokens that stand for single bytes, and the entropy of the token
+counts. A byte-level vocabulary, which has no fallback, gives a second figure of
+characters per token. Each is held against a band of the text's language and length
+class (the whole part of the binary logarithm of its tokens): the median and half
+the distance between the quartiles of that group, from exact counts of figures
+rounded to three places. Each distinct text that passes the base rules counts once,
+so copies and rows that go anyway don't set the bands. A group's bounds are drawn
+towards those of its language, and a language's towards those of all texts, by its
+number of texts: n of them weigh n / (n + STRENGTH). So no group is too small to
+have a band, and none changes its band at some size. Beside the bands stand plain
+base rules: too few words, and too many words in repeated windows.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, map_slices, resident, stored, unused, without
+from .tokens import Encoder
 
 SYMBOLS = b"#*$%&|<>"
 SPACE_BYTES = SPACES.encode()
@@ -28,14 +32,17 @@ SPACE_BYTES = SPACES.encode()
 #: Units longer than this aren't kept.
 LONGEST_KEPT = 48
 
-FIGURES = ("chars_per_token", "byte_share", "entropy")
+FIGURES = ("chars_per_token", "byte_share", "entropy", "chars_per_byte_token")
+
+#: Texts that the wider group's bounds weigh.
+STRENGTH = 50
 
 #: Half quartile distances from the median to either bound. Bytes are rare, so their share scatters more.
-WIDTHS = {"chars_per_token": 8.0, "byte_share": 20.0, "entropy": 8.0}
+WIDTHS = {"chars_per_token": 8.0, "byte_share": 20.0, "entropy": 8.0, "chars_per_byte_token": 8.0}
 
 #: The least half quartile distances, near the smallest of any language and length class at sf0.1: a group of texts
 #: that are nearly alike doesn't narrow its band beyond them.
-LEAST_HALF = {"chars_per_token": 0.015, "byte_share": 0.001, "entropy": 0.035}
+LEAST_HALF = {"chars_per_token": 0.015, "byte_share": 0.001, "entropy": 0.035, "chars_per_byte_token": 0.015}
 
 
 class PieceIds(dict):
@@ -67,9 +74,9 @@ class PieceIds(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), np.int32)
 
 
-def vocabulary(model_path: str) -> PieceIds:
-    """This Python worker's copy of the vocabulary."""
-    return resident(("pieces", model_path), lambda: PieceIds(model_path))
+def vocabularies(model_path: str, byte_path: str) -> tuple[PieceIds, Encoder]:
+    """This Python worker's copies of the two vocabularies."""
+    return resident(("fertility", model_path, byte_path), lambda: (PieceIds(model_path, 400_000), Encoder(byte_path, 400_000)))
 
 
 def fertility(text: str, pieces: PieceIds) -> tuple[int, float | None, float | None, float | None]:
@@ -122,12 +129,14 @@ def repeated_lines(text: str) -> int:
     return repeats
 
 
-def measures(docs: DataFrame, model_path: str, window: int = 8) -> DataFrame:
+def measures(docs: DataFrame, model_path: str, byte_path: str, window: int = 8) -> DataFrame:
     """A row for each document with its id, language, base counts, fertility figures and its text's hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pieces, rows = vocabulary(model_path), []
-        for text in batch.column(2).to_pylist():
+        (pieces, encode), rows = vocabularies(model_path, byte_path), []
+        texts = batch.column(2).to_pylist()
+        encode.learn(texts)
+        for text in texts:
             text = text or ""
             raw = text.encode()
             words = raw.split()
@@ -139,10 +148,11 @@ def measures(docs: DataFrame, model_path: str, window: int = 8) -> DataFrame:
                     repeated_lines(text),
                     repeated_words(words, window),
                     *fertility(text, pieces),
+                    4 * len(text) / len(encode(text)) if text else None,
                 )
             )
-        columns = list(map(list, zip(*rows))) if rows else [[] for _ in range(9)]
-        kinds = [pa.int64()] * 6 + [pa.float64()] * 3
+        columns = list(map(list, zip(*rows))) if rows else [[] for _ in range(10)]
+        kinds = [pa.int64()] * 6 + [pa.float64()] * 4
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds)), batch.column(3)],
             ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *FIGURES, "text_hash"],
@@ -157,7 +167,7 @@ def measures(docs: DataFrame, model_path: str, window: int = 8) -> DataFrame:
         ),
         run,
         "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, text_hash long",
+        "n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, chars_per_byte_token double, text_hash long",
     )
 
 
@@ -165,8 +175,8 @@ def base_failed(min_words: int = 20, max_repeat_percent: int = 30) -> Column:
     return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
 
 
-def bands(found: DataFrame, keys: list[str], least: int, widths: dict[str, float]) -> DataFrame:
-    """Per group of at least ``least`` texts, the lowest and highest figures that pass, as a struct ``band``.
+def bands(found: DataFrame, keys: list[str], widths: dict[str, float]) -> DataFrame:
+    """Per group: ``texts``, and for each figure the lowest and highest value that pass by this group alone.
 
     Texts that fail the base rules don't count, and copies of a text count once.
     """
@@ -176,49 +186,66 @@ def bands(found: DataFrame, keys: list[str], least: int, widths: dict[str, float
         q = F.percentile(F.round(name, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         half = F.greatest((q[2] - q[0]) / 2, F.lit(LEAST_HALF[name])) * widths[name]
         parts += [(q[1] - half).alias(f"low_{name}"), (q[1] + half).alias(f"high_{name}")]
-    grouped = texts.groupBy(*keys).agg(F.count("*").alias("texts"), F.struct(*parts).alias("band"))
-    return grouped.where(F.col("texts") >= least).drop("texts")
+    return texts.groupBy(*keys).agg(F.count("*").alias("texts"), *parts)
+
+
+BOUNDS = [f"{end}_{name}" for name in FIGURES for end in ("low", "high")]
 
 
-def judge(docs: DataFrame, model_path: str, widths: dict[str, float] = WIDTHS, least: int = 200) -> DataFrame:
+def _drawn(own: DataFrame, wider: DataFrame, keys: list[str], strength: float) -> DataFrame:
+    """The bounds of the groups, drawn towards those of the wider groups that share ``keys`` (NULL is a key like any other)."""
+    wider = wider.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(c).alias(f"_{c}") for c in BOUNDS))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = own.join(wider, same) if keys else own.join(F.broadcast(wider), F.lit(True))  # all texts have one row
+    weight = F.col("texts") / (F.col("texts") + F.lit(float(strength)))
+    drawn = [(weight * F.col(c) + (1 - weight) * F.col(f"_{c}")).alias(c) for c in BOUNDS]
+    return both.select(*[c for c in own.columns if c not in BOUNDS], *drawn)
+
+
+def judge(
+    docs: DataFrame, model_path: str, byte_path: str, widths: dict[str, float] = WIDTHS, strength: float = STRENGTH
+) -> DataFrame:
     """The measures of each document with ``base_failed``, the band's verdict and ``kept``.
 
     Null texts count as empty: no words, so they fail the base rules. A null
     language is a group like any other. A band is ``widths`` half quartile
-    distances to either side of the median; the byte share has no lower bound. Repeated rows
+    distances to either side of the median, drawn towards the wider groups' bounds as
+    if these stood for ``strength`` texts; a group without a text that counts has the bounds of
+    its language, or of all texts. The byte share has no lower bound. Repeated rows
     are judged alike; an empty table gives no rows. Rows whose figures lie exactly
     on a bound pass.
     """
     found = stored(
-        measures(docs, model_path).withColumn(
+        measures(docs, model_path, byte_path).withColumn(
             "length_class", F.when(F.col("n_tokens") > 0, F.floor(F.log2("n_tokens"))).cast("int")
         )
     )
-    fine = bands(found, ["lang", "length_class"], least, widths).withColumnRenamed("band", "fine")
-    coarse = bands(found, ["lang"], least, widths).withColumnRenamed("band", "coarse")
-    overall = bands(found, [], 0, widths).withColumnRenamed("band", "overall")
+    overall = bands(found, [], widths)
+    coarse = _drawn(bands(found, ["lang"], widths), overall, [], strength)
+    fine = _drawn(bands(found, ["lang", "length_class"], widths), coarse, ["lang"], strength)
 
-    def beside(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
-        right = right.select(*(F.col(k).alias(f"_{k}") for k in keys), right.columns[-1])
+    def beside(left: DataFrame, right: DataFrame, name: str, *keys: str) -> DataFrame:
+        right = right.select(*(F.col(k).alias(f"_{k}") for k in keys), F.struct(*BOUNDS).alias(name))
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        return left.join(right, same if same else F.lit(True), "left").drop(*(f"_{k}" for k in keys))
+        joined = left.join(right, same, "left") if keys else left.join(F.broadcast(right), F.lit(True), "left")
+        return joined.drop(*(f"_{k}" for k in keys))
 
-    judged = beside(beside(found, fine, "lang", "length_class"), coarse, "lang").join(F.broadcast(overall), F.lit(True), "left")
+    judged = beside(beside(found, fine, "fine", "lang", "length_class"), coarse, "coarse", "lang")
+    judged = beside(judged, overall, "overall")
     band = F.coalesce("fine", "coarse", "overall")
-    inside = [
-        F.col(name).between(F.lit(0.0) if name == "byte_share" else band[f"low_{name}"], band[f"high_{name}"])
-        for name in FIGURES
-    ]
-    ok = F.coalesce(inside[0] & inside[1] & inside[2], F.lit(True))
+    ok = F.lit(True)
+    for name in FIGURES:
+        low = F.lit(0.0) if name == "byte_share" else band[f"low_{name}"]
+        ok = ok & F.col(name).between(low, band[f"high_{name}"])
     return (
         judged.withColumn("base_failed", base_failed())
-        .withColumn("in_band", ok)
+        .withColumn("in_band", F.coalesce(ok, F.lit(True)))
         .withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
         .drop("fine", "coarse", "overall", "text_hash")
     )
 
 
-def keep_good(docs: DataFrame, model_path: str) -> DataFrame:
+def keep_good(docs: DataFrame, model_path: str, byte_path: str) -> DataFrame:
     """The documents that pass, with all their columns.
 
     Rows are told apart by a hash of id, language and text, so rows that share an id, or have none, are judged each
@@ -226,6 +253,6 @@ def keep_good(docs: DataFrame, model_path: str) -> DataFrame:
     """
     row = unused(docs, "row")
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "lang", "text"))
-    judged = judge(keyed.select(F.col(row).alias("doc_id"), "lang", "text"), model_path)
+    judged = judge(keyed.select(F.col(row).alias("doc_id"), "lang", "text"), model_path, byte_path)
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(row))
     return without(keyed, gone, row).select(*docs.columns)

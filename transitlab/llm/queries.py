@@ -68,7 +68,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), public_tokenizers.path(BYTE_BPE))
 
 
 def op9_tree_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
