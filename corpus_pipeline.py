@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands of their language."""
-    return quality.keep_good(docs, public_tokenizers.path(PIECES))
+    return quality.keep_good(docs, public_tokenizers.path(PIECES), public_tokenizers.path(BYTE_BPE))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder and read again."""
+    """All stages over ``documents``; what a stage keeps is written to the shared checkpoint folder and read again.
+
+    Null texts, languages and ids, and empty texts, are what each stage says of them: the language stage rejects
+    texts without letters, so none of these comes further. An empty table gives no rows. Other columns of the table are carried to the last stage.
+    """
     scratch = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
