@@ -229,9 +229,10 @@ def latest_labels(label_log: DataFrame) -> DataFrame:
     """The newest label per object, one row each.
 
     The greatest ``seq`` of an id is a hash aggregate; its event is joined back. Two
-    writers may have given one number twice: then the label that sorts last counts."""
+    writers may have given one number twice: then the label that sorts last counts; the
+    labels of one number are a set, which a hash aggregate holds."""
     newest = label_log.groupBy("object_id").agg(F.max("seq").alias("seq"))
-    return label_log.join(newest, ["object_id", "seq"]).groupBy("object_id").agg(F.max("label").alias("label"))
+    return label_log.join(newest, ["object_id", "seq"]).groupBy("object_id").agg(F.array_max(F.collect_set("label")).alias("label"))
 
 
 def join_latest_labels(features: DataFrame, label_log: DataFrame, id_col: str = "object_id") -> DataFrame:
