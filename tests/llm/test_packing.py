@@ -1,13 +1,16 @@
 import zlib
 from array import array
 from collections import defaultdict
+from functools import lru_cache
 
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from transitlab.llm.packing import Bins, class_of, pack
-from transitlab.llm.tokens import Encoder
+from transitlab.llm.tokens import Encoder, ranks_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,9 +33,38 @@ def test_ids_are_the_tokenizers(tokenizer, text):
     assert list(array("I", Encoder(PATH)(text))) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_a_full_memory_changes_nothing(tokenizer):
-    text = " ".join(f"word{i}" for i in range(500))
-    assert list(array("I", Encoder(PATH, limit=20)(text))) == tokenizer.encode(text, add_special_tokens=False).ids
+def test_ids_of_all_texts(spark, tokenizer):
+    encode = Encoder(PATH)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert list(array("I", encode(r.text))) == tokenizer.encode(r.text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=40))
+def test_ids_of_any_text(text):
+    encode, tokenizer = pair()
+    assert list(array("I", encode(text))) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@lru_cache
+def pair():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return Encoder(PATH), t
+
+
+def test_long_runs_take_no_longer():
+    encode, text = Encoder(PATH), "x" * 400_000
+    assert len(encode(text)) > 0
+
+
+def test_other_vocabularies_are_left_to_their_library(tmp_path, tokenizer):
+    assert ranks_of(PATH)
+    words = public_tokenizers.path("word_bpe_49k.json")
+    assert ranks_of(words) is None
+    t = Tokenizer.from_file(words)
+    t.encode_special_tokens = True
+    assert list(array("I", Encoder(words)("some words"))) == t.encode("some words", add_special_tokens=False).ids
 
 
 def check_pieces(rows, docs, tokenizer, capacity):
@@ -61,14 +93,6 @@ def check_pieces(rows, docs, tokenizer, capacity):
     return padding
 
 
-def test_units_encoded_together_have_their_own_ids(tokenizer):
-    encode, texts = Encoder(PATH), [*TEXTS, "one two  three", "x 1 22 <|endoftext|> it's don't é漢字 \x85 y\x1c z", "a" * 100 + " b"]
-    encode.learn(texts)
-    assert len(encode.spaced) >= 5
-    for text in texts:
-        assert list(array("I", encode(text))) == tokenizer.encode(text, add_special_tokens=False).ids
-
-
 def test_whole_table(spark, documents, tokenizer):
     docs = {r.doc_id: r.text for r in documents.collect()}
     rows = pack(documents.repartition(5), PATH, 1024).collect()

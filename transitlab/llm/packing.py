@@ -147,7 +147,6 @@ def pack(
         for batch in batches:
             for part in slices(batch):
                 ids, texts = (column.to_pylist() for column in part.columns)
-                encode.learn(texts)
                 for doc_id, text in zip(ids, texts):
                     bins.add(doc_id, encode(text) + end)
                 yield bins.batch()

@@ -1,16 +1,16 @@
-"""Ids of a byte-level BPE vocabulary, with a bounded memory of the units already seen.
+"""Ids of a byte-level BPE vocabulary.
 
-A text may be cut before each space that follows a character other than white
-space: the vocabulary's pre-tokeniser never joins what stands on both sides.
-The units between such cuts repeat a great deal, so their ids are kept.
+The vocabulary is the one of a tokenizers file. Where its ids rise in the order of its
+merges, as in byte-level vocabularies that were made in one go, a token's id is its
+rank, and the faster of two libraries gives the same ids; tests hold it against the
+other. Any other vocabulary is left to the library of its file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
-from itertools import chain
 
 import numpy as np
 
@@ -20,9 +20,6 @@ from .common import resident
 GLUED = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
-#: Units longer than this aren't kept.
-LONGEST_KEPT = 48
-
 
 def byte_alphabet() -> dict[int, int]:
     """The printable stand-in for each byte in byte-level vocabularies: itself if printable, else the next from 256 on."""
@@ -31,76 +28,44 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-class UnitIds(dict):
-    """Maps a unit to its ids as little-endian unsigned 32-bit numbers; emptied when it holds ``limit`` units."""
-
-    def __init__(self, tokenizer_path: str, lead: str, limit: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.lead, self.limit = lead, limit
-        self.split, self.tokens = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-        self.alphabet = byte_alphabet()
-        tokenizer.encode_special_tokens = True
-        self.encode = tokenizer.encode
-        self.lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)  # bytes of each token: a character for each
-        for piece, i in tokenizer.get_vocab().items():
-            self.lengths[i] = len(piece)
-
-    def __missing__(self, unit: str) -> bytes:
-        text = self.lead + unit
-        if unit.isalpha():  # one pre-token
-            parts = [text.encode().decode("latin-1").translate(self.alphabet)]
-        else:
-            parts = [part for part, _ in self.split(text)] if text else []
-        ids = array("I", [token.id for part in parts for token in self.tokens(part)]).tobytes()
-        if len(unit) <= LONGEST_KEPT:
-            if len(self) >= self.limit:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
-    def learn(self, units: list[str], step: int = 500) -> None:
-        """Ids of many units, encoded side by side: a unit that doesn't end in white space ends where the next begins."""
-        new = [u for u in units if u not in self and 0 < len(u) <= LONGEST_KEPT and not u[-1].isspace()]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-        for first in range(0, len(new), step):
-            some = new[first : first + step]
-            texts = [self.lead + u for u in some]
-            ids = np.array(self.encode("".join(texts), add_special_tokens=False).ids, np.uint32)
-            ends = np.cumsum([len(t.encode()) for t in texts])
-            reached = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(reached, ends) + 1
-            if cuts[-1] > len(ids) or (reached[cuts - 1] != ends).any():  # some token goes on into the next unit
-                continue  # each is then encoded alone, when it is asked for
-            packed = ids.tobytes()
-            for u, a, b in zip(some, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                self[u] = packed[4 * a : 4 * b]
+def ranks_of(tokenizer_path: str) -> dict[bytes, int] | None:
+    """The bytes of each token with its id as rank; None where ids aren't ranks."""
+    with open(tokenizer_path, encoding="utf-8") as file:
+        made = json.load(file)
+    model, plain = made["model"], {chr(stand_in): byte for byte, stand_in in byte_alphabet().items()}
+    if model.get("type") != "BPE" or made.get("normalizer") or (made.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+        return None
+    special = {token["content"] for token in made.get("added_tokens") or []}
+    entries = {piece: i for piece, i in model["vocab"].items() if piece not in special}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    order = [entries.get(piece, -1) for piece in merged]
+    if any(a >= b for a, b in zip(order, order[1:])) or not all(c in plain for piece in entries for c in piece):
+        return None
+    return {bytes(plain[c] for c in piece): i for piece, i in entries.items()}
 
 
 class Encoder:
-    """Whole texts to ids, equal to ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings as text."""
+    """Whole texts to ids, as little-endian unsigned 32-bit numbers: those of ``Tokenizer.encode(text,
+    add_special_tokens=False)`` with special strings as text."""
 
-    def __init__(self, tokenizer_path: str, limit: int = 500_000):
-        self.whole = UnitIds(tokenizer_path, "", limit // 8)
-        self.spaced = UnitIds(tokenizer_path, " ", limit)
+    def __init__(self, tokenizer_path: str):
+        ranks = ranks_of(tokenizer_path)
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ids = own.encode_ordinary
+        else:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
 
-    def learn(self, texts: list[str | None]) -> None:
-        """Makes ready for texts that will be encoded soon: their new units are encoded together."""
-        plain = (text.split(" ")[1:] for text in texts if text and not GLUED.search(text))
-        self.spaced.learn(list(set(chain.from_iterable(plain))))
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            tokenizer.encode_special_tokens = True
+            self.ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if GLUED.search(text):
-            return b"".join(map(self.whole.__getitem__, CUT.split(text)))
-        units = text.split(" ")
-        return self.whole[units[0]] + b"".join(map(self.spaced.__getitem__, units[1:]))
+        return np.array(self.ids(text), "<u4").tobytes() if text else b""
 
 
 def encoder(tokenizer_path: str) -> Encoder:
