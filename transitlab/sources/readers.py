@@ -159,8 +159,9 @@ def resolve_upload(index: DataFrame, file_id: str) -> DataFrame:
 
 def locate_upload(spark: SparkSession, index_path: str, ref: str, upload_dir: str) -> str:
     """The file that ``ref`` means: the path of that id in the index, the path itself, or a file of that name
-    (with or without one of the allowed extensions) in the upload folder; the first of these that exists."""
-    candidates = []
+    (with or without one of the allowed extensions) in the upload folder; the first of these that exists. Where none
+    does, the path in the index is returned as it stands, and reading it says what is wrong."""
+    candidates, hit = [], None
     if path_exists(spark, index_path):
         hit = resolve_upload(upload_index(spark, index_path), ref).first()
         candidates += [hit["path"]] if hit else []
@@ -169,6 +170,8 @@ def locate_upload(spark: SparkSession, index_path: str, ref: str, upload_dir: st
     for candidate in candidates:
         if path_exists(spark, candidate):
             return candidate
+    if hit:
+        return hit["path"]
     raise FileNotFoundError(ref)
 
 

@@ -155,14 +155,14 @@ def document_texts(spark: SparkSession, path: str) -> DataFrame:
     crossing = crossing.select(
         "file", ((F.col("number") == 0) & F.col("at_start")).alias("opening"), "whole", F.concat_ws("", "parts.row").alias("row")
     )
-    return inner.unionByName(crossing)
+    return crossing.unionByName(inner)  # a document of one split keeps its order: only its first row ends a fragment
 
 
 def read_report_documents(spark: SparkSession, path: str, row_schema: T.StructType) -> DataFrame:
     """The rows of all documents under ``path``, with the document's timestamp as ``run_ts`` (NULL if it has none).
 
     Escaped quotes and brackets within strings don't end a row. A document without
-    rows gives none."""
+    rows gives none. Rows of a document of several splits come in no order."""
     texts = document_texts(spark, path)
     head = r'(?s)^\s*(?:\{.*?"rows"\s*:\s*)?\['
     row = F.when(F.col("opening"), F.regexp_replace("row", head, "")).otherwise(F.col("row"))
