@@ -31,7 +31,7 @@ def test_columns_and_order(stages):
 def test_filters_drop_whole_rows_only(spark, small, stages):
     for before, after in zip(stages[:3], stages[1:4]):
         assert after.exceptAll(before).count() == 0
-    judged = quality.judge(stages[1], public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json"))
+    judged = quality.judge(stages[1], public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     assert {r.doc_id for r in judged.where("kept").collect()} == {r.doc_id for r in stages[2].collect()}
 
 

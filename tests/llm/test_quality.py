@@ -11,7 +11,7 @@ from transitlab.llm import quality
 from transitlab.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
-BYTES = public_tokenizers.path("byte_bpe_50k.json")
+BYTES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def slow_base(text):

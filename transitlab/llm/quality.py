@@ -2,8 +2,8 @@
 
 A text is encoded whole by a piece vocabulary with byte fallback: characters per
 token, the share of tokens that stand for single bytes, and the entropy of the token
-counts. A byte-level vocabulary, which has no fallback, gives a second figure of
-characters per token. Each is held against a band of the text's language and length
+counts. A byte-level vocabulary of many languages, which has no fallback, gives a second
+figure of characters per token. Each is held against a band of the text's language and length
 class (the whole part of the binary logarithm of its tokens): the median and half
 the distance between the quartiles of that group, from exact counts of figures
 rounded to three places. Each distinct text that passes the base rules counts once,
@@ -16,7 +16,9 @@ base rules: too few words, and too many words in repeated windows.
 
 from __future__ import annotations
 
+import base64
 from array import array
+from typing import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, map_slices, resident, stored, unused, without
-from .tokens import Encoder
 
 SYMBOLS = b"#*$%&|<>"
 SPACE_BYTES = SPACES.encode()
@@ -74,9 +75,19 @@ class PieceIds(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.split(" "))), np.int32)
 
 
-def vocabularies(model_path: str, byte_path: str) -> tuple[PieceIds, Encoder]:
+def byte_encoder(ranks_path: str) -> Callable[[str], list[int]]:
+    """The ids of a text by a byte-level vocabulary, given as a file of ranks; no string of it is special."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def vocabularies(model_path: str, ranks_path: str) -> tuple[PieceIds, Callable[[str], list[int]]]:
     """This Python worker's copies of the two vocabularies."""
-    return resident(("fertility", model_path, byte_path), lambda: (PieceIds(model_path, 400_000), Encoder(byte_path, 400_000)))
+    return resident(("fertility", model_path, ranks_path), lambda: (PieceIds(model_path), byte_encoder(ranks_path)))
 
 
 def fertility(text: str, pieces: PieceIds) -> tuple[int, float | None, float | None, float | None]:
@@ -129,13 +140,12 @@ def repeated_lines(text: str) -> int:
     return repeats
 
 
-def measures(docs: DataFrame, model_path: str, byte_path: str, window: int = 8) -> DataFrame:
+def measures(docs: DataFrame, model_path: str, ranks_path: str, window: int = 8) -> DataFrame:
     """A row for each document with its id, language, base counts, fertility figures and its text's hash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        (pieces, encode), rows = vocabularies(model_path, byte_path), []
+        (pieces, encode), rows = vocabularies(model_path, ranks_path), []
         texts = batch.column(2).to_pylist()
-        encode.learn(texts)
         for text in texts:
             text = text or ""
             raw = text.encode()
@@ -148,7 +158,7 @@ def measures(docs: DataFrame, model_path: str, byte_path: str, window: int = 8)
                     repeated_lines(text),
                     repeated_words(words, window),
                     *fertility(text, pieces),
-                    4 * len(text) / len(encode(text)) if text else None,
+                    len(text) / len(encode(text)) if text else None,
                 )
             )
         columns = list(map(list, zip(*rows))) if rows else [[] for _ in range(10)]
@@ -203,7 +213,7 @@ def _drawn(own: DataFrame, wider: DataFrame, keys: list[str], strength: float) -
 
 
 def judge(
-    docs: DataFrame, model_path: str, byte_path: str, widths: dict[str, float] = WIDTHS, strength: float = STRENGTH
+    docs: DataFrame, model_path: str, ranks_path: str, widths: dict[str, float] = WIDTHS, strength: float = STRENGTH
 ) -> DataFrame:
     """The measures of each document with ``base_failed``, the band's verdict and ``kept``.
 
@@ -216,7 +226,7 @@ def judge(
     on a bound pass.
     """
     found = stored(
-        measures(docs, model_path, byte_path).withColumn(
+        measures(docs, model_path, ranks_path).withColumn(
             "length_class", F.when(F.col("n_tokens") > 0, F.floor(F.log2("n_tokens"))).cast("int")
         )
     )
@@ -245,7 +255,7 @@ def judge(
     )
 
 
-def keep_good(docs: DataFrame, model_path: str, byte_path: str) -> DataFrame:
+def keep_good(docs: DataFrame, model_path: str, ranks_path: str) -> DataFrame:
     """The documents that pass, with all their columns.
 
     Rows are told apart by a hash of id, language and text, so rows that share an id, or have none, are judged each
@@ -253,6 +263,6 @@ def keep_good(docs: DataFrame, model_path: str, byte_path: str) -> DataFrame:
     """
     row = unused(docs, "row")
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "lang", "text"))
-    judged = judge(keyed.select(F.col(row).alias("doc_id"), "lang", "text"), model_path, byte_path)
+    judged = judge(keyed.select(F.col(row).alias("doc_id"), "lang", "text"), model_path, ranks_path)
     gone = judged.where(~F.col("kept")).select(F.col("doc_id").alias(row))
     return without(keyed, gone, row).select(*docs.columns)

@@ -27,6 +27,7 @@ from .common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), public_tokenizers.path(BYTE_BPE))
+    return quality.judge(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), public_tokenizers.path(RANKS))
 
 
 def op9_tree_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
