@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from transitlab.llm import langid, packing, quality, simhash, substring
 from transitlab.llm.common import table
-from transitlab.llm.queries import BYTE_BPE, PIECES
+from transitlab.llm.queries import BYTE_BPE, PIECES, RANKS
 from transitlab.session import checkpoint_dir
 
 
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fertility bands of their language."""
-    return quality.keep_good(docs, public_tokenizers.path(PIECES), public_tokenizers.path(BYTE_BPE))
+    return quality.keep_good(docs, public_tokenizers.path(PIECES), public_tokenizers.path(RANKS))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
