@@ -9,7 +9,8 @@ from transitlab.llm import pseudo_likelihood as pl
 def network():
     r = np.random.default_rng(1)
     found = pl.Network.start(r.integers(1, 50, pl.CODES).astype(float))
-    found.weights["given"][:] = r.normal(0, 0.1, pl.SHAPES["given"])
+    for name in ("given_1", "given_2"):
+        found.weights[name][:] = r.normal(0, 0.1, pl.SHAPES[name])
     return found
 
 
@@ -34,6 +35,19 @@ def test_gradient(network, name):
     assert (loss[0] - loss[1]) / 0.02 == pytest.approx(gradient[at], rel=0.02, abs=1e-4)
 
 
+def model(docs):
+    """The stored tokens of the documents with all that their codes need."""
+    written = pl.tabled(pl.tokens(docs))
+    counts = pl.stored(pl.word_counts(written))
+    return written, counts, *pl.vocabulary(counts)
+
+
+def slow_codes(text, own):
+    digests = [pl.xxhash.xxh3_64_intdigest(w) for w in pl.split_words(text)]
+    signed = [d - (d >> 63 << 64) for d in digests]
+    return [own.get(d, pl.OWN + d % (pl.CODES - pl.OWN)) for d in signed]
+
+
 def slow_score(network, codes):
     total = 0.0
     for i, code in enumerate(codes):
@@ -42,22 +56,26 @@ def slow_score(network, codes):
     return total
 
 
-def test_scores_are_token_by_token(spark, documents, network, monkeypatch):
-    own, _ = pl.vocabulary(documents)
+def test_scores_are_token_by_token(spark, documents, network):
+    _, counts, own, frequency = model(documents)
     docs = documents.where("doc_id % 20 = 0")
-    codes = pl.Codes(own)
-    rows = {r.doc_id: r for r in pl.score(docs, own, network).collect()}
+    n = {r.word: r.n for r in counts.collect()}
+    rows = {r.doc_id: r for r in pl.score(pl.coded(pl.tabled(pl.tokens(docs, part_words=50)), counts, own, frequency), network).collect()}
     for r in docs.collect():
-        want = codes.of(r.text).tolist()
+        want, within = slow_codes(r.text, own), 0.0
+        for word, code in zip(pl.split_words(r.text), want):
+            if code >= pl.OWN:
+                digest = pl.xxhash.xxh3_64_intdigest(word)
+                within += np.log(n[digest - (digest >> 63 << 64)] / (frequency[code] + pl.UNSEEN))
         assert rows[r.doc_id].n_tokens == len(want)
-        assert rows[r.doc_id].log_likelihood == pytest.approx(slow_score(network, want), rel=1e-4)
+        assert rows[r.doc_id].log_likelihood == pytest.approx(slow_score(network, want) + within, rel=1e-4)
 
 
 def test_vocabulary_counts_all_documents(documents):
-    own, frequency = pl.vocabulary(documents)
-    codes, want = pl.Codes(own), np.zeros(pl.CODES)
+    _, _, own, frequency = model(documents)
+    want = np.zeros(pl.CODES)
     for r in documents.collect():
-        np.add.at(want, codes.of(r.text), 1)
+        np.add.at(want, slow_codes(r.text, own), 1)
     assert (frequency == want).all() and len(own) == pl.OWN
 
 
@@ -69,13 +87,14 @@ def test_trained_network_tells_order_from_disorder(spark):
         for i in range(400)
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    own, frequency = pl.vocabulary(docs)
-    network = pl.train(docs, own, pl.Network.start(frequency), stride=1, rate=0.05)
+    written, counts, own, frequency = model(docs)
+    network = pl.train(pl.coded(written, counts, own, frequency), pl.Network.start(frequency), stride=1, rate=0.05)
     held = " ".join(f"det{r.integers(3)} adj{r.integers(9)} noun{r.integers(9)} verb{r.integers(9)} end" for _ in range(60))
     mixed = " ".join(r.permutation(held.split()))
     test = spark.createDataFrame([(1, held), (2, mixed)], "doc_id long, text string")
-    good, bad = (row.per_token for row in pl.score(test, own, network).orderBy("doc_id").collect())
-    start, _ = (row.per_token for row in pl.score(test, own, pl.Network.start(frequency)).orderBy("doc_id").collect())
+    rows = pl.coded(pl.tabled(pl.tokens(test)), counts, own, frequency)
+    good, bad = (row.per_token for row in pl.score(rows, network).orderBy("doc_id").collect())
+    start, _ = (row.per_token for row in pl.score(rows, pl.Network.start(frequency)).orderBy("doc_id").collect())
     assert good > start + 0.5 and good > bad + 1.0
 
 
@@ -111,12 +130,12 @@ def test_words_of_a_code_share_its_probability(spark):
     assert found[100].log_likelihood - found[101].log_likelihood == pytest.approx(np.log(6), abs=1e-3)
     assert found[300].log_likelihood == 0 and found[300].per_token is None
     # a word that the corpus doesn't have gets the mass left for all of these
-    counts = pl.stored(pl.word_counts(docs))
-    own, frequency = pl.vocabulary(docs, counts)
+    _, counts, own, frequency = model(docs)
     new = spark.createDataFrame([(1, f"{pair[0]} {pair[0]}"), (2, "neverseen")], "doc_id long, text string")
-    total = lambda word: frequency[pl.Codes(own)[word.encode()]]
-    want = [np.log(6 / (total(pair[0]) + pl.UNSEEN)), np.log(pl.UNSEEN / (total("neverseen") + pl.UNSEEN))]
-    assert sorted(r.within for r in pl.within_codes(new, own, counts, frequency).collect()) == pytest.approx(sorted(want))
+    total = lambda word: frequency[slow_codes(word, own)[0]]
+    want = [2 * np.log(6 / (total(pair[0]) + pl.UNSEEN)), np.log(pl.UNSEEN / (total("neverseen") + pl.UNSEEN))]
+    found = pl.coded(pl.tabled(pl.tokens(new)), counts, own, frequency).collect()
+    assert sorted(r.within for r in found) == pytest.approx(sorted(want))
 
 
 def test_edges(edge, empty, clashing):

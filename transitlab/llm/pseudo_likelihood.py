@@ -1,56 +1,68 @@
 """Masked pseudo-likelihood: a window network predicts every token from the tokens on both sides of it.
 
-Tokens are words in lower case as codes: the most frequent words of the corpus,
-counted over all documents, have a code each, and other words share codes by a hash.
-The network adds up an embedding for each place in the window (two tokens before,
-two after), takes the hyperbolic tangent, and gives the code in two steps, its upper
-and then its lower half, each a softmax. Without a context it starts out as the
-corpus' own frequencies.
-
-Training is data-parallel in numpy: each task goes once over its documents by
-Adagrad from the same start, and the weights are averaged by the number of tokens
-trained on, block by block in a stream. Every token is a target (a ``stride`` over 1
-takes one in so many of each document; their contexts are whole). The driver gets the averaged network
-alone, whose size is fixed. A document's score is the sum of the log-probabilities of
-all its words, each given the tokens around it: that of the word's code from the
-network, and that of the word within its code from the counts of all words, a table
-that grows with the corpus and is joined.
+1. Texts are tokenised once: words in lower case, as numbers in a dictionary of the
+   task's part (a bounded run of documents). Tokens and dictionaries, with counts,
+   are written to the shared folder.
+2. Dictionaries add up to the counts of all words. The most frequent words have a
+   code each; others share codes by a hash. Each dictionary is joined with the
+   counts, a row a word and part, however often the word occurs, and goes back to
+   its part: there tokens become codes, and each word has its share of its code.
+3. The network adds up an embedding for each place in the window (two tokens before,
+   two after), takes the hyperbolic tangent, and gives the code in three steps of
+   sixteen, each a softmax that knows the steps before it. Without a context it
+   starts out as the corpus' own frequencies.
+4. Training is data-parallel in numpy: each task goes once over its documents by
+   Adagrad from the same start, and the weights are averaged by the number of tokens
+   trained on, block by block in a stream. Every token is a target (a ``stride`` over
+   1 takes one in so many of each document; their contexts are whole). The driver
+   gets the averaged network alone, whose size is fixed.
+5. A document's score is the sum of the log-probabilities of all its words, each
+   given the tokens around it: that of the word's code from the network, and that of
+   the word within its code from the counts, which grow with the corpus.
+
+The average depends on which documents a task trains on, so scores change a little
+with the number of tasks and the order of documents; for one layout they are the same.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 from typing import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, slices, stored
+from .common import slices, stored, tabled
 
-HALF = 64
-CODES = HALF * HALF
+DIGIT = 16
+PREFIX = DIGIT * DIGIT
+CODES = PREFIX * DIGIT
 #: Codes of single words; the others are shared.
 OWN = CODES // 2
 #: What counts as seen of all words that a shared code may stand for and the corpus doesn't have.
 UNSEEN = 0.5
 EDGE = CODES  # beyond either end of a document
 SIDES = (-2, -1, 1, 2)
+REACH = max(map(abs, SIDES))
 WIDTH = 16
 BATCH = 8192
 #: Weights in a row while they are averaged.
 BLOCK = 4096
+#: Words and tokens of a part.
+PART_WORDS, PART_TOKENS = 400_000, 8_000_000
 
 SHAPES = {
     "embed": (len(SIDES), CODES + 1, WIDTH),
-    "upper": (WIDTH, HALF),
-    "upper_bias": (HALF,),
-    "given": (HALF, WIDTH),
-    "lower": (WIDTH, HALF),
-    "lower_bias": (HALF, HALF),
+    "out": (3, DIGIT, WIDTH),
+    "bias_0": (DIGIT, 1),
+    "bias_1": (DIGIT, DIGIT),
+    "bias_2": (DIGIT, PREFIX),
+    "given_1": (WIDTH, DIGIT),
+    "given_2": (WIDTH, PREFIX),
 }
 
 
@@ -58,102 +70,143 @@ def split_words(text: str | None) -> list[bytes]:
     return text.lower().encode().split() if text else []
 
 
-class Codes(dict):
-    """Maps a word to its code; emptied when it holds ``limit`` words."""
-
-    def __init__(self, own: dict[int, int], limit: int = 1_000_000):
-        super().__init__()
-        self.own, self.limit = own, limit
+class Dictionary(dict):
+    """Numbers the words of a part as they come."""
 
     def __missing__(self, word: bytes) -> int:
-        digest = xxhash.xxh3_64_intdigest(word)
-        code = self.own.get(digest)
-        if code is None:
-            code = OWN + digest % (CODES - OWN)
-        if len(word) <= 48:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = code
-        return code
-
-    def of(self, text: str | None) -> np.ndarray:
-        found = split_words(text)
-        return np.fromiter(map(self.__getitem__, found), np.int32, len(found))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each word, as its hash, occurs in all documents."""
+        self[word] = number = len(self)
+        return number
+
+
+WRITTEN = "part long, kind int, place int, doc_id long, tokens binary, word long, n long"
+WORD, DOC = 0, 1
+
+
+def tokens(docs: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+    """Documents as the numbers of their words (kind DOC), and each part's dictionary (kind WORD: number, hash, times)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        part = TaskContext.get().partitionId() << 32
+        words, ids, found, held = Dictionary(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
-            found = pa.array(np.fromiter(counts.values(), np.int64, len(counts)), pa.int64())
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(digests.view(np.int64), pa.int64()), found], ["word", "n"])
+            nonlocal part, held
+            digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            times = np.bincount(np.concatenate(found), minlength=len(words)) if held else np.empty(0, np.int64)
+            n_docs, n_words = len(ids), len(words)
+            none, gap = [None] * n_words, [None] * n_docs
+            columns = [
+                pa.array([part] * (n_docs + n_words), pa.int64()),
+                pa.array([WORD] * n_words + [DOC] * n_docs, pa.int32()),
+                pa.array([*range(n_words), *range(n_docs)], pa.int32()),
+                pa.array(none + ids, pa.int64()),
+                pa.array(none + [x.tobytes() for x in found], pa.binary()),
+                pa.array(digests.tolist() + gap, pa.int64()),
+                pa.array(times.tolist() + gap, pa.int64()),
+            ]
+            part, held = part + 1, 0
+            for kept in (words, ids, found):
+                kept.clear()
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in WRITTEN.split(", ")])
 
         for batch in batches:
-            for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    counts.update(split_words(text))
-                if len(counts) > 400_000:
+            for some in slices(batch):
+                for doc_id, text in zip(*(column.to_pylist() for column in some.columns)):
+                    own = split_words(text)
+                    ids.append(doc_id)
+                    found.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+                    held += len(own)
+                if len(words) > part_words or held > PART_TOKENS:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, WRITTEN)
 
 
-class RareWords(dict):
-    """Maps a word to its hash as a signed number, or to 0 if it has a code of its own; emptied when it holds ``limit``."""
+def word_counts(written: DataFrame) -> DataFrame:
+    """(word, n): how often each word, as its hash, occurs in all documents."""
+    return written.where(F.col("kind") == WORD).groupBy("word").agg(F.sum("n").alias("n"))
 
-    def __init__(self, own: dict[int, int], limit: int = 1_000_000):
-        super().__init__()
-        self.own, self.limit = own, limit
 
-    def __missing__(self, word: bytes) -> int:
-        digest = xxhash.xxh3_64_intdigest(word)
-        found = 0 if digest in self.own else digest - (digest >> 63 << 64)
-        if len(word) <= 48:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = found
-        return found
+def vocabulary(counts: DataFrame) -> tuple[dict[int, int], np.ndarray]:
+    """The codes of the most frequent words, by their hash, and how often each code occurs in all documents.
+
+    Words that are equally frequent rank by their hash. The driver gets the most
+    frequent words and one count for each shared code. ``counts`` is stored.
+    """
+    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = {row["word"]: code for code, row in enumerate(top)}
+    frequency = np.zeros(CODES)
+    frequency[: len(top)] = [row["n"] for row in top]
+    shared = counts.groupBy(F.pmod("word", F.lit(CODES - OWN)).alias("code")).agg(F.sum("n").alias("n")).collect()
+    for row in shared:
+        frequency[OWN + row["code"]] = row["n"]
+    for row in top:
+        frequency[OWN + row["word"] % (CODES - OWN)] -= row["n"]
+    return own, frequency
 
 
-def within_codes(docs: DataFrame, own: dict[int, int], counts: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """(text_hash, within): the mean log-probability of a text's rare words within their codes, for texts that have some.
+def coded(written: DataFrame, counts: DataFrame, own: dict[int, int], frequency: np.ndarray) -> DataFrame:
+    """(doc_id, codes, within): each document's codes, and its words' summed log-probabilities within their codes.
 
     A word with a code of its own has probability 1 in it. Of a shared code that
     occurs N times, a word that occurs n times has n / (N + UNSEEN), and UNSEEN /
-    (N + UNSEEN) is left for all words that don't occur. A mean is the same however
-    often a text stands in the table, so copies needn't be brought together first.
+    (N + UNSEEN) is left for all words that ``counts`` doesn't have.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "words" not in state:
-            state["words"] = RareWords(own)
-        keys, words, times = [], [], []
-        for key, text in dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())).items():
-            found = split_words(text)
-            digests = np.fromiter(map(state["words"].__getitem__, found), np.int64, len(found))
-            rare, n = np.unique(digests[digests != 0], return_counts=True)
-            keys.append(np.full(len(rare), key, np.int64))
-            words.append(rare)
-            times.append(n)
-        columns = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, words, times)]
-        columns[2] = columns[2].astype(np.int32)
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["text_hash", "word", "times"])
-
-    state: dict = {}
-    shared = CODES - OWN
-    totals = docs.sparkSession.createDataFrame([(i, float(frequency[OWN + i])) for i in range(shared)], "code int, total double")
-    pairs = map_slices(
-        docs.select(F.xxhash64("text").alias("text_hash"), "text"), run, "text_hash long, word long, times int"
-    )
-    known = pairs.join(counts, "word", "left").withColumn("code", F.pmod("word", F.lit(shared)).cast("int"))
+    spark, shared = written.sparkSession, CODES - OWN
+    singles = spark.createDataFrame(list(own.items()), "word long, own int")
+    totals = spark.createDataFrame([(OWN + i, float(frequency[OWN + i])) for i in range(shared)], "code int, total double")
+    words = written.where(F.col("kind") == WORD).select("part", "place", "word")
+    known = words.join(counts, "word", "left").join(F.broadcast(singles), "word", "left")
+    code = F.coalesce("own", (F.pmod("word", F.lit(shared)) + OWN).cast("int"))
     share = F.log(F.coalesce("n", F.lit(UNSEEN)) / (F.col("total") + UNSEEN))
-    return known.join(F.broadcast(totals), "code").groupBy("text_hash").agg((F.sum(F.col("times") * share) / F.sum("times")).alias("within"))
+    known = known.withColumn("code", code).join(F.broadcast(totals), "code", "left")
+    known = known.select(
+        "part", F.lit(WORD).alias("kind"), "place", "code",
+        F.when(F.col("own").isNull(), share).otherwise(0.0).cast("float").alias("share"),
+    )
+    docs = written.where(F.col("kind") == DOC).select("part", "kind", "place", "doc_id", "tokens")
+    rows = known.unionByName(docs, allowMissingColumns=True).select("part", "kind", "place", "code", "share", "doc_id", "tokens")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, codes, shares, fresh = None, None, None, []
+        for batch in batches:
+            parts, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(kinds) != 0)) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts)]):
+                if low == high:
+                    continue
+                if parts[low] != at:
+                    at, fresh = parts[low], [(np.empty(0, np.int32), np.empty(0, np.float32))]
+                some = batch.slice(low, high - low)
+                if kinds[low] == WORD:  # in the order of their numbers, all before the documents
+                    fresh.append((some.column(3).to_numpy(), some.column(4).to_numpy()))
+                    continue
+                if fresh:
+                    codes, shares = (np.concatenate(x) for x in zip(*fresh))
+                    fresh = []
+                found = [np.frombuffer(x, np.int32) for x in some.column(6).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some.column(5),
+                        pa.array([codes[x].astype("<u2").tobytes() for x in found], pa.binary()),
+                        pa.array([float(shares[x].sum(dtype=np.float64)) for x in found], pa.float64()),
+                    ],
+                    ["doc_id", "codes", "within"],
+                )
+
+    dealt = rows.repartition("part").sortWithinPartitions("part", "kind", "place")
+    return dealt.mapInArrow(run, "doc_id long, codes binary, within double")
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """In place, down the columns; the logarithms of the sums."""
+    top = logits.max(axis=0)
+    logits -= top
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=0)
+    logits /= total
+    return np.log(total) + top
 
 
 @dataclass
@@ -165,10 +218,13 @@ class Network:
         """Small random embeddings, and biases that give each code its frequency in the corpus."""
         r = np.random.default_rng(seed)
         w = {name: r.normal(0, 0.1, shape).astype(np.float32) for name, shape in SHAPES.items()}
-        share = (frequency.reshape(HALF, HALF) + 0.1).astype(np.float64)
-        w["upper_bias"] = np.log(share.sum(axis=1) / share.sum()).astype(np.float32)
-        w["lower_bias"] = np.log(share / share.sum(axis=1, keepdims=True)).astype(np.float32)
-        w["given"][:] = 0
+        part = (frequency + 0.1).astype(np.float64)
+        for step in (2, 1, 0):
+            part = part.reshape(-1, DIGIT)
+            w[f"bias_{step}"] = np.ascontiguousarray(np.log(part / part.sum(axis=1, keepdims=True)).T).astype(np.float32)
+            part = part.sum(axis=1)
+        w["given_1"][:] = 0
+        w["given_2"][:] = 0
         w["embed"][:, EDGE] = 0
         return cls(w)
 
@@ -182,94 +238,104 @@ class Network:
 
     def forward(self, context: np.ndarray, code: np.ndarray) -> tuple:
         """Log-probability of each code in its context, and what the gradient needs. ``context``: a row for each side."""
-        w = self.weights
+        w, rows = self.weights, np.arange(len(code))
         hidden = w["embed"][0][context[0]]
         for side in range(1, len(SIDES)):
             hidden += w["embed"][side][context[side]]
-        np.tanh(hidden, out=hidden)
-        up, low, rows = code // HALF, code % HALF, np.arange(len(code))
-        a = hidden @ w["upper"] + w["upper_bias"]
-        both = hidden + w["given"][up]
-        b = both @ w["lower"] + w["lower_bias"][up]
+        hidden = np.ascontiguousarray(np.tanh(hidden, out=hidden).T)
+        prefix = code // DIGIT
+        first = prefix // DIGIT
+        digits = first, prefix % DIGIT, code % DIGIT
+        before = np.zeros_like(first), first, prefix  # what each step knows
         total = np.zeros(len(code), np.float32)
-        for logits, target in ((a, up), (b, low)):
-            logits -= logits.max(axis=1, keepdims=True)
-            total += logits[rows, target]
-            np.exp(logits, out=logits)
-            norm = logits.sum(axis=1, keepdims=True)
-            total -= np.log(norm[:, 0])
-            logits /= norm
-        return total, hidden, both, a, b, up, low
+        steps = []
+        for step, (digit, known) in enumerate(zip(digits, before)):
+            seen = hidden + w[f"given_{step}"][:, known] if step else hidden
+            logits = w["out"][step] @ seen
+            logits += w[f"bias_{step}"][:, known]
+            total += logits[digit, rows]
+            total -= softmax(logits)
+            steps.append((seen, logits, digit, known))
+        return total, hidden, steps
 
     def gradient(self, context: np.ndarray, code: np.ndarray) -> dict[str, np.ndarray]:
         """The gradient of the mean negative log-probability."""
         w, n = self.weights, len(code)
-        _, hidden, both, a, b, up, low = self.forward(context, code)
-        rows = np.arange(n)
-        for soft, target in ((a, up), (b, low)):
-            soft[rows, target] -= 1
+        _, hidden, steps = self.forward(context, code)
+        rows, found, outs, back = np.arange(n), {}, [], np.zeros_like(hidden)
+
+        def sums(values: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
+            """Each row of values added up by what is known."""
+            return np.stack([np.bincount(known, row, size) for row in values]).astype(np.float32)
+
+        for step, (seen, soft, digit, known) in enumerate(steps):
+            soft[digit, rows] -= 1
             soft /= n
-        hot = np.zeros((n, HALF), np.float32)
-        hot[rows, up] = 1
-        through = b @ w["lower"].T
-        back = (a @ w["upper"].T + through) * (1 - hidden * hidden)
-        columns = np.ascontiguousarray(back.T)
-        embed = np.stack(
-            [np.stack([np.bincount(side, column, CODES + 1) for column in columns], axis=1) for side in context]
-        )
-        return {
-            "embed": embed.astype(np.float32),
-            "upper": hidden.T @ a,
-            "upper_bias": a.sum(axis=0),
-            "given": hot.T @ through,
-            "lower": both.T @ b,
-            "lower_bias": hot.T @ b,
-        }
+            outs.append(soft @ seen.T)
+            through = w["out"][step].T @ soft
+            back += through
+            found[f"bias_{step}"] = sums(soft, known, SHAPES[f"bias_{step}"][1])
+            if step:
+                found[f"given_{step}"] = sums(through, known, SHAPES[f"given_{step}"][1])
+        back *= 1 - hidden * hidden
+        embed = np.stack([sums(back, side, CODES + 1).T for side in context])
+        return found | {"embed": embed, "out": np.stack(outs)}
 
 
 def contexts(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A row for each side of the window: the codes beside the places ``at``."""
-    reach = max(map(abs, SIDES))
-    edge = np.full(reach, EDGE, np.int32)
+    edge = np.full(REACH, EDGE, np.int32)
     padded = np.concatenate([edge, codes, edge])
-    return np.stack([padded[at + reach + side] for side in SIDES])
+    return np.stack([padded[at + REACH + side] for side in SIDES])
+
+
+def laid_out(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents one after the other with a gap of edges, and the places of their codes."""
+    edge = np.full(REACH, EDGE, np.int32)
+    whole = np.concatenate([x for codes in found for x in (codes, edge)] or [edge])
+    return whole, np.flatnonzero(whole != EDGE)
 
 
-def train(docs: DataFrame, own: dict[int, int], start: Network, stride: int, rate: float) -> Network:
-    """The average of the networks that the tasks train, each once over its documents."""
+def unpacked(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
+
+
+def train(rows: DataFrame, start: Network, stride: int, rate: float) -> Network:
+    """The average of the networks that the tasks train, each once over its documents (rows with ``codes``)."""
     first = start.flat()
     blocks = -(-len(first) // BLOCK)
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, network, seen = Codes(own), Network.of_flat(first), 0
+        network, seen = Network.of_flat(first), 0
         squares = {name: np.full(shape, 1e-6, np.float32) for name, shape in SHAPES.items()}
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def step() -> None:
+        def step(waiting: list[np.ndarray]) -> None:
             nonlocal seen
-            context = np.concatenate([c for c, _ in waiting], axis=1)
-            code = np.concatenate([t for _, t in waiting])
-            waiting.clear()
-            for at in range(0, len(code), BATCH):
-                some = code[at : at + BATCH]
-                for name, g in network.gradient(context[:, at : at + BATCH], some).items():
+            whole, places = laid_out(waiting)
+            if stride > 1:  # one in so many of each document, from a place that its codes set
+                ends = np.cumsum([len(x) for x in waiting])
+                own = np.repeat(np.arange(len(waiting)), [len(x) for x in waiting])
+                within = np.arange(len(places)) - np.r_[0, ends[:-1]][own]
+                offset = np.array([int(x.sum()) % min(stride, max(1, len(x))) for x in waiting])
+                places = places[within % stride == offset[own]]
+            for at in range(0, len(places), BATCH):
+                some = places[at : at + BATCH]
+                for name, g in network.gradient(contexts(whole, some), whole[some]).items():
                     squares[name] += g * g
                     network.weights[name] -= rate * g / np.sqrt(squares[name])
                 seen += len(some)
 
-        held = 0
+        waiting, held = [], 0
         for batch in batches:
-            for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    found = codes.of(text)
-                    at = np.arange(int(found.sum()) % min(stride, max(1, len(found))), len(found), stride)
-                    waiting.append((contexts(found, at), found[at]))
-                    held += len(at)
+            for some in slices(batch, "codes"):
+                for codes in unpacked(some.column(0)):
+                    waiting.append(codes)
+                    held += len(codes)
                     if held >= 8 * BATCH:
-                        step()
-                        held = 0
+                        step(waiting)
+                        waiting, held = [], 0
         if held:
-            step()
+            step(waiting)
         if seen:
             flat = np.zeros(blocks * BLOCK)
             flat[: len(first)] = network.flat()
@@ -300,87 +366,54 @@ def train(docs: DataFrame, own: dict[int, int], start: Network, stride: int, rat
         )
 
     schema = "block int, seen long, sums binary"
-    averaged = docs.select("text").mapInArrow(learn, schema).repartition("block").mapInArrow(average, schema)
-    rows = sorted((row["block"], bytes(row["sums"])) for row in averaged.collect())  # the network, once
-    if not rows:
+    averaged = rows.select("codes").mapInArrow(learn, schema).repartition("block").mapInArrow(average, schema)
+    found = sorted((row["block"], bytes(row["sums"])) for row in averaged.collect())  # the network, once
+    if not found:
         return start
-    return Network.of_flat(np.concatenate([np.frombuffer(x, "<f4") for _, x in rows])[: len(first)])
+    return Network.of_flat(np.concatenate([np.frombuffer(x, "<f4") for _, x in found])[: len(first)])
 
 
-def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> tuple[dict[int, int], np.ndarray]:
-    """The codes of the most frequent words, by their hash, and how often each code occurs in all documents.
+def score(rows: DataFrame, network: Network) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, per_token): the words' summed log-probabilities and their mean.
 
-    Words that are equally frequent rank by their hash. The driver gets the most
-    frequent words and one count for each shared code. ``counts``: the stored
-    ``word_counts``, if the caller has them.
-    """
-    counts = stored(word_counts(docs)) if counts is None else counts
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN).collect()
-    own = {row["word"] % (1 << 64): code for code, row in enumerate(top)}
-    frequency = np.zeros(CODES)
-    frequency[: len(top)] = [row["n"] for row in top]
-    # an unsigned hash modulo a power of two is the signed one's modulo
-    shared = counts.groupBy(F.pmod("word", F.lit(CODES - OWN)).alias("code")).agg(F.sum("n").alias("n")).collect()
-    for row in shared:
-        frequency[OWN + row["code"]] = row["n"]
-    for row in top:
-        frequency[OWN + row["word"] % (CODES - OWN)] -= row["n"]
-    return own, frequency
-
-
-def score(docs: DataFrame, own: dict[int, int], network: Network) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, per_token, n_shared, text_hash): the codes' summed log-probabilities and their mean.
-
-    ``n_shared`` counts the words that share their codes.
-    """
+    ``rows``: doc_id, codes, within (see ``coded``)."""
     flat = network.flat()
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if "network" not in state:
-            state["codes"], state["network"] = Codes(own), Network.of_flat(flat)
-        found = [state["codes"].of(text) for text in batch.column(1).to_pylist()]
-        counts = np.array([len(x) for x in found], np.int64)
-        # documents stand one after the other with a gap of edges, and go through the network in even batches
-        reach = max(map(abs, SIDES))
-        edge = np.full(reach, EDGE, np.int32)
-        whole = np.concatenate([x for codes in found for x in (codes, edge)] or [edge])
-        places = np.flatnonzero(whole != EDGE)
-        logs = np.zeros(len(places))
-        for at in range(0, len(places), BATCH):
-            some = places[at : at + BATCH]
-            logs[at : at + BATCH] = state["network"].forward(contexts(whole, some), whole[some])[0]
-        ends = np.cumsum(counts)
-        sums = np.r_[0.0, np.cumsum(logs)]
-        sums = sums[ends] - sums[ends - counts] if len(counts) else np.empty(0)
-        shared = np.array([int((x >= OWN).sum()) for x in found], np.int64)
-        means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64()), pa.array(shared, pa.int64()), batch.column(2)],
-            ["doc_id", "n_tokens", "log_likelihood", "per_token", "n_shared", "text_hash"],
-        )
-
-    state: dict = {}
-    return map_slices(
-        docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")),
-        run,
-        "doc_id long, n_tokens long, log_likelihood double, per_token double, n_shared long, text_hash long",
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network.of_flat(flat)
+        for batch in batches:
+            for some in slices(batch, "codes"):
+                found = unpacked(some.column(1))
+                counts = np.array([len(x) for x in found], np.int64)
+                whole, places = laid_out(found)
+                logs = np.zeros(len(places))
+                for at in range(0, len(places), BATCH):
+                    step = places[at : at + BATCH]
+                    logs[at : at + BATCH] = own.forward(contexts(whole, step), whole[step])[0]
+                ends = np.cumsum(counts)
+                sums = np.r_[0.0, np.cumsum(logs)]
+                sums = sums[ends] - sums[ends - counts] + some.column(2).to_numpy()
+                means = [s / n if n else None for s, n in zip(sums.tolist(), counts.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())],
+                    ["doc_id", "n_tokens", "log_likelihood", "per_token"],
+                )
+
+    return rows.select("doc_id", "codes", "within").mapInArrow(
+        run, "doc_id long, n_tokens long, log_likelihood double, per_token double"
     )
 
 
 def pseudo_likelihood(docs: DataFrame, stride: int = 1, rate: float = 0.05) -> DataFrame:
-    """Each document's score under a network trained on all documents.
+    """Each document's score under a network trained on all documents: doc_id, n_tokens, log_likelihood, per_token.
 
     Null and empty texts have no tokens, a score of 0 and no mean. Repeated rows
     train and are scored each; a null id stays null; an empty table gives no rows.
-    Other columns are not read.
+    Other columns are not read. Scores depend a little on how rows are dealt to
+    tasks, each of which trains alone before the average.
     """
-    counts = stored(word_counts(docs))
-    own, frequency = vocabulary(docs, counts)
-    scored = score(docs, own, train(docs, own, Network.start(frequency), stride, rate))
-    whole = F.col("log_likelihood") + F.coalesce(F.col("n_shared") * F.col("within"), F.lit(0.0))
-    return scored.join(within_codes(docs, own, counts, frequency), "text_hash", "left").select(
-        "doc_id",
-        "n_tokens",
-        whole.alias("log_likelihood"),
-        F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).alias("per_token"),
-    )
+    written = tabled(tokens(docs))
+    counts = stored(word_counts(written))
+    own, frequency = vocabulary(counts)
+    rows = tabled(coded(written, counts, own, frequency))
+    return score(rows, train(rows, Network.start(frequency), stride, rate))
