@@ -1,7 +1,7 @@
 """Source divergence audit with late strings: how the words of each source differ from those of its language.
 
 1. Terms. Each task counts the terms of its documents by language and source and
-   writes them once, as columns: a 64-bit digest, the counts, and the term itself.
+   writes them once, as columns: a 64-bit digest, the counts, and, once, the term.
    What follows reads the digest columns alone, so shuffles move fixed-width
    numbers; a term of any frequency has few rows for each task.
 2. Kept terms: the digests that enough documents of a language have.
@@ -33,7 +33,7 @@ from .common import BROADCAST_ROWS, join_small, slices, stored, tabled
 #: Bytes between terms become spaces: all of ASCII but letters.
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
 #: Different terms that a task holds before it writes them out.
-HELD = 400_000
+HELD = 800_000
 #: Sources in a block, and counts of kept terms in a cell.
 BLOCK, CELL = 512, 250_000
 #: Terms in a step of a cell.
@@ -42,13 +42,19 @@ STEP = 1_024
 TERMS = "lang string, source string, digest long, n long, docs long, term string"
 
 
-def terms(docs: DataFrame, bits: int = 64, held: int = HELD) -> DataFrame:
-    """(lang, source, digest, n, docs, term): occurrences and documents of each term that a task has met."""
+def terms(docs: DataFrame, bits: int = 64, held: int = HELD, every: bool = False) -> DataFrame:
+    """(lang, source, digest, n, docs, term): occurrences and documents of each term that a task has met.
+
+    Of a term's rows that are written together the first alone has the text, unless ``every`` row is to have it.
+    """
     mask = (1 << bits) - 1
 
     def rows(groups: dict) -> Iterator[pa.RecordBatch]:
+        written: set[bytes] = set()
         for (lang, source), (n, in_docs) in groups.items():
             words = list(n)
+            texts = words if every else [None if w in written else w for w in words]
+            written.update(words)
             digests = np.fromiter((xxhash.xxh3_64_intdigest(w) & mask for w in words), np.uint64, len(words))
             size = len(words)
             columns = [
@@ -57,7 +63,7 @@ def terms(docs: DataFrame, bits: int = 64, held: int = HELD) -> DataFrame:
                 pa.array(digests.view(np.int64)),
                 pa.array(np.fromiter(n.values(), np.int64, size)),
                 pa.array(np.fromiter(map(in_docs.__getitem__, words), np.int64, size)),
-                pa.array(words, pa.binary()).cast(pa.string()),
+                pa.array(texts, pa.binary()).cast(pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "digest", "n", "docs", "term"])
 
@@ -79,19 +85,20 @@ def terms(docs: DataFrame, bits: int = 64, held: int = HELD) -> DataFrame:
     return docs.select("lang", "source", "text").mapInArrow(run, TERMS)
 
 
-def with_splits(found: DataFrame, candidates: DataFrame) -> tuple[DataFrame, bool]:
-    """The terms with a column ``split``, 0 unless a candidate's digest stands for two terms or more; and whether any does."""
+def collisions(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates' digests that stand for two terms or more: their least and greatest strings differ."""
     digests = stored(candidates.select("digest").distinct())
-    strings = join_small(found.select("digest", "term"), digests, ["digest"], "left_semi", BROADCAST_ROWS)
-    collided = stored(
-        strings.groupBy("digest").agg(F.min("term").alias("first"), F.max("term").alias("last"))
-        .where("first != last").select("digest")
-    )
-    if collided.isEmpty():
-        return found.withColumn("split", F.lit(0)), False
+    texts = found.select("digest", "term").where("term is not null")
+    strings = join_small(texts, digests, ["digest"], "left_semi", BROADCAST_ROWS)
+    ends = strings.groupBy("digest").agg(F.min("term").alias("first"), F.max("term").alias("last"))
+    return stored(ends.where("first != last").select("digest"))
+
+
+def with_splits(found: DataFrame, collided: DataFrame) -> DataFrame:
+    """The terms, all rows with their text, with a column ``split``: 0, or the term's number among those of its digest."""
     own = join_small(found.select("digest", "term"), collided, ["digest"], "left_semi").distinct()
     numbered = stored(own.withColumn("split", F.row_number().over(Window.partitionBy("digest").orderBy("term"))))
-    return join_small(found, numbered, ["digest", "term"], "left").withColumn("split", F.coalesce("split", F.lit(0))), True
+    return join_small(found, numbered, ["digest", "term"], "left").withColumn("split", F.coalesce("split", F.lit(0)))
 
 
 def kept_terms(found: DataFrame, keys: list[str], least_docs: int) -> DataFrame:
@@ -221,8 +228,12 @@ def divergence(
     plain = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     found = tabled(terms(plain, bits, held))
     kept = kept_terms(found, ["digest"], least_docs)
-    found, collided = with_splits(found, kept)
-    kept = kept_terms(found, ["digest", "split"], least_docs) if collided else kept.withColumn("split", F.lit(0))
+    collided = collisions(found, kept)
+    if collided.isEmpty():
+        found, kept = found.withColumn("split", F.lit(0)), kept.withColumn("split", F.lit(0))
+    else:
+        found = with_splits(tabled(terms(plain, bits, held, every=True)), collided)
+        kept = kept_terms(found, ["digest", "split"], least_docs)
     key = ["lang", "digest", "split"]
     sums = only_kept(found, kept).groupBy(*key, "source").agg(F.sum("n").alias("n"))  # a term has a row a source from here
     counts = stored(join_small(sums, kept.drop("lang_n"), key))
@@ -269,7 +280,7 @@ def _terms(shares: DataFrame, groups: DataFrame, kept: DataFrame, found: DataFra
     top = scored.withColumn("at", F.row_number().over(order)).where(F.col("at") <= first)
     least = stored(top.groupBy("lang", "source").agg(F.min("value").alias("least")))
     able = stored(by_group(scored, least, ["lang", "source"]).where("value >= least").drop("least"))
-    texts = join_small(found.select("digest", "split", "term"), stored(able.select("digest", "split").distinct()), ["digest", "split"], "left_semi")
+    texts = join_small(found.select("digest", "split", "term").where("term is not null"), stored(able.select("digest", "split").distinct()), ["digest", "split"], "left_semi")
     texts = texts.groupBy("digest", "split").agg(F.min("term").alias("item"))
     named = able.join(texts, ["digest", "split"]).withColumn("part", F.lit("term"))
     return _ranked(named).where(F.col("rank") <= first)
