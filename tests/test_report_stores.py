@@ -42,6 +42,18 @@ def test_catalogue_pairs_forms(spark, tmp_path):
     assert found["20240102_000000"].csv_rows is None and found["20240104_000000"].csv_rows == 0
 
 
+def test_text_forms_are_compressed_and_cut_into_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reports, "FILE_ROWS", 100)
+    out = str(tmp_path / "runs")
+    reports.write_report(rows(spark, 250).coalesce(1), out, run_ts="20240101_000000")
+    for form in ("csv", "json"):
+        files = [f for f in os.listdir(f"{out}/{form}/run_ts=20240101_000000") if f.startswith("part-")]
+        assert len(files) == 3 and all(f.endswith(f".{form}.gz") for f in files)
+        assert reports.read_latest(spark, out, form).drop("run_ts").exceptAll(rows(spark, 250)).isEmpty()
+    found = catalogue.catalogue(spark, out).first()
+    assert (found.csv_rows, found.json_rows, found.state) == (250, 250, "paired")
+
+
 def test_catalogue_of_forms_that_differ_or_were_never_written(spark, tmp_path):
     out = str(tmp_path / "runs")
     reports.write_report(rows(spark, 3), out, run_ts="a", formats=("csv",))

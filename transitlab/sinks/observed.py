@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .reports import META_SCHEMA, report_rows, run_timestamp
+from .reports import FILE_ROWS, META_SCHEMA, ROWS_CODEC, TEXT_CODEC, report_rows, run_timestamp
 
 COUNTS = "column string, rows long, nulls long, non_finite long"
 
@@ -50,14 +50,14 @@ def write_counted(results: DataFrame, out_dir: str, run_ts: str | None = None, f
     run is written from the same counts."""
     ts, base, spark = run_ts or run_timestamp(), out_dir.rstrip("/"), results.sparkSession
     rows, seen = observed(results)
-    writer = report_rows(rows).write.mode("append")
+    writer = report_rows(rows).write.mode("append").option("compression", TEXT_CODEC).option("maxRecordsPerFile", FILE_ROWS)
     path = f"{base}/{form}/run_ts={ts}"
     if form == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif form == "json":
         writer.option("ignoreNullFields", False).json(path)
     else:
-        writer.parquet(path)
+        writer.option("compression", ROWS_CODEC).parquet(path)
     counts = counts_frame(spark, results.columns, seen)
     meta = [(ts, seen.get["rows"], {"form": form})]
     spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/meta")

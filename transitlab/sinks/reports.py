@@ -36,6 +36,9 @@ REPORT_ORDER = (
     "koi_insol",
 )
 TS_FORMAT = "yyyyMMdd_HHmmss"
+
+#: Kept forms are compressed; a text file, which one task reads, holds at most that many rows.
+ROWS_CODEC, TEXT_CODEC, FILE_ROWS = "zstd", "gzip", 500_000
 REPORT_NAME = r"report_(\d{8}_\d{6})\."
 
 
@@ -75,6 +78,19 @@ def report_rows(results: DataFrame) -> DataFrame:
     return sanitize(preferred_order(df, REPORT_ORDER))
 
 
+#: How each text form is written: CSV with a header and white space as it is, JSON with its NULLs.
+TEXT_FORMS = {
+    "csv": {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False},
+    "json": {"ignoreNullFields": False},
+}
+
+
+def write_text(rows: DataFrame, form: str, path: str, mode: str) -> None:
+    """A text form of report rows, compressed, in files of bounded size."""
+    options = TEXT_FORMS[form] | {"compression": TEXT_CODEC, "maxRecordsPerFile": FILE_ROWS}
+    rows.write.mode(mode).options(**options).format(form).save(path)
+
+
 def write_report(
     results: DataFrame,
     out_dir: str,
@@ -87,22 +103,19 @@ def write_report(
     The results are evaluated once, into ``<out_dir>/rows``; text forms are written
     from there, per partition, and ``<out_dir>/meta`` gets a row (run_ts, row_count,
     extras) whose count comes from the Parquet footers. JSON keeps NULL fields
-    (``ignoreNullFields=false``) so every row has every column; CSV has a header."""
+    (``ignoreNullFields=false``) so every row has every column; CSV has a header.
+    All forms are compressed, text in files of at most ``FILE_ROWS`` rows."""
     ts, base = run_ts or run_timestamp(), out_dir.rstrip("/")
     spark = results.sparkSession
     stored = f"{base}/rows/run_ts={ts}"
-    report_rows(results).write.mode("append").parquet(stored)
+    report_rows(results).write.mode("append").option("compression", ROWS_CODEC).parquet(stored)
     rows = spark.read.parquet(stored)
     for fmt in formats:
-        w = rows.write.mode("append")
         path = f"{base}/{fmt}/run_ts={ts}"
-        if fmt == "csv":
-            (w.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
-             .option("ignoreTrailingWhiteSpace", False).csv(path))
-        elif fmt == "json":
-            w.option("ignoreNullFields", False).json(path)
+        if fmt in TEXT_FORMS:
+            write_text(rows, fmt, path, "append")
         elif fmt != "rows":
-            w.format(fmt).save(path)
+            rows.write.mode("append").format(fmt).save(path)
     meta = [(ts, rows.count(), dict(extras or {}))]
     spark.createDataFrame(meta, META_SCHEMA).coalesce(1).write.mode("append").json(f"{base}/meta")
     return ts

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks.reports import REPORT_SCHEMA, _flags_text, _reader, report_rows
+from ..sinks.reports import REPORT_SCHEMA, ROWS_CODEC, TEXT_FORMS, _flags_text, _reader, report_rows, write_text
 from ..sources.readers import path_exists
 
 DONE_SCHEMA = "batch long, rows long"
@@ -28,17 +28,12 @@ def batch_writer(out_dir: str, forms: Sequence[str] = ("csv", "json")) -> Callab
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark, own = batch.sparkSession, f"batch={batch_id}"
-        report_rows(batch).write.mode("overwrite").parquet(f"{base}/rows/{own}")
+        report_rows(batch).write.mode("overwrite").option("compression", ROWS_CODEC).parquet(f"{base}/rows/{own}")
         rows = spark.read.parquet(f"{base}/rows/{own}")
         for form in forms:
-            writer = rows.write.mode("overwrite")
-            if form == "csv":
-                options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-                writer.options(**options).csv(f"{base}/csv/{own}")
-            elif form == "json":
-                writer.option("ignoreNullFields", False).json(f"{base}/json/{own}")
-            else:
+            if form not in TEXT_FORMS:
                 raise ValueError(f"unknown form {form!r}; one of csv, json")
+            write_text(rows, form, f"{base}/{form}/{own}", "overwrite")
         mark = spark.createDataFrame([(batch_id, rows.count())], DONE_SCHEMA)  # the count comes from the footers
         mark.coalesce(1).write.mode("overwrite").parquet(f"{base}/done/{own}")
 
