@@ -235,3 +235,20 @@ def test_bayes_of_gaps_and_nothing(spark):
     assert none.predict(blank).first().prediction is None
     with pytest.raises(ValueError):
         bayes.fit_gaussian(spark.range(300).select(F.lit(1.0).alias("u"), F.col("id").cast("string").alias("label")), ("u",))
+
+
+def test_search_cuts_each_posting_once_whatever_the_number_of_needles(spark, tmp_path):
+    path = str(tmp_path / "i")
+    ids = [f"K{i}.1-{i % 100}-7" for i in range(2_000)] + ["ÄÄÄÄ-ÄÄÄ", "aaaa", "x😀yz😀", "ab", ""]
+    id_index.write_trigram_index(spark.createDataFrame([(i,) for i in ids], "object_id string").repartition(3), path)
+    stored = spark.read.parquet(f"{path}/postings")
+    assert stored.select("gram").distinct().count() <= stored.count() < 5_000  # a row a gram and block, not one an id
+    wanted = [f"-{i}-" for i in range(120)] + ["äää", "aaa", "aaaa", "aaaaa", "😀YZ", "b", "K1", "9.1-9", ".1-"]
+    needles = spark.createDataFrame([(n,) for n in wanted], "needle string")
+    expected = sorted((n.lower(), i) for n in wanted for i in ids if n.lower() in i.lower())
+    for most in (id_index.BROADCAST_NEEDLES, 0):
+        before, id_index.BROADCAST_NEEDLES = id_index.BROADCAST_NEEDLES, most
+        try:
+            assert sorted(map(tuple, id_index.search_index(spark, path, needles).collect())) == expected
+        finally:
+            id_index.BROADCAST_NEEDLES = before
