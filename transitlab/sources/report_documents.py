@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 #: What matters in the text: quotes and brackets. An escaped character is none of them.
-MARK = re.compile(r'\\.|["{}\[\]]', re.DOTALL)
+ESCAPED = re.compile(r"\\.", re.DOTALL)
 
 #: Splits whose states are broadcast (128 TB in splits of 128 MB); beyond it, texts are shuffled by split.
 BROADCAST_SPLITS = 1_000_000
@@ -48,18 +50,28 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
     return (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
 
 
+def _between_quotes(piece: str) -> list[str]:
+    """The texts between a piece's quotes; every second one lies in a string."""
+    return (ESCAPED.sub("", piece) if "\\" in piece else piece).split('"')
+
+
+def _opened(texts: list[str]) -> tuple[int, int]:
+    """The braces that texts outside strings open, and the brackets that they open less those that they close."""
+    text = "".join(texts)
+    return text.count("{"), text.count("[") - text.count("]")
+
+
 def _bracket_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each run of pieces of one split: quotes, and braces and brackets for either state at its start."""
     for (file, block), own in groupby(_rows(batches), key=itemgetter(0, 1)):
         quotes, braces, brackets = 0, [0, 0], [0, 0]
         for *_, piece in own:
-            for mark in MARK.findall(piece):
-                if mark == '"':
-                    quotes += 1
-                elif mark in "[]":
-                    brackets[quotes & 1] += 1 if mark == "[" else -1
-                elif mark == "{":
-                    braces[quotes & 1] += 1
+            texts = _between_quotes(piece)
+            for side in (0, 1):
+                opened, net = _opened(texts[side::2])
+                braces[(quotes + side) & 1] += opened
+                brackets[(quotes + side) & 1] += net
+            quotes += len(texts) - 1
             braces[quotes & 1] -= 1  # the one at which the piece was cut
         values = [file, block, quotes, *braces, *brackets]
         kinds = [pa.string(), *[pa.int64()] * 6]
@@ -87,8 +99,8 @@ def split_states(text: DataFrame) -> DataFrame:
 CUT = "file string, block long, place int, whole boolean, row string"
 
 
-def _cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole rows (``place`` 1), and of each split the text up to its first row's end (0) and after its last (2)."""
+def _cut_rows(batches: Iterable[pa.RecordBatch], inner: bool) -> Iterator[pa.RecordBatch]:
+    """Whole rows (``inner``, ``place`` 1), or of each split the text up to its first row's end (0) and after its last (2)."""
     out: list[tuple] = []
 
     def flush() -> pa.RecordBatch:
@@ -104,47 +116,55 @@ def _cut_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, piece, bare, *state in own:
             if quoted is None:
                 (quoted, braces, brackets), base = state, 0 if bare else 1
-            for mark in MARK.findall(piece):
-                if mark == '"':
-                    quoted = not quoted
-                elif quoted:
-                    continue
-                elif mark in "[]":
-                    brackets += 1 if mark == "[" else -1
-                elif mark == "{":
-                    braces += 1
+            texts = _between_quotes(piece)
+            opened, net = _opened(texts[1 if quoted else 0 :: 2])
+            braces, brackets = braces + opened, brackets + net
+            quoted = quoted != (len(texts) % 2 == 0)
             braces -= not quoted
             held += [piece, "}"]
             if not quoted and braces == base and brackets == 1:
-                out.append((file, block, 1 if ended else 0, True, "".join(held)))
+                if ended == inner:
+                    out.append((file, block, 1 if ended else 0, True, "".join(held)))
                 held, ended = [], True
                 if len(out) >= 1_000:
                     yield flush()
-        out.append((file, block, 2 if ended else 0, False, "".join(held)))
+        if not inner:
+            out.append((file, block, 2 if ended else 0, False, "".join(held)))
     yield flush()
 
 
-def document_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, opening, whole, row): the text of every row, and of what follows the last one of each document (not whole).
+def _whole_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _cut_rows(batches, inner=True)
+
+
+def _fragments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _cut_rows(batches, inner=False)
+
+
+def document_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(file, opening, whole, row) of the texts put together from fragments, and of the rows that lie in one split.
 
-    ``opening``: the text begins with the document's own beginning."""
+    Together they are the text of every row, and of what follows the last one of each
+    document (not whole). ``opening``: the text begins with the document's own
+    beginning. The former, a few for each split, are stored; the latter are cut as they are read."""
     text = pieces(spark, path)
     states = split_states(text)
     first = text.where("block = 0").groupBy("file").agg(F.min_by("piece", "at").alias("piece"))
     bare = first.select("file", F.col("piece").rlike(r"^\s*\[").alias("bare"))
-    states = states.join(bare, "file").select("file", "block", "bare", "quoted", "braces", "brackets")
+    # a row a split, stored: the sums over all pieces are made once
+    states = cut_lineage(states.join(bare, "file").select("file", "block", "bare", "quoted", "braces", "brackets"))
     if states.count() <= BROADCAST_SPLITS:
         known = text.join(F.broadcast(states), ["file", "block"])
     else:
         known = text.join(states, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "at")
-    cut = known.select("file", "block", "piece", "bare", "quoted", "braces", "brackets").mapInArrow(_cut_rows, CUT)
-    inner = cut.where("place = 1").select("file", F.lit(False).alias("opening"), "whole", "row")
+    known = known.select("file", "block", "piece", "bare", "quoted", "braces", "brackets")
+    inner = known.mapInArrow(_whole_rows, CUT).select("file", F.lit(False).alias("opening"), "whole", "row")
+    cut = known.mapInArrow(_fragments, CUT)
     # a fragment that ends a row closes what has been open since the end before it
     order = Window.partitionBy("file").orderBy("block", "place")
     ends = F.coalesce(F.sum(F.col("whole").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     crossing = (
-        cut.where("place != 1")
-        .withColumn("number", ends)
+        cut.withColumn("number", ends)
         .groupBy("file", "number")
         .agg(
             F.max("whole").alias("whole"),
@@ -153,9 +173,12 @@ def document_texts(spark: SparkSession, path: str) -> DataFrame:
         )
     )
     crossing = crossing.select(
-        "file", ((F.col("number") == 0) & F.col("at_start")).alias("opening"), "whole", F.concat_ws("", "parts.row").alias("row")
+        "file",
+        ((F.col("number") == 0) & F.col("at_start")).alias("opening"),
+        "whole",
+        F.concat_ws("", "parts.row").alias("row"),
     )
-    return crossing.unionByName(inner)  # a document of one split keeps its order: only its first row ends a fragment
+    return cut_lineage(crossing), inner
 
 
 def read_report_documents(spark: SparkSession, path: str, row_schema: T.StructType) -> DataFrame:
@@ -163,13 +186,15 @@ def read_report_documents(spark: SparkSession, path: str, row_schema: T.StructTy
 
     Escaped quotes and brackets within strings don't end a row. A document without
     rows gives none. Rows of a document of several splits come in no order."""
-    texts = document_texts(spark, path)
+    crossing, inner = document_texts(spark, path)
     head = r'(?s)^\s*(?:\{.*?"rows"\s*:\s*)?\['
     row = F.when(F.col("opening"), F.regexp_replace("row", head, "")).otherwise(F.col("row"))
+    texts = crossing.unionByName(inner)  # a document of one split keeps its order: only its first row ends a fragment
     parsed = texts.where("whole").select("file", F.from_json(F.regexp_replace(row, r"^[\s,]+", ""), row_schema).alias("r"))
     stamp = F.regexp_extract("row", r'"timestamp"\s*:\s*"([^"]*)"', 1)
     outside = F.when(F.col("whole"), F.regexp_extract("row", r'(?s)^(.*?)"rows"\s*:', 1)).otherwise(F.col("row"))
     stamps = (
-        texts.where("opening or not whole").withColumn("row", outside).select("file", F.nullif(stamp, F.lit("")).alias("run_ts"))
+        crossing.where("opening or not whole").withColumn("row", outside).select("file", F.nullif(stamp, F.lit("")).alias("run_ts"))
     ).groupBy("file").agg(F.max("run_ts").alias("run_ts"))
-    return parsed.join(stamps, "file", "left").select("r.*", "run_ts")
+    few = stamps.count() <= BROADCAST_SPLITS  # a row a document
+    return parsed.join(F.broadcast(stamps) if few else stamps, "file", "left").select("r.*", "run_ts")
