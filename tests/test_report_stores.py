@@ -180,3 +180,44 @@ def test_documents_without_rows_and_with_nested_values(spark, tmp_path):
 
 def test_run_timestamp_form():
     assert reports.run_timestamp(dt.datetime(2024, 1, 2, 3, 4, 5)) == "20240102_030405"
+
+
+# ----------------------------------------------------------------- what a larger table brings
+def test_report_documents_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from transitlab.plans import store_queries
+    from transitlab.sources.report_documents import read_report_documents as read
+
+    from sample_paths import SF0001
+
+    whole = read(spark, store_queries._documents(spark, SF0001), reports.REPORT_SCHEMA)
+    monkeypatch.setattr(store_queries, "DOCUMENT_ROWS", 500)
+    path = store_queries._documents(spark, SF0001)
+    files = spark.read.text(path).select("_metadata.file_path").distinct().count()
+    assert files > 4
+    again = read(spark, path, reports.REPORT_SCHEMA)
+    assert again.count() == whole.count() and again.exceptAll(whole).isEmpty()
+
+
+def test_states_and_fragments_are_made_once(spark, tmp_path):
+    text = json.dumps({"rows": [{"object_id": f"K{i}", "flags": 'a "}{[\\'} for i in range(300)], "timestamp": "t"})
+    (tmp_path / "doc.json").write_text(text)
+    crossing, inner = report_documents.document_texts(spark, str(tmp_path / "doc.json"))
+    plan = crossing._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and crossing.count() + inner.count() == 301
+
+
+def test_text_files_follow_the_scan(spark, tmp_path):
+    from transitlab.plans.queries import _text_csv
+    from transitlab.sources.fixtures import table
+
+    from sample_paths import SF0001
+
+    for parts, files in ((7, 7), (1, 3)):
+        sf = str(tmp_path / str(parts))
+        table(spark, SF0001, "lineitem").repartition(parts).write.parquet(f"{sf}/lineitem.parquet")
+        spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)  # a split a file
+        try:
+            folder = _text_csv(spark, sf, ",", files=3)
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len([f for f in os.listdir(folder.removeprefix("file:")) if f.startswith("part-")]) == files

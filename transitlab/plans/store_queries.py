@@ -15,10 +15,11 @@ from ..functions.rules import disposition_category
 from ..operators import bayes, evaluate, id_index, incremental, kept_queue, paging, splits
 from ..sinks import catalogue, observed, reports
 from ..sources.fixtures import table
+from ..sources.readers import child_names
 from ..sources.report_documents import read_report_documents
 from ..streaming import label_log, report_sink
 from ..streaming.file_drop import classified_stream
-from .queries import _detail, _enriched, _full_queue, _report, _rounded_echo, _scratch, _text_csv, r6
+from .queries import _enriched, _full_queue, _report, _rounded_echo, _scratch, _text_csv, r6
 
 NAN, INF = float("nan"), float("inf")
 
@@ -50,7 +51,9 @@ def q_stream_report_sink(spark, sf):
     """Stopped between the write and the commit of its second batch, then started again."""
     folder, out, checkpoint = _text_csv(spark, sf, ",", files=3), _scratch(spark, "report-sink"), _scratch(spark, "report-ckpt")
     columns = spark.read.option("header", True).csv(folder).columns
-    stream = classified_stream(spark, folder, columns, max_files_per_trigger=1)
+    files = sum(name.startswith("part-") for name in child_names(spark, folder))
+    per_batch = -(-files // 3)  # three batches, or two
+    stream = classified_stream(spark, folder, columns, max_files_per_trigger=per_batch)
 
     def stop(batch_id: int) -> None:
         if batch_id == 1:
@@ -60,7 +63,7 @@ def q_stream_report_sink(spark, sf):
         report_sink.run_report_stream(stream, out, checkpoint, after_write=stop)
     except StreamingQueryException:
         pass
-    report_sink.run_report_stream(classified_stream(spark, folder, columns, max_files_per_trigger=1), out, checkpoint)
+    report_sink.run_report_stream(classified_stream(spark, folder, columns, max_files_per_trigger=per_batch), out, checkpoint)
     return _rounded_echo(report_sink.read_stream_report(spark, out).drop("batch"))
 
 
@@ -68,21 +71,27 @@ def q_stream_report_sink(spark, sf):
 TRICKY = ' "},{"rows": [{'
 
 
+#: Rows of a report document, about: a document is one file, which one task writes.
+DOCUMENT_ROWS = 500_000
+
+
 def _documents(spark, sf) -> str:
-    """Four report documents of one file each, rows ordered by id; each file is streamed by a task, not collected."""
+    """Report documents with four timestamps, as many of each as the rows need, a file each with its rows in order."""
     path = _scratch(spark, "documents")
     rows = _report(spark, sf).withColumn("flags", F.when(F.col("category") == "candidate", F.concat("flags", F.lit(TRICKY))).otherwise(F.col("flags")))
     doc = F.conv(F.substring(F.md5("object_id"), 1, 1), 16, 10).cast("int") % 4
     text = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
-    order = Window.partitionBy("doc").orderBy("text")
-    lines = rows.select(doc.alias("doc"), text.alias("text"))
+    order = Window.partitionBy("doc", "part").orderBy("text")
+    parts = -(-table(spark, sf, "lineitem").count() // (4 * DOCUMENT_ROWS)) or 1  # counted in the footers
+    part = F.pmod(F.xxhash64("object_id"), F.lit(parts))
+    lines = rows.select(doc.alias("doc"), part.alias("part"), text.alias("text"))
     first, last = F.lag("text").over(order).isNull(), F.lead("text").over(order).isNull()
     lines = lines.select(
-        "doc", "text",
+        "doc", "part", "text",
         F.when(first, F.lit('{"rows": [')).otherwise(F.lit(", ")).alias("before"),
         F.when(last, F.concat(F.lit('], "timestamp": "20240101_00000'), "doc", F.lit('"}'))).otherwise(F.lit("")).alias("after"),
     )
-    lines.select("doc", F.concat("before", "text", "after").alias("value")).write.partitionBy("doc").text(path)
+    lines.select("doc", "part", F.concat("before", "text", "after").alias("value")).write.partitionBy("doc", "part").text(path)
     return path
 
 
@@ -193,9 +202,12 @@ def q_queue_merge_kept(spark, sf):
     """The merge of ``queue_merge`` into a bucketed queue that stays where it is."""
     name = "kept_queue_" + _scratch(spark, "q").rsplit("-", 1)[-1]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    existing = _full_queue(spark, sf, "priority", F.col("category").isin("anomalous_signal", "candidate"))
+    path = _scratch(spark, "queue-rows")  # both queues sort the same rows, and a sort reads its rows twice
+    _report(spark, sf).write.option("compression", "zstd").parquet(path)
+    rows = spark.read.parquet(path)
+    existing = _full_queue(spark, sf, "priority", F.col("category").isin("anomalous_signal", "candidate"), rows)
     kept_queue.keep_queue(existing, name, _scratch(spark, "kept-queue"), buckets)
-    merged = kept_queue.merge_into_kept(spark, name, _full_queue(spark, sf, "uncertainty"))
+    merged = kept_queue.merge_into_kept(spark, name, _full_queue(spark, sf, "uncertainty", rows=rows))
     return merged.select("object_id", "suggested_label", "queue_pos")
 
 
@@ -204,7 +216,7 @@ BAYES_FEATURES = ("koi_period", "koi_prad", "koi_teq", "koi_insol", "koi_srad",
 
 
 def _bayes_predictions(spark, sf) -> DataFrame:
-    named = _detail(spark, sf).withColumn("label", disposition_category(F.col("koi_disposition"))).where("label is not null")
+    named = _enriched(spark, sf, outputs=("object_id", "star_id", "koi_disposition", *BAYES_FEATURES)).withColumn("label", disposition_category(F.col("koi_disposition"))).where("label is not null")
     split = splits.grouped_split(named)
     model = bayes.fit_gaussian(split.where("split = 'train'"), BAYES_FEATURES)
     return model.predict(split.where("split = 'test'"))
