@@ -96,3 +96,39 @@ def test_baselines_learn_from_train_alone(spark, algorithm):
     known = found.where("label <> 'unseen'")
     assert known.where("label = prediction").count() >= 0.9 * known.count()  # trees split at binned values
     assert "unseen" not in {r.prediction for r in found.collect()}
+
+
+def test_metrics_count_the_predictions_once(spark):
+    from transitlab.operators import evaluate
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b")], "label string, prediction string")
+    got = evaluate.macro_metrics(evaluate.confusion_matrix(rows.mapInArrow(counted, rows.schema))).first()
+    assert seen.value == 3 and got.n_classes == 2 and abs(got.accuracy - 2 / 3) < 1e-12
+
+
+def test_baselines_store_their_rows_once(spark, monkeypatch):
+    from sample_paths import SF0001
+    from transitlab.operators import evaluate
+    from transitlab.plans import queries
+
+    stored, cut = [], queries.cut_lineage
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: stored.append(df.columns) or cut(df))
+    monkeypatch.setattr(evaluate, "train_baseline", lambda train, test, names, algorithm: (None, test.selectExpr("label", "label as prediction")))
+    assert len(queries.q_baseline_test_rows(spark, SF0001).collect()) == 9
+    assert len(stored) == 1 and "category" not in stored[0] and "koi_prad" in stored[0]
+
+
+def test_gaussian_smoothing_is_that_of_all_rows(spark):
+    from transitlab.operators import bayes
+
+    rows = [("a", 1.0, None), ("a", 5.0, None), ("b", 90.0, 2.0), ("b", None, 4.0), (None, 1e9, 1.0)]
+    model = bayes.fit_gaussian(spark.createDataFrame(rows, "label string, x double, y double"), ["x", "y"])
+    assert abs(model.classes["a"]["x"][1] - (4.0 + bayes.SMOOTHING * 5054 / 3)) < 1e-12  # of 1, 5 and 90
+    assert model.classes["a"]["y"] == (None, None)

@@ -52,6 +52,16 @@ class GaussianModel:
         return df.withColumn("prediction", best["c"])
 
 
+def _pooled(found: list, f: str) -> float | None:
+    """The variance of a feature over all classes, from the moments of each; None if no row has it."""
+    own = [(r[f"n_{f}"], r[f"mean_{f}"], r[f"var_{f}"]) for r in found if r[f"n_{f}"]]
+    if not own:
+        return None
+    n = sum(k for k, _, _ in own)
+    mean = sum(k * m for k, m, _ in own) / n
+    return sum(k * (v + (m - mean) ** 2) for k, m, v in own) / n
+
+
 def fit_gaussian(df: DataFrame, features: Sequence[str], label_col: str = "label") -> GaussianModel:
     """Learns from the rows that have a label: a hash aggregation with one row a class.
 
@@ -62,12 +72,11 @@ def fit_gaussian(df: DataFrame, features: Sequence[str], label_col: str = "label
         for f in features
     ]
     rows = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), *clean)
-    widest = rows.agg(*[F.var_pop(f).alias(f) for f in features]).first()
-    extra = SMOOTHING * max([v for v in widest if v] or [1.0])
-    moments = [a for f in features for a in (F.avg(f).alias(f"mean_{f}"), F.var_pop(f).alias(f"var_{f}"))]
+    moments = [a for f in features for a in (F.avg(f).alias(f"mean_{f}"), F.var_pop(f).alias(f"var_{f}"), F.count(f).alias(f"n_{f}"))]
     found = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *moments).limit(MOST_CLASSES + 1).collect()
     if len(found) > MOST_CLASSES:
         raise ValueError(f"more than {MOST_CLASSES} classes in {label_col!r}")
+    extra = SMOOTHING * max([v for f in features if (v := _pooled(found, f))] or [1.0])
     classes = {
         r["label"]: {"n": r["n"]} | {f: (r[f"mean_{f}"], None if r[f"var_{f}"] is None else r[f"var_{f}"] + extra) for f in features}
         for r in found
