@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,46 @@ def test_gradient(network, name):
     assert (loss[0] - loss[1]) / 0.02 == pytest.approx(gradient[at], rel=0.02, abs=1e-4)
 
 
+def test_a_step_costs_by_its_places(network):
+    """A batch reads the codes around its places, not all that are laid out; the network's sums are those of plain loops."""
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, pl.CODES, n).astype(np.int32) for n in (0, 1, 7, 2_000_000)]
+    whole, places = pl.laid_out(docs)
+    assert (whole[places] == np.concatenate(docs)).all()
+    tracemalloc.start()
+    found = pl.contexts(whole, places[:50])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000
+    flat = [[d[i + s] if 0 <= i + s < len(d) else pl.EDGE for s in pl.SIDES] for d in docs for i in range(min(50, len(d)))][:50]
+    assert found.T.tolist() == flat
+
+    code, w = whole[places[:50]], network.weights
+    gradient = network.gradient(found, code)
+    prefix = code // pl.DIGIT
+    digits = prefix // pl.DIGIT, prefix % pl.DIGIT, code % pl.DIGIT
+    hidden = np.tanh(sum(w["embed"][i][found[i]] for i in range(len(pl.SIDES))).astype(float))
+    back, total = np.zeros_like(hidden), np.zeros(50)
+    for step, known in enumerate((np.zeros(50, int), prefix // pl.DIGIT, prefix)):
+        seen = hidden + (w[f"given_{step}"][:, known].T if step else 0)
+        logits = seen @ w["out"][step].T + w[f"bias_{step}"][:, known].T
+        soft = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+        total += np.log(soft[np.arange(50), digits[step]])
+        soft[np.arange(50), digits[step]] -= 1
+        through = soft / 50 @ w["out"][step]
+        back += through
+        assert gradient["out"][step] == pytest.approx((soft / 50).T @ seen, abs=1e-6)
+        for name, values in ((f"bias_{step}", soft / 50), (f"given_{step}", through))[: 1 + (step > 0)]:
+            want = np.zeros(pl.SHAPES[name][::-1])
+            np.add.at(want, known, values)
+            assert gradient[name] == pytest.approx(want.T, abs=1e-6)
+    want = np.zeros(pl.SHAPES["embed"])
+    for i, side in enumerate(found):
+        np.add.at(want[i], side, back * (1 - hidden * hidden))
+    assert gradient["embed"] == pytest.approx(want, abs=1e-6)
+    assert network.forward(found, code)[0] == pytest.approx(total, rel=1e-5)
+
+
 def model(docs):
     """The stored tokens of the documents with all that their codes need."""
     written = pl.tabled(pl.tokens(docs))

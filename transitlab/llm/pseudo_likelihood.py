@@ -199,14 +199,17 @@ def coded(written: DataFrame, counts: DataFrame, own: dict[int, int], frequency:
     return dealt.mapInArrow(run, "doc_id long, codes binary, within double")
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    """In place, down the columns; the logarithms of the sums."""
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """In place, down the columns, each over that of the column's greatest; their sums, and the greatest."""
     top = logits.max(axis=0)
     logits -= top
     np.exp(logits, out=logits)
-    total = logits.sum(axis=0)
-    logits /= total
-    return np.log(total) + top
+    return logits.sum(axis=0), top
+
+
+def sums(values: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
+    """Each row of values, in double precision, added up by what is known."""
+    return np.stack([np.bincount(known, row, size) for row in values])
 
 
 @dataclass
@@ -236,63 +239,78 @@ class Network:
         cuts = np.cumsum([int(np.prod(shape)) for shape in SHAPES.values()])[:-1]
         return cls({name: x.reshape(shape).astype(np.float32) for (name, shape), x in zip(SHAPES.items(), np.split(flat, cuts))})
 
-    def forward(self, context: np.ndarray, code: np.ndarray) -> tuple:
-        """Log-probability of each code in its context, and what the gradient needs. ``context``: a row for each side."""
-        w, rows = self.weights, np.arange(len(code))
-        hidden = w["embed"][0][context[0]]
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """A row for each place. ``context``: a row for each side."""
+        embed = self.weights["embed"]
+        hidden = embed[0].take(context[0], axis=0)
         for side in range(1, len(SIDES)):
-            hidden += w["embed"][side][context[side]]
-        hidden = np.ascontiguousarray(np.tanh(hidden, out=hidden).T)
+            hidden += embed[side].take(context[side], axis=0)
+        return np.tanh(hidden, out=hidden)
+
+    def steps(self, hidden: np.ndarray, code: np.ndarray) -> Iterator[tuple]:
+        """For each step: what it sees, its logits, where in these (flat) the codes' digits are, and what it knows of the codes."""
+        w, rows = self.weights, np.arange(len(code))
+        code = code.astype(np.intp)
         prefix = code // DIGIT
         first = prefix // DIGIT
         digits = first, prefix % DIGIT, code % DIGIT
-        before = np.zeros_like(first), first, prefix  # what each step knows
+        for step, (digit, known) in enumerate(zip(digits, (None, first, prefix))):
+            seen, bias = hidden, w[f"bias_{step}"]
+            if step:
+                seen = np.ascontiguousarray(w[f"given_{step}"].T).take(known, axis=0)
+                seen += hidden
+                bias = bias.take(known, axis=1)
+            logits = w["out"][step] @ seen.T
+            logits += bias
+            yield seen, logits, digit * len(code) + rows, known
+
+    def forward(self, context: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each code in its context, and the hidden layer. ``context``: a row for each side."""
+        hidden = self.hidden(context)
         total = np.zeros(len(code), np.float32)
-        steps = []
-        for step, (digit, known) in enumerate(zip(digits, before)):
-            seen = hidden + w[f"given_{step}"][:, known] if step else hidden
-            logits = w["out"][step] @ seen
-            logits += w[f"bias_{step}"][:, known]
-            total += logits[digit, rows]
-            total -= softmax(logits)
-            steps.append((seen, logits, digit, known))
-        return total, hidden, steps
+        for _, logits, at, _ in self.steps(hidden, code):
+            total += logits.ravel().take(at)
+            mass, top = exponentials(logits)
+            total -= np.log(mass) + top
+        return total, hidden
 
     def gradient(self, context: np.ndarray, code: np.ndarray) -> dict[str, np.ndarray]:
         """The gradient of the mean negative log-probability."""
         w, n = self.weights, len(code)
-        _, hidden, steps = self.forward(context, code)
-        rows, found, outs, back = np.arange(n), {}, [], np.zeros_like(hidden)
-
-        def sums(values: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
-            """Each row of values added up by what is known."""
-            return np.stack([np.bincount(known, row, size) for row in values]).astype(np.float32)
-
-        for step, (seen, soft, digit, known) in enumerate(steps):
-            soft[digit, rows] -= 1
+        hidden = self.hidden(context)
+        found, outs, back = {}, [], np.zeros(hidden.shape[::-1], np.float32)
+        for step, (seen, soft, at, known) in enumerate(self.steps(hidden, code)):
+            mass, _ = exponentials(soft)
+            soft /= mass
+            soft.ravel()[at] -= 1
             soft /= n
-            outs.append(soft @ seen.T)
+            outs.append(soft @ seen)
             through = w["out"][step].T @ soft
             back += through
-            found[f"bias_{step}"] = sums(soft, known, SHAPES[f"bias_{step}"][1])
+            wide = soft.astype(np.float64)
             if step:
-                found[f"given_{step}"] = sums(through, known, SHAPES[f"given_{step}"][1])
-        back *= 1 - hidden * hidden
-        embed = np.stack([sums(back, side, CODES + 1).T for side in context])
+                size = SHAPES[f"bias_{step}"][1]
+                found[f"bias_{step}"] = sums(wide, known, size).astype(np.float32)
+                found[f"given_{step}"] = sums(through.astype(np.float64), known, size).astype(np.float32)
+            else:
+                found["bias_0"] = wide.sum(axis=1, keepdims=True).astype(np.float32)
+        hidden *= hidden
+        back *= np.subtract(1, hidden, out=hidden).T
+        wide, embed = back.astype(np.float64), np.empty(SHAPES["embed"], np.float32)
+        for own, side in zip(embed, context):
+            own[:] = sums(wide, side, CODES + 1).T
         return found | {"embed": embed, "out": np.stack(outs)}
 
 
 def contexts(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row for each side of the window: the codes beside the places ``at``."""
-    edge = np.full(REACH, EDGE, np.int32)
-    padded = np.concatenate([edge, codes, edge])
-    return np.stack([padded[at + REACH + side] for side in SIDES])
+    """A row for each side of the window: the codes beside the places ``at``, which have edges around them (see ``laid_out``)."""
+    return np.stack([codes.take(at + side) for side in SIDES]).astype(np.intp)
 
 
 def laid_out(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Documents one after the other with a gap of edges, and the places of their codes."""
+    """Documents one after the other with a gap of edges around each, and the places of their codes."""
     edge = np.full(REACH, EDGE, np.int32)
-    whole = np.concatenate([x for codes in found for x in (codes, edge)] or [edge])
+    whole = np.concatenate([edge, *(x for codes in found for x in (codes, edge))])
     return whole, np.flatnonzero(whole != EDGE)
 
 
@@ -321,8 +339,12 @@ def train(rows: DataFrame, start: Network, stride: int, rate: float) -> Network:
             for at in range(0, len(places), BATCH):
                 some = places[at : at + BATCH]
                 for name, g in network.gradient(contexts(whole, some), whole[some]).items():
-                    squares[name] += g * g
-                    network.weights[name] -= rate * g / np.sqrt(squares[name])
+                    root = g * g
+                    squares[name] += root
+                    np.sqrt(squares[name], out=root)
+                    g *= rate
+                    g /= root
+                    network.weights[name] -= g
                 seen += len(some)
 
         waiting, held = [], 0
