@@ -169,3 +169,32 @@ def test_newest_manifest_by_time(spark, tmp_path):
         reports.write_manifest(spark, {"timestamp": ts, "features_file": ts}, str(tmp_path / "m"))
         time.sleep(0.01)
     assert reports.latest_manifest(spark, str(tmp_path / "m")).first().features_file == "20240201_000000"
+
+
+def test_text_fixture_stays_small_enough_to_be_compiled(spark, tmp_path, capsys):
+    """HotSpot leaves methods over 8,000 bytes to its interpreter; the cells are those of a look-up for each column."""
+    import datetime
+    import re
+
+    from transitlab.sources import fixtures
+
+    keys = [*range(-120, 120), 10**12 + 3, None]
+    rows = [(k, n % 23, n % 29, n % 7 + 1, 10.0 + n, 900.5 * n, 0.05, 0.02, "RNA"[n % 3], "OF"[n % 2], datetime.datetime(1995, 1, 1)) for n, k in enumerate(keys)]
+    kinds = "bigint bigint bigint int double double double double string string timestamp_ntz".split()
+    schema = ", ".join(f"{c} {t}" for c, t in zip(fixtures.LINEITEM_COLUMNS, kinds, strict=True))
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = fixtures.koi_text(spark, str(tmp_path))
+    found.explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+    tokens = F.array(*map(F.lit, ("NA", "None", "null", "NaN", "")))
+    k = fixtures.koi_fixture(spark, str(tmp_path)).drop("discovery_date")
+    want = []
+    for i, c in enumerate(k.columns):
+        key, text = F.col("star_id") + i, F.col(c).cast("string")
+        if c not in ("object_id", "koi_disposition", "stellar_type"):
+            text = F.when(key % 10 == 0, F.element_at(tokens, (key % 5 + 1).cast("int"))).when(key % 97 == 3, "abc").otherwise(text)
+        want.append(text.alias(c))
+    order = lambda rows: sorted(map(str, rows))
+    assert order(found.drop("remark").collect()) == order(k.select(*want).collect())
