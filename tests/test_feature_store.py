@@ -41,6 +41,20 @@ def test_replay_gives_the_same_rows(spark, store, tmp_path):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def test_dataset_is_compressed_and_builds_what_the_specification_reads(spark, store, tmp_path, monkeypatch):
+    asked, enrich = [], pipelines.enrich
+
+    def recorded(df, **how):
+        asked.append(enrich(df, **how))
+        return asked[-1]
+
+    monkeypatch.setattr(pipelines, "enrich", recorded)
+    manifest = pipelines.replay_dataset(spark, store[0], str(tmp_path / "again"))
+    assert asked[0].columns == ["object_id", "koi_prad", "stellar_type"]
+    parts = [name for name in readers.child_names(spark, manifest["features_file"]) if name.startswith("part-")]
+    assert parts and all(name.endswith(".zstd.parquet") for name in parts)
+
+
 def test_listing_and_lookup(spark, store):
     manifests = store[0]
     ids = sorted(r.object_id for r in feature_store.stored_features(spark, manifests).select("object_id").collect())

@@ -31,6 +31,18 @@ def test_median_of_a_coarse_sketch(spark):
     assert exact_medians(df, ["x"], accuracy=2)["x"] == 25_000.0
 
 
+def test_median_asks_no_quantile_buffer_of_the_whole_column(spark, monkeypatch):
+    """The first pass over all values is a KLL sketch; where a pivot has the middle rank, no other follows."""
+    rows = [(float(i % 7), i % 5, None) for i in range(700)] + [(float("inf"), None, None), (-float("inf"), None, None)]
+    df = spark.createDataFrame(rows, "x double, whole int, empty double").repartition(4)
+
+    def unwanted(*args):
+        raise AssertionError("percentile_approx over the whole column")
+
+    monkeypatch.setattr(F, "percentile_approx", unwanted)
+    assert exact_medians(df, ["x", "whole", "empty"], accuracy=2000) == {"x": 3.0, "whole": 2.0, "empty": None}
+
+
 def test_modes_and_distinct(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,), ("c",)], "s string")
     assert modes(df, ["s"]) == {"s": "a"}  # tie -> smallest

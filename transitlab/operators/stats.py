@@ -4,8 +4,9 @@ Spark's exact ``median`` keeps a value->count map of the whole column in one
 final task, which does not survive a 100 TB column. ``exact_medians`` instead
 narrows the rank window with pivots:
 
-1. one aggregate: non-null count and ``percentile_approx`` pivots around the
-   target rank, for every column at once;
+1. one aggregate: non-null count and pivots around the target rank, for every
+   column at once: from a KLL sketch of the whole column at first, from
+   ``percentile_approx`` inside a bracket, where few values are left;
 2. one aggregate: for each pivot, how many values lie below / at it;
 3. either a pivot is the value at the target rank, or the bracket between two
    pivots holds it; repeat inside the bracket. The sketch is exact once the
@@ -29,6 +30,9 @@ from .ordering import with_positions
 
 INF = float("inf")
 
+#: The least and the greatest size that Spark gives a KLL sketch.
+KLL_SIZES = (8, 65535)
+
 
 @dataclass
 class _Target:
@@ -127,13 +131,21 @@ def exact_medians(df: DataFrame, cols: Sequence[str], accuracy: int = 10000, **k
     """A2: exact median per column (NULLs ignored); None for an all-NULL column.
 
     The first pass returns both the counts and pivots around the middle (the
-    two middle ranks sit within 1/n of 0.5, far inside the pivot spread)."""
+    two middle ranks sit within 1/n of 0.5, far inside the pivot spread). Its
+    sketch takes every value, in about a third of the time of ``percentile_approx``;
+    its error decides how many passes follow, never the result."""
     if not cols:
         return {}
-    probs = _probs_around(0.5, accuracy)
-    counts = df.agg(
+    probs = F.array(*map(F.lit, _probs_around(0.5, accuracy)))
+    k = F.lit(min(max(accuracy, KLL_SIZES[0]), KLL_SIZES[1]))
+    sketched = df.agg(
         *[F.count(F.col(c)).alias(c) for c in cols],
-        *[F.percentile_approx(F.col(c), probs, accuracy).alias(f"__p_{i}") for i, c in enumerate(cols)],
+        *[F.kll_sketch_agg_double(F.col(c).cast("double"), k).alias(f"__s_{i}") for i, c in enumerate(cols)],
+    )
+    sketches = [F.col(f"__s_{i}") for i in range(len(cols))]
+    counts = sketched.select(
+        *[F.col(f"`{c}`") for c in cols],
+        *[F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, probs)).alias(f"__p_{i}") for i, s in enumerate(sketches)],
     ).first()
     first = {c: list(counts[f"__p_{i}"] or []) for i, c in enumerate(cols)}
     targets: list[tuple[str, int]] = []

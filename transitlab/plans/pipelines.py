@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from ..config import FeatureSpec, LabelingConfig, Thresholds
 from ..operators.classify import classify
 from ..operators.enrich import enrich
-from ..operators.features import build
+from ..operators.features import build, input_columns
 from ..operators.labeling import LABEL_EVENT, apply_labels, build_queue, label_events
 from ..operators.schema import MappingRow, normalize_columns
 from ..sinks.feature_store import mapping_text, newest, spec_text
-from ..sinks.reports import read_latest, run_timestamp, write_manifest, write_report, write_table
+from ..sinks.reports import ROWS_CODEC, read_latest, run_timestamp, write_manifest, write_report, write_table
 from ..sources.readers import load, path_exists
 
 
@@ -57,11 +57,11 @@ def make_dataset(
     """Features Parquet under ``out_dir/features/ts=<ts>`` + manifest row."""
     spec = spec or FeatureSpec.load()
     normalized, mapping = normalize_columns(load(spark, path, limit=limit_rows))
-    enriched = enrich(normalized, albedo=albedo)
+    enriched = enrich(normalized, albedo=albedo, outputs=input_columns(spec))
     features, meta = build(enriched, spec)
     ts = run_timestamp()
     features_file = f"{out_dir.rstrip('/')}/features/ts={ts}"
-    write_table(features, features_file)
+    write_table(features, features_file, codec=ROWS_CODEC)
     meta["row_count"] = rows = spark.read.parquet(features_file).count()  # answered from footers
     manifest = {
         "feature_version": feature_version,

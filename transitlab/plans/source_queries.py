@@ -12,6 +12,7 @@ from ..config import FeatureSpec
 from ..operators import browse, features
 from ..operators.schema import select_existing
 from ..sinks import feature_store
+from ..sinks.reports import ROWS_CODEC
 from ..sources import readers
 from ..sources.fixtures import koi_alias, table
 from . import pipelines
@@ -107,7 +108,7 @@ def q_safe_filenames(spark, sf):
 def _store(spark, sf) -> str:
     """A dataset made from an upload with raw names; the folder of its manifests."""
     source, out = _scratch(spark, "source") + ".parquet", _scratch(spark, "store")
-    koi_alias(spark, sf).write.parquet(source)
+    koi_alias(spark, sf).write.option("compression", ROWS_CODEC).parquet(source)
     pipelines.make_dataset(spark, source, out)
     return f"{out}/manifests"
 

@@ -226,9 +226,13 @@ def pair_reports(listing: DataFrame) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Iterable[str] | None = None) -> None:
-    """K4/K5/K7: generic save."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: Iterable[str] | None = None, codec: str | None = None
+) -> None:
+    """K4/K5/K7: generic save; ``codec`` is the format's own if none is given."""
     w = df.write.mode(mode).format(fmt)
+    if codec:
+        w = w.option("compression", codec)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
