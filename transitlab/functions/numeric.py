@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 
 from ..config import NULL_TOKENS
 
-# A plain decimal or scientific literal; rejects Java suffixes such as '1.5d'
-# that try_cast would otherwise accept.
-NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity|nan)$"
+# Text of which ``try_cast`` makes a double as Python's ``float`` does: no Java suffixes such as '1.5d' and no
+# hexadecimal literals, which it would otherwise accept.
+NUMERIC_TEXT = r"\A[-+.0-9eE]++\z"
 
 
 #: What Python's ``str.strip`` takes off: all white space, not the space alone.
@@ -42,12 +42,17 @@ def finite_or_null(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
+#: The same with white space around it, and the names of what isn't finite.
+PADDED_NUMERIC_TEXT = rf"\A[{WHITE_SPACE}]*+(?:[-+.0-9eE]++|[-+]?(?i:inf|infinity|nan))[{WHITE_SPACE}]*+\z"
+
+
 def text_to_double(c: Column) -> Column:
     """Parse text the way Python's float() does for the usual literals: null
-    tokens and unparseable text become NULL, NaN becomes NULL."""
-    s = strip(c)
-    ok = ~s.isin(*NULL_TOKENS) & F.lower(s).rlike(NUMERIC_TEXT)
-    return nan_to_null(F.when(ok, s.try_cast("double")))
+    tokens and unparseable text become NULL, NaN becomes NULL.
+
+    The tokens are no numbers, or NaN. Only text that isn't plainly a number is looked at for white space."""
+    number = F.coalesce(F.when(c.rlike(NUMERIC_TEXT), c), F.when(c.rlike(PADDED_NUMERIC_TEXT), strip(c)))
+    return nan_to_null(number.try_cast("double"))
 
 
 def as_double(c: Column, dtype: T.DataType) -> Column:

@@ -51,6 +51,8 @@ def enrich(
     M.albedo_factor(albedo)  # validate the parameter (D5) even without derivation
     x = typed_inputs(df)
     typed = {c: x[c] for c in NUMERIC_INPUTS if c in df.columns}
+    # From here on the inputs are doubles: they are referred to by name, never parsed a second time.
+    x = {c: F.col(c) if c in typed else x[c] for c in NUMERIC_INPUTS}
     a = x["koi_sma"]
     if auto_derive:
         a = F.coalesce(a, M.semi_major_axis(x["koi_period"], x["koi_smass"]))

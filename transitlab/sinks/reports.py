@@ -85,9 +85,9 @@ TEXT_FORMS = {
 }
 
 
-def write_text(rows: DataFrame, form: str, path: str, mode: str) -> None:
-    """A text form of report rows, compressed, in files of bounded size."""
-    options = TEXT_FORMS[form] | {"compression": TEXT_CODEC, "maxRecordsPerFile": FILE_ROWS}
+def write_text(rows: DataFrame, form: str, path: str, mode: str, level: str = "DEFAULT_COMPRESSION") -> None:
+    """A text form of report rows, compressed, in files of bounded size; ``level`` is one of Hadoop's for zlib."""
+    options = TEXT_FORMS[form] | {"compression": TEXT_CODEC, "zlib.compress.level": level, "maxRecordsPerFile": FILE_ROWS}
     rows.write.mode(mode).options(**options).format(form).save(path)
 
 

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..config import Thresholds
+from ..config import NUMERIC_INPUTS, OBJECT_ID_FALLBACKS, Thresholds
 from ..functions.numeric import null_tokens_to_null
 from ..operators.classify import classify
 from ..operators.enrich import enrich
-from ..operators.schema import normalize_columns
+from ..operators.schema import normalize_columns, resolve_mapping
 from ..sources.readers import csv_options
 
 
@@ -28,6 +28,15 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def _parsed_later(columns: Sequence[str]) -> set[str]:
+    """The columns that ``enrich`` parses as numbers, whose null tokens it knows; none if ids are made of all cells."""
+    mapping = resolve_mapping(columns)
+    names = {m.mapped_to for m in mapping if m.status in ("ok", "alias")} | set(columns)
+    if names.isdisjoint({"object_id", *OBJECT_ID_FALLBACKS}):
+        return set()
+    return {m.detected for m in mapping if m.status in ("ok", "alias") and m.mapped_to in NUMERIC_INPUTS}
+
+
 def classified_stream(
     spark: SparkSession,
     folder: str,
@@ -42,7 +51,8 @@ def classified_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     raw = reader.csv(folder)
-    raw = raw.select(*[null_tokens_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    typed = _parsed_later(raw.columns)
+    raw = raw.select(*[F.col(f"`{c}`") if c in typed else null_tokens_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     # Hash ids: a streaming plan cannot run the two-pass ordinal id job.
     normalized, _ = normalize_columns(raw, synthetic_ids="hash")
     return classify(enrich(normalized, albedo=albedo), thresholds)
