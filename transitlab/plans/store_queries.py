@@ -76,7 +76,9 @@ DOCUMENT_ROWS = 500_000
 
 
 def _documents(spark, sf) -> str:
-    """Report documents with four timestamps, as many of each as the rows need, a file each with its rows in order."""
+    """Report documents with four timestamps, as many of each as the rows need, a file each with its rows in order.
+
+    Those of the first timestamp are plain text, which the reader splits; the others are compressed, whole."""
     path = _scratch(spark, "documents")
     rows = _report(spark, sf).withColumn("flags", F.when(F.col("category") == "candidate", F.concat("flags", F.lit(TRICKY))).otherwise(F.col("flags")))
     doc = F.conv(F.substring(F.md5("object_id"), 1, 1), 16, 10).cast("int") % 4
@@ -91,7 +93,10 @@ def _documents(spark, sf) -> str:
         F.when(first, F.lit('{"rows": [')).otherwise(F.lit(", ")).alias("before"),
         F.when(last, F.concat(F.lit('], "timestamp": "20240101_00000'), "doc", F.lit('"}'))).otherwise(F.lit("")).alias("after"),
     )
-    lines.select("doc", "part", F.concat("before", "text", "after").alias("value")).write.partitionBy("doc", "part").text(path)
+    lines = lines.select("doc", "part", F.concat("before", "text", "after").alias("value"))
+    lines.where("doc = 0").write.partitionBy("doc", "part").text(path)
+    compressed = lines.where("doc <> 0").write.options(**{"compression": reports.TEXT_CODEC, "zlib.compress.level": "BEST_SPEED"})
+    compressed.mode("append").partitionBy("doc", "part").text(path)
     return path
 
 

@@ -17,19 +17,19 @@ open brackets says what it closes.
 from __future__ import annotations
 
 import re
-from itertools import groupby
-from operator import itemgetter
 from typing import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
-#: What matters in the text: quotes and brackets. An escaped character is none of them.
-ESCAPED = re.compile(r"\\.", re.DOTALL)
+#: A document that is a bare list of rows begins so.
+BARE = re.compile(rb"[ \t\n\x0b\f\r]*\[")
 
 #: Splits whose states are broadcast (128 TB in splits of 128 MB); beyond it, texts are shuffled by split.
 BROADCAST_SPLITS = 1_000_000
@@ -46,51 +46,86 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    return (row for batch in batches for row in zip(*(column.to_pylist() for column in batch.columns)))
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """Each batch cut into runs of rows of one split, with its file and block."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block = batch.column("file"), batch.column("block")
+        changes = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+        cuts = [0, *(np.flatnonzero(changes.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            yield file[start].as_py(), block[start].as_py(), batch.slice(start, end - start)
 
 
-def _between_quotes(piece: str) -> list[str]:
-    """The texts between a piece's quotes; every second one lies in a string."""
-    return (ESCAPED.sub("", piece) if "\\" in piece else piece).split('"')
+def _text(run: pa.RecordBatch) -> pa.Buffer:
+    """The text of a run: its pieces, each with the ``}`` at which it was cut."""
+    end, nothing = pa.scalar(b"}", pa.large_binary()), pa.scalar(b"", pa.large_binary())
+    whole = pc.binary_join_element_wise(run.column("piece").cast(pa.large_binary()), end, nothing)
+    ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)
+    return whole.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0]))
 
 
-def _opened(texts: list[str]) -> tuple[int, int]:
-    """The braces that texts outside strings open, and the brackets that they open less those that they close."""
-    text = "".join(texts)
-    return text.count("{"), text.count("[") - text.count("]")
+def _marks(text: pa.Buffer) -> tuple[int, dict[bytes, np.ndarray], dict[bytes, np.ndarray]]:
+    """The number of quotes, and where each bracket stands, after an even number of quotes and after an odd one.
 
+    A quote after an odd number of backslashes is escaped."""
+    chars = np.frombuffer(text, np.uint8)
+    quotes = np.flatnonzero(chars == ord('"'))
+    slashes = np.flatnonzero(chars == ord("\\"))
+    if len(slashes):
+        starts = np.flatnonzero(np.diff(slashes, prepend=-2) != 1)
+        lengths = np.diff(starts, append=len(slashes))
+        escaped = (slashes[starts] + lengths)[lengths % 2 == 1]
+        quotes = np.setdiff1d(quotes, escaped, assume_unique=True)
+    even, odd = {}, {}
+    for mark in (b"{", b"}", b"[", b"]"):
+        places = np.flatnonzero(chars == ord(mark))
+        within = np.searchsorted(quotes, places) % 2 == 1
+        even[mark], odd[mark] = places[~within], places[within]
+    return len(quotes), even, odd
+
+
+SUMS = "file string, block long, quotes long, braces_out long, braces_in long, brackets_out long, brackets_in long, bare boolean"
 
-def _bracket_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each run of pieces of one split: quotes, and braces and brackets for either state at its start."""
-    for (file, block), own in groupby(_rows(batches), key=itemgetter(0, 1)):
-        quotes, braces, brackets = 0, [0, 0], [0, 0]
-        for *_, piece in own:
-            texts = _between_quotes(piece)
-            for side in (0, 1):
-                opened, net = _opened(texts[side::2])
-                braces[(quotes + side) & 1] += opened
-                brackets[(quotes + side) & 1] += net
-            quotes += len(texts) - 1
-            braces[quotes & 1] -= 1  # the one at which the piece was cut
-        values = [file, block, quotes, *braces, *brackets]
-        kinds = [pa.string(), *[pa.int64()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [x.split()[0] for x in SUMS.split(", ")])
 
+def _record(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    named = [x.split() for x in columns.split(", ")]
+    values = list(zip(*rows)) or [()] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, named)], [n for n, _ in named])
 
-SUMS = "file string, block long, quotes long, braces_out long, braces_in long, brackets_out long, brackets_in long"
+
+def _bracket_sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a split: quotes, and braces and brackets for either state at its start; whether it begins a bare list."""
+    key, own, bare = None, None, False
+    for file, block, run in _runs(batches):
+        text = _text(run)
+        if (file, block) != key:
+            if key:
+                yield _record([(*key, *own, bare)], SUMS)
+            key, own, bare = (file, block), [0] * 5, block == 0 and BARE.match(text) is not None
+        quotes, *sides = _marks(text)
+        for side, found in enumerate(sides):
+            state = (own[0] + side) & 1
+            own[1 + state] += len(found[b"{"]) - len(found[b"}"])
+            own[3 + state] += len(found[b"["]) - len(found[b"]"])
+        own[0] += quotes
+    if key:
+        yield _record([(*key, *own, bare)], SUMS)
 
 
 def split_states(text: DataFrame) -> DataFrame:
-    """(file, block, quoted, braces, brackets): the state in which each split begins."""
+    """(file, block, bare, quoted, braces, brackets): the state in which each split begins."""
     sums = text.select("file", "block", "piece").mapInArrow(_bracket_sums, SUMS)
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    before = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     quoted = F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1
-    known = sums.withColumn("quoted", quoted)
+    known = sums.withColumn("quoted", quoted).withColumn("bare", F.max("bare").over(whole))
     for kind in ("braces", "brackets"):
         known = known.withColumn(f"own_{kind}", F.when(F.col("quoted"), F.col(f"{kind}_in")).otherwise(F.col(f"{kind}_out")))
     return known.select(
-        "file", "block", "quoted",
+        "file", "block", "bare", "quoted",
         F.coalesce(F.sum("own_braces").over(before), F.lit(0)).alias("braces"),
         F.coalesce(F.sum("own_brackets").over(before), F.lit(0)).alias("brackets"),
     )
@@ -101,36 +136,51 @@ CUT = "file string, block long, place int, whole boolean, row string"
 
 def _cut_rows(batches: Iterable[pa.RecordBatch], inner: bool) -> Iterator[pa.RecordBatch]:
     """Whole rows (``inner``, ``place`` 1), or of each split the text up to its first row's end (0) and after its last (2)."""
-    out: list[tuple] = []
-
-    def flush() -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
-        columns = list(zip(*out)) or [()] * 5
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in CUT.split(", ")])
-
-    for (file, block), own in groupby(_rows(batches), key=itemgetter(0, 1)):
-        held: list[str] = []
-        ended = False
-        quoted = braces = brackets = base = None
-        for _, _, piece, bare, *state in own:
-            if quoted is None:
-                (quoted, braces, brackets), base = state, 0 if bare else 1
-            texts = _between_quotes(piece)
-            opened, net = _opened(texts[1 if quoted else 0 :: 2])
-            braces, brackets = braces + opened, brackets + net
-            quoted = quoted != (len(texts) % 2 == 0)
-            braces -= not quoted
-            held += [piece, "}"]
-            if not quoted and braces == base and brackets == 1:
-                if ended == inner:
-                    out.append((file, block, 1 if ended else 0, True, "".join(held)))
-                held, ended = [], True
-                if len(out) >= 1_000:
-                    yield flush()
-        if not inner:
-            out.append((file, block, 2 if ended else 0, False, "".join(held)))
-    yield flush()
+    key, held, ended, state, base = None, b"", False, None, 0
+
+    def rest() -> list[tuple]:
+        return [] if inner or key is None else [(*key, 2 if ended else 0, False, held.decode("utf-8", "replace"))]
+
+    for file, block, run in _runs(batches):
+        if (file, block) != key:
+            if fragment := rest():
+                yield _record(fragment, CUT)
+            first = run.slice(0, 1).to_pydict()
+            key, held, ended = (file, block), b"", False
+            state, base = [first[k][0] for k in ("quoted", "braces", "brackets")], 0 if first["bare"][0] else 1
+        text = _text(run)
+        quotes, *sides = _marks(text)
+        found = sides[1 if state[0] else 0]
+        opened = {mark: np.searchsorted(found[mark], found[b"}"]) for mark in (b"{", b"[", b"]")}
+        braces = state[1] + opened[b"{"] - np.arange(1, len(found[b"}"]) + 1)
+        brackets = state[2] + opened[b"["] - opened[b"]"]
+        ends = found[b"}"][(braces == base) & (brackets == 1)] + 1
+        state = [
+            state[0] != (quotes % 2 == 1),
+            state[1] + len(found[b"{"]) - len(found[b"}"]),
+            state[2] + len(found[b"["]) - len(found[b"]"]),
+        ]
+        if not len(ends):
+            held += text.to_pybytes()
+            continue
+        if held:
+            ends, text = ends + len(held), pa.py_buffer(held + text.to_pybytes())
+        if not ended:
+            if not inner:
+                yield _record([(*key, 0, True, text.slice(0, int(ends[0])).to_pybytes().decode("utf-8", "replace"))], CUT)
+            ended = True
+        else:
+            ends = np.concatenate([[0], ends])
+        if inner and len(ends) > 1:
+            n = len(ends) - 1
+            rows = pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(ends.astype(np.int64)), text]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(file, n), pa.repeat(block, n), pa.repeat(pa.scalar(1, pa.int32()), n), pa.repeat(True, n), rows],
+                [x.split()[0] for x in CUT.split(", ")],
+            )
+        held = text.slice(int(ends[-1])).to_pybytes()
+    if fragment := rest():
+        yield _record(fragment, CUT)
 
 
 def _whole_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +199,8 @@ def document_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     beginning. The former, a few for each split, are stored; the latter are cut as they are read."""
     text = pieces(spark, path)
     states = split_states(text)
-    first = text.where("block = 0").groupBy("file").agg(F.min_by("piece", "at").alias("piece"))
-    bare = first.select("file", F.col("piece").rlike(r"^\s*\[").alias("bare"))
     # a row a split, stored: the sums over all pieces are made once
-    states = cut_lineage(states.join(bare, "file").select("file", "block", "bare", "quoted", "braces", "brackets"))
+    states = cut_lineage(states)
     if states.count() <= BROADCAST_SPLITS:
         known = text.join(F.broadcast(states), ["file", "block"])
     else:
