@@ -94,8 +94,9 @@ def _documents(spark, sf) -> str:
         F.when(last, F.concat(F.lit('], "timestamp": "20240101_00000'), "doc", F.lit('"}'))).otherwise(F.lit("")).alias("after"),
     )
     lines = lines.select("doc", "part", F.concat("before", "text", "after").alias("value"))
-    lines.where("doc = 0").write.partitionBy("doc", "part").text(path)
-    compressed = lines.where("doc <> 0").write.options(**{"compression": reports.TEXT_CODEC, "zlib.compress.level": "BEST_SPEED"})
+    plain = F.col("doc").eqNullSafe(0)
+    lines.where(plain).write.partitionBy("doc", "part").text(path)
+    compressed = lines.where(~plain).write.options(**{"compression": reports.TEXT_CODEC, "zlib.compress.level": "BEST_SPEED"})
     compressed.mode("append").partitionBy("doc", "part").text(path)
     return path
 
